@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import arbora
+
+if not any(os.path.isdir(os.path.join(p, "arbora")) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p):
+    # Workers could not import this package by name, so its functions travel by value.
+    cloudpickle.register_pickle_by_value(arbora)
+
 #: White space of the word rule: blank and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word is a longest run of other characters.

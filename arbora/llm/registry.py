@@ -5,7 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op4_token_counts": "op04_token_counts",
+    "op5_source_mix": "op05_source_mix",
     "op8_quality_rules": "op08_quality_rules",
+    "op9_secret_scans": "op09_secret_scans",
 }
 
 
