@@ -5,6 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_warc": "op01_warc",
+    "op2_sentencepiece": "op02_sentencepiece",
+    "op3_quality_classifier": "op03_quality_classifier",
     "op4_token_counts": "op04_token_counts",
     "op5_source_mix": "op05_source_mix",
     "op8_quality_rules": "op08_quality_rules",
