@@ -35,8 +35,10 @@ from pyspark.sql import types as T
 from arbora.llm.common import table
 
 MARK = "▁"
-#: Units of a text: markers with letters or with others behind them; or up to the next marker.
-UNITS = (rf"{MARK}*[^\W\d_]+|{MARK}*[^\w{MARK}]+|{MARK}*[\d_]|{MARK}+", rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
+# Fixed value: Latin letters as ranges of code points.
+LATIN = "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Units of a text: markers with Latin letters or with others behind them; or up to the next marker.
+UNITS = (rf"{MARK}*[{LATIN}]+|{MARK}*[^0-9{MARK}{LATIN}]+|{MARK}*[0-9]|{MARK}+", rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: What a character without a piece costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: So many units are remembered by a worker, those up to UNIT_CHARS long.

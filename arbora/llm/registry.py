@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_quality_classifier": "op03_quality_classifier",
     "op4_token_counts": "op04_token_counts",
     "op5_source_mix": "op05_source_mix",
+    "op6_ngram_join": "op06_ngram_join",
     "op8_quality_rules": "op08_quality_rules",
     "op9_secret_scans": "op09_secret_scans",
 }
