@@ -11,8 +11,10 @@ _QUERIES = {
     "op4_token_counts": "op04_token_counts",
     "op5_source_mix": "op05_source_mix",
     "op6_ngram_join": "op06_ngram_join",
+    "op7_embedding_dedup": "op07_embedding_dedup",
     "op8_quality_rules": "op08_quality_rules",
     "op9_secret_scans": "op09_secret_scans",
+    "op10_suffix_dedup": "op10_suffix_dedup",
 }
 
 
