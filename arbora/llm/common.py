@@ -55,6 +55,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def split_number() -> int:
+    """The number of the input split that this task reads."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def plain_scan(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it only reads columns of files, whose splits are the same each
+    time; anything else is written to the shared folder and read from there."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    plain = all(line.lstrip(" :+-").startswith(("Project", "Relation")) for line in plan.strip().splitlines())
+    return df if plain else staged(df, name)
+
+
+def hand_over(rows: DataFrame, name: str) -> str:
+    """Write rows by split (the high bits of ``rid``) for a later scan; returns the path."""
+    path = new_path(rows.sparkSession, name)
+    rows.withColumn("split", F.shiftright("rid", 40).cast("int")).repartition("split").write.partitionBy("split").parquet(path)
+    return path
+
+
+def take_over(path: str, split: int):
+    """The rows that were handed to a split, as one Arrow table, or None."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    found = system.get_file_info(fs.FileSelector(f"{at}/split={split}", allow_not_found=True))
+    tables = []
+    for name in sorted(f.path for f in found if f.path.endswith(".parquet")):
+        with system.open_input_file(name) as file:
+            tables.append(pq.ParquetFile(file).read())
+    return pa.concat_tables(tables) if tables else None
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as (u, v); returns (node, root).
 

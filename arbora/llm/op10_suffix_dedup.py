@@ -37,7 +37,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import new_path, staged, table
+from arbora.llm.common import hand_over, plain_scan, split_number, staged, table, take_over
 
 #: Bits of a packed key that hold a place within a buffer; the others order the hashes.
 PLACE = 24
@@ -148,46 +148,13 @@ def _buffers(batches, length: int):
         yield pack()
 
 
-def _split() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
 def _scan_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw) over a plain file scan, whose splits are the same each time it is read."""
-    rows = docs.select("doc_id", "text")
-    plan = rows._jdf.queryExecution().optimizedPlan().toString()
-    if any(not line.lstrip(" :+-").startswith(("Project", "Relation")) for line in plan.strip().splitlines()):
-        rows = staged(rows, "suffix-texts")
-    return rows.select("doc_id", F.col("text").cast("binary").alias("raw"))
-
-
-def _handed(rows: DataFrame, name: str) -> str:
-    """Write rows by split (the high bits of ``rid``) for a later scan; returns the path."""
-    path = new_path(rows.sparkSession, name)
-    rows.withColumn("split", F.shiftright("rid", 40).cast("int")).repartition("split").write.partitionBy("split").parquet(path)
-    return path
-
-
-def _taken(path: str, split: int):
-    """The rows that were handed to a split, as one Arrow table, or None."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    found = system.get_file_info(fs.FileSelector(f"{at}/split={split}", allow_not_found=True))
-    names = sorted(f.path for f in found if f.path.endswith(".parquet"))
-    tables = []
-    for name in names:
-        with system.open_input_file(name) as file:
-            tables.append(pq.ParquetFile(file).read())
-    return pa.concat_tables(tables) if tables else None
+    """(doc_id, raw) over a plain file scan."""
+    return plain_scan(docs.select("doc_id", "text"), "suffix-texts").select("doc_id", F.col("text").cast("binary").alias("raw"))
 
 
 def _rows(texts: DataFrame, spec: RepeatSpec) -> DataFrame:
-    find, buffers, split = anchors, _buffers, _split
+    find, buffers, split = anchors, _buffers, split_number
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -251,7 +218,7 @@ def _compared(rows: DataFrame) -> DataFrame:
 def _left_over(texts: DataFrame, path: str, spec: RepeatSpec) -> DataFrame:
     """Cut the left-over runs out of the texts: (lead, rid, s, need, bytes) of those to be compared
     together, (hash, rid, s) for every window of the hot ones."""
-    taken, split, hashes, mixed, length = _taken, _split, _hashes, _mixed, spec.length
+    taken, split, hashes, mixed, length = take_over, split_number, _hashes, _mixed, spec.length
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -342,7 +309,7 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), keep_text:
     hot = flagged.where("open").groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where(f"c > {TOGETHER}").select(F.col("lead").alias("hot_lead"))
     left = flagged.where("open").join(hot, F.col("lead") == F.col("hot_lead"), "left")
     left = left.select("lead", "run", "rid", "place", F.col("hot_lead").isNotNull().alias("hot"), (~F.col("full")).alias("need"))
-    parts = staged(_left_over(texts, _handed(left, "suffix-left"), spec), "suffix-parts")
+    parts = staged(_left_over(texts, hand_over(left, "suffix-left"), spec), "suffix-parts")
     local = _together(parts.where("bytes is not null"), spec)
     lone = parts.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid"), F.min("s").alias("s")).where("c = 1")
     span = [(F.shiftright("place", 16)).alias("s"), (F.col("place").bitwiseAND(255) + 1).alias("n")]
@@ -352,8 +319,8 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), keep_text:
         .union(left.where("hot and need").select(F.lit(HOT), "rid", *span))
         .union(lone.select(F.lit(LONE), "rid", "s", F.lit(1).cast("long")))
     )
-    path = _handed(repeats, "suffix-repeats")
-    taken, split, length = _taken, _split, spec.length
+    path = hand_over(repeats, "suffix-repeats")
+    taken, split, length = take_over, split_number, spec.length
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
     def run(batches: Iterator) -> Iterator:
