@@ -1,17 +1,22 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and
 suffix filters, each pair verified once.
 
-1. A scan hashes every document's word shingles to a sorted set, collapses equal
-   sets to classes, and adds all shingles to a count sketch of fixed size.
-2. A second scan orders each class's set by sketch count, rarest first, and
-   emits its prefix: two sets that reach the threshold share a prefix token.
+1. A scan hashes every document's word shingles to a sorted set and collapses
+   equal sets to classes. All shingles are counted: a task packs the sorted hashes
+   of a run of documents by hash range, each range is counted in one place, and
+   the frequency classes go back to the tasks in the order of what they sent.
+2. A scan orders each class's set by frequency class, rarest first, and emits its
+   prefix without what no other document has: two sets that reach the threshold
+   share a token of their prefixes.
 3. Classes that share prefix tokens fall into candidate components (stars around
    each token's smallest class, so a hot token yields a row per class, no pairs).
-4. The texts of candidate classes alone are brought together, a component in
+4. The texts of one document of each candidate class are brought together, a component in
    blocks of bounded size and every pair of blocks in one place. Inside a pair
    of blocks tokens are ordered anew by exact local count, and prefix, length,
    positional and suffix filters leave the pairs that are verified on the whole
    sets. Pairs already connected there need no verification for the components.
+   The scans read the same files in the same splits; what a scan needs is handed
+   to it by split through the shared folder, so only candidates' texts move.
 5. Components over the verified links give each document the smallest doc_id.
 
 Shingles and sets are compared through 64-bit hashes; classes by such a hash and
@@ -34,10 +39,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import connected_components, staged, table
+from arbora.llm.common import connected_components, hand_over, plain_scan, split_number, staged, table, take_over
 
-CELLS = 1 << 20
-CHUNK = 1 << 16
+#: Shingles of a run of documents that are counted together, and bytes of texts hashed at a time.
+RUN = 1 << 21
+BUFFER = 2 << 20
 #: Documents and bytes of a block.
 BLOCK_ROWS = 128
 BLOCK_BYTES = 8 << 20
@@ -53,36 +59,98 @@ class JoinSpec:
     den: int = 100
 
 
+_BASE = 0x9E3779B97F4A7C15
+_SPACES = b" \t\n\x0b\x0c\r"
+
+
+def _mix(h):
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
 class _Shingler:
-    """Sorted distinct shingle hashes of texts; remembers a bounded number of words."""
+    """Sorted distinct shingle hashes of texts, many texts in one sweep over their bytes."""
 
     def __init__(self, k: int):
-        self.k, self.known = k, {}
+        import numpy as np
 
-    def __call__(self, raw: bytes):
+        self.k = k
+        rng = np.random.default_rng(20_240_601)
+        self.letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.letters[65:91] = self.letters[97:123]  # A-Z as a-z
+        self.space = np.zeros(256, bool)
+        self.space[list(_SPACES)] = True
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _upto(self, n: int) -> None:
+        import numpy as np
+
+        if len(self.powers) < n:
+            n = max(n, BUFFER)
+            up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            self.powers, self.inverse = np.cumprod(up), np.cumprod(down)
+
+    def many(self, raws: list[bytes]) -> list:
+        """One set for each text."""
+        out, first, size = [], 0, 0
+        for i, raw in enumerate(raws):
+            size += len(raw)
+            if size >= BUFFER or i == len(raws) - 1:
+                out += self._sweep(raws[first:i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def _sweep(self, raws: list[bytes]) -> list:
         import numpy as np
-        import xxhash
-
-        words = raw.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        try:
-            w = np.array([known[x] for x in words], np.uint64)
-        except KeyError:
-            for x in words:
-                if x not in known:
-                    known[x] = xxhash.xxh3_64_intdigest(x)
-            w = np.array([known[x] for x in words], np.uint64)
-        k = min(self.k, len(w))
-        h = np.full(len(w) - k + 1, k, np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(k):
-                h = (h ^ w[i:len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-        return np.unique(h)
+
+        none = np.zeros(0, np.uint64)
+        # A blank behind each text keeps words of neighbours apart.
+        data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+        stops = np.cumsum([len(r) + 1 for r in raws])
+        self._upto(len(data) + 1)
+        space = self.space[data]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        if not len(starts):
+            return [none] * len(raws)
+        sums = self.letters[data]
+        sums *= self.powers[:len(data)]
+        np.cumsum(sums, out=sums)
+        # A word's letters times powers from its start on, whatever its place.
+        words = sums[ends - 1]
+        words[starts > 0] -= sums[starts[starts > 0] - 1]
+        del sums
+        words *= self.inverse[starts]
+        words = _mix(words + (ends - starts).astype(np.uint64))
+        first = np.searchsorted(starts, np.concatenate([[0], stops[:-1]]))
+        count = np.diff(np.append(first, len(words)))
+        k = self.k
+        h = self._chain(words, k) if len(words) >= k else none
+        out = []
+        for a, n in zip(first.tolist(), count.tolist(), strict=True):
+            if n >= k:
+                out.append(np.unique(h[a:a + n - k + 1]))
+            else:
+                out.append(self._chain(words[a:a + n], n) if n else none)
+        return out
+
+    @staticmethod
+    def _chain(words, k: int):
+        import numpy as np
+
+        m = len(words) - k + 1
+        h = np.full(m, k, np.uint64)
+        for i in range(k):
+            h = (h ^ words[i:m + i]) * np.uint64(_BASE)
+            h ^= h >> np.uint64(29)
+        return _mix(h)
+
+    def __call__(self, raw: bytes):
+        return self._sweep([raw])[0]
 
 
 def _cid(s) -> int:
@@ -96,92 +164,175 @@ def prefix_length(n: int, spec: JoinSpec) -> int:
     return n - -(-spec.num * n // spec.den) + 1
 
 
-def _with_raw(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), F.xxhash64("text").alias("th"))
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, raw) over a plain file scan."""
+    rows = plain_scan(docs.select("doc_id", "text"), "ngram-docs")
+    return rows.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+
 
+def _runs(batches, shingle):
+    """(number of the first row, sets) of runs of rows with RUN shingles or more; the same runs in every scan."""
+    number, held, size = 0, [], 0
+    for batch in batches:
+        for s in shingle.many(batch.column("raw").to_pylist()):
+            held.append(s)
+            size += len(s)
+            if size >= RUN:
+                yield number, held
+                number, held, size = number + len(held), [], 0
+    if held:
+        yield number, held
 
-def sets_and_sketch(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, object]:
-    """((doc_id, th, n, cid) of every row, the sketch's counts)."""
-    k, cells, chunk = spec.k, CELLS, CHUNK
+
+def class_sets(texts: DataFrame, spec: JoinSpec) -> DataFrame:
+    """(rid, doc_id, n, cid) of every row: its place, the size and the class of its set."""
+    k, split, cid_of, shingler = spec.k, split_number, _cid, _Shingler
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        shingle, total, waiting, held = _Shingler(k), np.zeros(cells, np.uint32), [], 0
-        names = ["doc_id", "th", "n", "cid", "part", "counts"]
+        shingle, number = shingler(k), split() << 40
         for batch in batches:
-            sets = [shingle(x.as_py()) for x in batch.column("raw")]
-            waiting += sets
-            held += sum(map(len, sets))
-            if held > 1 << 21:
-                total += np.bincount((np.concatenate(waiting) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-                waiting, held = [], 0
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_cid(s) for s in sets], pa.int64()),
-                pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        if waiting:
-            total += np.bincount((np.concatenate(waiting) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-        for i in range(0, cells, chunk):
+            sets = shingle.many(batch.column("raw").to_pylist())
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                pa.array([i // chunk], pa.int32()), pa.array([zlib.compress(total[i:i + chunk].tobytes(), 1)], pa.binary())], names)
+                pa.array(np.arange(number, number + len(sets))), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([cid_of(s) for s in sets], pa.int64())], ["rid", "doc_id", "n", "cid"])
+            number += len(sets)
+
+    return texts.mapInArrow(run, "rid long, doc_id long, n long, cid long")
+
+
+def _run_counts(sets):
+    """Distinct 48-bit heads of all shingles of a run, sorted, the place of each shingle among them, and counts."""
+    import numpy as np
+
+    heads = np.concatenate(sets) >> np.uint64(16)
+    return np.unique(heads, return_inverse=True, return_counts=True)
+
+
+def frequency_classes(texts: DataFrame, spec: JoinSpec) -> str:
+    """Count every shingle; returns the path where each split finds, for each of its runs, the
+    frequency class (bit length of the document count, 15 at most) of the run's distinct shingles."""
+    k, split, runs, counts_of, shingler = spec.k, split_number, _runs, _run_counts, _Shingler
+    ranges = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def merge(batches: Iterator) -> Iterator:
+    def send(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        total = np.zeros((cells // chunk, chunk), np.uint32)
-        for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[part] += np.frombuffer(zlib.decompress(counts), np.uint32)
-        for i, row in enumerate(total):
-            if row.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(row.tobytes(), 1)], pa.binary())], ["part", "counts"])
+        for at, (_, sets) in enumerate(runs(batches, shingler(k))):
+            if not sum(map(len, sets)):
+                continue
+            heads, _, counts = counts_of(sets)
+            cuts = np.searchsorted(heads, np.array([-(-(r << 48) // ranges) for r in range(ranges + 1)], np.uint64))
+            for r in range(ranges):
+                part, n = heads[cuts[r]:cuts[r + 1]], np.minimum(counts[cuts[r]:cuts[r + 1]], 255).astype(np.uint8)
+                if not len(part):
+                    continue
+                steps = np.diff(part)
+                kind = np.uint32 if not len(steps) or steps.max() < 1 << 32 else np.uint64
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r], pa.int32()), pa.array([(split() << 40) + at], pa.int64()), pa.array([int(part[0])], pa.int64()),
+                    pa.array([steps.astype(kind).tobytes()], pa.binary()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], ["range", "rid", "first", "steps", "n"])
 
-    import numpy as np
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def close(r, blocks):
+            sizes = [len(h) for _, h, _ in blocks]
+            _, place = np.unique(np.concatenate([h for _, h, _ in blocks]), return_inverse=True)
+            total = np.bincount(place, weights=np.concatenate([n for _, _, n in blocks]))
+            code = np.minimum(15, np.frexp(total)[1]).astype(np.uint8)[place]
+            for (rid, _, _), end, size in zip(blocks, np.cumsum(sizes), sizes, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([rid], pa.int64()), pa.array([r], pa.int32()), pa.array([zlib.compress(code[end - size:end].tobytes(), 1)], pa.binary())], ["rid", "range", "codes"])
 
-    both = staged(_with_raw(docs).mapInArrow(run, "doc_id long, th long, n long, cid long, part int, counts binary"), "ngram-sets")
-    parts = both.where("part is not null").select("part", "counts")
-    # A tree of sums: what reaches the driver has the sketch's size, whatever the corpus.
-    fan = max(2, int(max(1, parts.rdd.getNumPartitions()) ** 0.5))
-    summed = parts.repartition(fan).mapInArrow(merge, "part int, counts binary").repartition(1).mapInArrow(merge, "part int, counts binary").collect()
-    sketch = np.zeros((cells // chunk, chunk), np.uint32)
-    for row in summed:
-        sketch[row.part] = np.frombuffer(zlib.decompress(row.counts), np.uint32)
-    return both.where("part is null").drop("part", "counts"), sketch.reshape(-1)
-
-
-def prefixes(docs: DataFrame, sketch, spec: JoinSpec) -> DataFrame:
-    """(token, cid): the rarest shingles of every set, as many as the threshold asks for."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # CELLS counts
-    k, cells = spec.k, CELLS
+        now, blocks = None, []
+        for batch in batches:
+            for r, rid, first, steps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != now and blocks:
+                    yield from close(now, blocks)
+                    blocks = []
+                now, n = r, np.frombuffer(zlib.decompress(n), np.uint8)
+                kind = np.uint32 if len(steps) == 4 * (len(n) - 1) else np.uint64
+                heads = np.cumsum(np.concatenate([[np.uint64(first)], np.frombuffer(steps, kind).astype(np.uint64)]).astype(np.uint64))
+                blocks.append((rid, heads, n))
+        if blocks:
+            yield from close(now, blocks)
+
+    sent = texts.mapInArrow(send, "range int, rid long, first long, steps binary, n binary")
+    codes = sent.repartition("range").sortWithinPartitions("range").mapInArrow(count, "rid long, range int, codes binary")
+    return hand_over(codes, "ngram-counts")
+
+
+def prefixes(texts: DataFrame, counts: str, spec: JoinSpec) -> DataFrame:
+    """(token, cid): the shared ones among the rarest shingles of every set, as many as the threshold asks for."""
+    k, split, taken, runs, counts_of, cid_of, shingler = spec.k, split_number, take_over, _runs, _run_counts, _cid, _Shingler
     length = lambda n: prefix_length(n, spec)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        shingle, counts, seen = _Shingler(k), shared.value, set()
-        for batch in batches:
-            tokens, cids = [], []
-            for raw in batch.column("raw"):
-                s = shingle(raw.as_py())
-                c = _cid(s) if len(s) else None
-                if c is None or c in seen:
+        known: dict[int, list] = {}
+        if (mine := taken(counts, split())) is not None:
+            for rid, r, codes in zip(*(mine.column(c).to_pylist() for c in ("rid", "range", "codes")), strict=True):
+                known.setdefault(rid & ((1 << 40) - 1), []).append((r, codes))
+        seen: set[int] = set()
+        for at, (_, sets) in enumerate(runs(batches, shingler(k))):
+            if at not in known:
+                continue
+            heads, place, _ = counts_of(sets)
+            codes = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint8) for _, c in sorted(known.pop(at))])
+            if len(codes) != len(heads):
+                raise RuntimeError("a split of the documents was read differently than before")
+            codes = codes[place]
+            tokens, cids, begin = [], [], 0
+            for s in sets:
+                code = codes[begin:begin + len(s)]
+                begin += len(s)
+                m = length(len(s)) if len(s) else 0
+                # With as many shingles of its own as the prefix is long, a set shares none in it.
+                if m == 0 or int((code == 1).sum()) >= m:
+                    continue
+                c = cid_of(s)
+                if c in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(c)
-                order = np.lexsort((s, counts[(s & np.uint64(cells - 1)).astype(np.int64)]))
-                p = s[order[:length(len(s))]]
+                order = np.lexsort((s, code))[:m]
+                p = s[order[code[order] > 1]]
                 tokens.append(p)
                 cids.append(np.full(len(p), c, np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids))], ["token", "cid"])
 
-    return _with_raw(docs).mapInArrow(run, "token long, cid long")
+    return texts.mapInArrow(run, "token long, cid long")
+
+
+def _fetched(texts: DataFrame, wanted: str) -> DataFrame:
+    """(cid, root, blocks, raw) of the rows that were handed over as ``wanted``."""
+    split, taken = split_number, take_over
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        if (mine := taken(wanted, split())) is None:
+            return
+        mine = mine.sort_by("rid")
+        rid, number = mine.column("rid").to_numpy() & ((1 << 40) - 1), 0
+        for batch in batches:
+            a, b = np.searchsorted(rid, [number, number + batch.num_rows]).tolist()
+            if b > a:
+                raw = batch.column("raw").take(pa.array(rid[a:b] - number))
+                part = mine.slice(a, b - a).combine_chunks()
+                yield pa.RecordBatch.from_arrays([part.column("cid").combine_chunks(), part.column("root").combine_chunks(), raw], ["cid", "root", "raw"])
+            number += batch.num_rows
+
+    return texts.mapInArrow(run, "cid long, root long, raw binary")
 
 
 def _suffix_filter(x, y, allowed: int, depth: int) -> int:
@@ -274,13 +425,13 @@ def local_links(sets: list, sides: list[int] | None, spec: JoinSpec) -> list[tup
 
 def _links(candidates: DataFrame, spec: JoinSpec) -> DataFrame:
     """(u, v) of classes that are linked; ``candidates`` has root, i, j, block, cid and raw."""
-    k = spec.k
+    k, cid_of, shingler = spec.k, _cid, _Shingler
     join = lambda sets, sides: local_links(sets, sides, spec)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingle = _Shingler(k)
+        shingle = shingler(k)
 
         def close(key, rows):
             cids = list(rows)
@@ -299,7 +450,7 @@ def _links(candidates: DataFrame, spec: JoinSpec) -> DataFrame:
                     key, rows = (root, i, j), {}
                 if cid not in rows:
                     s = shingle(raw)
-                    if _cid(s) == cid:
+                    if cid_of(s) == cid:
                         rows[cid] = (block, s)
         if out := close(key, rows):
             yield out
@@ -308,18 +459,17 @@ def _links(candidates: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def components(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """(doc_id, th, n, cid, component_id, first_th) of every row; ``first_th`` goes with the
-    row that represents the component (smallest doc_id, then text hash)."""
-    sets, sketch = sets_and_sketch(docs, spec)
-    pre = staged(prefixes(docs, sketch, spec), "ngram-prefixes")
+    """(rid, doc_id, n, cid, component_id, first_rid) of every row; ``first_rid`` is the row that
+    represents the component (smallest doc_id, then place)."""
+    texts = _texts(docs)
+    sets = staged(class_sets(texts, spec), "ngram-sets")
+    pre = staged(prefixes(texts, frequency_classes(texts, spec), spec), "ngram-prefixes")
     shared = pre.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("token", "low")
     stars = pre.join(shared, "token").where("cid <> low").select(F.col("cid").alias("u"), F.col("low").alias("v"))
     groups = staged(connected_components(stars), "ngram-groups")
-    classes = staged(sets.where("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")), "ngram-classes")
-    members = groups.join(classes, groups["node"] == classes["cid"]).select("cid", "root", F.col("first.doc_id").alias("id"), F.col("first.th").alias("h"))
-    texts = _with_raw(docs)
-    found = texts.join(members, (texts["th"] == members["h"]) & texts["doc_id"].eqNullSafe(members["id"])).select("cid", "root", "raw")
-    found = staged(found, "ngram-texts")
+    classes = staged(sets.where("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")), "ngram-classes")
+    members = groups.join(classes, groups["node"] == classes["cid"]).select("cid", "root", F.col("first.rid").alias("rid"))
+    found = staged(_fetched(texts, hand_over(members, "ngram-members")), "ngram-texts")
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("raw")).alias("bytes"))
     sizes = sizes.select("root", F.expr(f"cast(greatest(ceil(rows / {BLOCK_ROWS}), ceil(bytes / {BLOCK_BYTES})) as int)").alias("blocks"))
     placed = found.join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
@@ -328,9 +478,9 @@ def components(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     linked = staged(connected_components(staged(_links(placed, spec), "ngram-links")), "ngram-components")
     named = classes.join(linked, classes["cid"] == linked["node"], "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
     low = named.groupBy("root").agg(F.min("first").alias("low"))
-    named = staged(named.join(low, "root").select(F.col("cid").alias("c"), F.col("low.doc_id").alias("low_id"), F.col("low.th").alias("first_th")), "ngram-names")
+    named = staged(named.join(low, "root").select(F.col("cid").alias("c"), F.col("low.doc_id").alias("low_id"), F.col("low.rid").alias("first_rid")), "ngram-names")
     out = sets.join(named, (sets["cid"] == named["c"]) & (sets["n"] > 0), "left")
-    return out.select("doc_id", "th", "n", "cid", F.coalesce("low_id", "doc_id").alias("component_id"), "first_th")
+    return out.select("rid", "doc_id", "n", "cid", F.coalesce("low_id", "doc_id").alias("component_id"), "first_rid")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,13 +488,34 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(docs, JoinSpec(k=3, num=90, den=100)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def one_of_each(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
+    """``docs`` with one row of each component; empty texts all stay.
+
+    The rows to drop are handed to the splits, so no text is shuffled. Write the
+    result before joining its tasks (coalesce, union): a split is told by its task.
+    """
+    docs = plain_scan(docs, "ngram-docs")
+    path = hand_over(components(docs, spec).where("n > 0 and rid <> first_rid").select("rid"), "ngram-dropped")
+    split, taken = split_number, take_over
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        mine, number = taken(path, split()), 0
+        gone = np.zeros(0, np.int64) if mine is None else np.sort(mine.column("rid").to_numpy() & ((1 << 40) - 1))
+        for batch in batches:
+            a, b = np.searchsorted(gone, [number, number + batch.num_rows])
+            keep = np.ones(batch.num_rows, bool)
+            keep[gone[a:b] - number] = False
+            number += batch.num_rows
+            yield batch.filter(pa.array(keep))
+        if len(gone) and gone[-1] >= number:
+            raise RuntimeError("a split of the documents was read differently than before")
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates one document stays; empty texts all stay."""
-    got = staged(components(docs.select("doc_id", "text")), "ngram-stage")
-    gone = got.where("n > 0 and not (doc_id <=> component_id and th = first_th)").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    rows = rows.join(gone, (rows["_th"] == gone["gone_th"]) & rows["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    if got.where("n > 0").groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        filled, blank = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), rows.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-        rows = filled.dropDuplicates(["doc_id", "_th"]).union(blank)
-    return rows.select(*docs.columns)
+    """Pipeline stage: of each group of near duplicates one document stays."""
+    return one_of_each(docs)
