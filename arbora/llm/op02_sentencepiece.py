@@ -45,7 +45,7 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED = 300_000
 UNIT_CHARS = 48
 #: Rows that are encoded at a time.
-ROWS = 128
+ROWS = 256
 #: Units that are solved side by side.
 LANES = 4096
 
@@ -125,7 +125,7 @@ class Codec:
 
         self.m = SimpleNamespace(**model)
         self.base, self.check, self.scores = self.m.base.tolist(), self.m.check.tolist(), self.m.scores.tolist()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.units = re.compile(self.m.units)
         self.byte_of = {i: b for b, i in self.m.bytes.items()}
         self.spelt = [p.replace(MARK, " ").encode() for p in self.m.pieces]
@@ -134,7 +134,7 @@ class Codec:
         for i in self.m.control:
             self.spelt[i] = b""
         self.spelt[self.m.unknown] = " ⁇ ".encode()
-        self.base_np, self.check_np = (np.frombuffer(x, np.int32) for x in (self.m.base, self.m.check))
+        self.base_np, self.check_np = (np.frombuffer(x, np.int32).astype(np.int64) for x in (self.m.base, self.m.check))
         self.scores_np = np.frombuffer(self.m.scores, np.float64)
 
     def viterbi(self, unit: str) -> tuple[int, ...]:
@@ -177,52 +177,67 @@ class Codec:
 
         base, check, scores = self.base_np, self.check_np, self.scores_np
         raws = [u.encode() for u in units]
-        order = sorted(range(len(units)), key=lambda i: len(raws[i]))
+        sizes = np.array([len(r) for r in raws], np.int64)
+        order = np.argsort(sizes, kind="stable")
         for first in range(0, len(order), LANES):
             chosen = order[first:first + LANES]
-            wide = len(raws[chosen[-1]])
-            n = len(chosen)
-            text = np.zeros((n, wide + 4), np.int32)
-            for row, i in enumerate(chosen):
-                text[row, :len(raws[i])] = np.frombuffer(raws[i], np.uint8)
-            size = np.array([len(raws[i]) for i in chosen])
-            best = np.full((n, wide + 5), -np.inf)
-            back, piece = np.zeros((n, wide + 5), np.int32), np.full((n, wide + 5), -1, np.int32)
-            best[:, 0] = 0.0
+            n, size = len(chosen), sizes[chosen]
+            wide = int(size[-1])
+            pitch = wide + 4
+            text = np.frombuffer(b"".join([raws[i].ljust(pitch, b"\0") for i in chosen]), np.uint8).astype(np.int64)
+            # All tables are flat: lane r's place k is r * pitch + k.
+            best = np.full(n * pitch, -np.inf)
+            back, piece = np.zeros(n * pitch, np.int64), np.full(n * pitch, -1, np.int64)
+            lane = np.arange(n, dtype=np.int64) * pitch
+            best[lane] = 0.0
             for at in range(wide):
-                lead = text[:, at]
-                rows = np.flatnonzero((at < size) & ((lead < 0x80) | (lead >= 0xC0)))
+                lead = text[lane + at]
+                rows = np.flatnonzero((at < size) & ((lead & 0xC0) != 0x80))
                 if not len(rows):
                     continue
-                here, lead = best[rows, at], lead[rows]
-                width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+                lead, here, begin, stop = lead[rows], best[lane[rows] + at], lane[rows], lane[rows] + size[rows]
+                width = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
                 single = np.zeros(len(rows), bool)
-                walk, state, k = np.arange(len(rows)), np.zeros(len(rows), np.int32), at
-                while len(walk) and k < wide:
-                    inside = k < size[rows[walk]]
-                    walk, state = walk[inside], state[inside]
-                    to = base[state] + text[rows[walk], k] + 1
-                    on = check[to] == state
-                    walk, state = walk[on], to[on]
-                    k += 1
+                walk, spot, state = np.arange(len(rows)), begin + at, np.zeros(len(rows), np.int64)
+                step = 0
+                while len(walk):
+                    to = base[state] + text[spot] + 1
+                    on = (check[to] == state) & (spot < stop[walk])
+                    walk, spot, state = walk[on], spot[on] + 1, to[on]
+                    step += 1
                     leaf = base[state]
-                    ends = np.flatnonzero((check[leaf] == state) & (base[leaf] < 0))
+                    ends = np.flatnonzero(check[leaf] == state)
                     if len(ends):
-                        w, v = walk[ends], -1 - base[leaf[ends]]
-                        s = here[w] + scores[v]
-                        r = rows[w]
-                        better = s > best[r, k]
-                        r, w2 = r[better], v[better]
-                        best[r, k], back[r, k], piece[r, k] = s[better], at, w2
-                        single[w] |= (k - at) == width[w]
-                cost = here + self.m.worst
-                stop = at + width
-                bare = np.flatnonzero(~single & (cost > best[rows, stop]))
-                r = rows[bare]
-                best[r, stop[bare]], back[r, stop[bare]], piece[r, stop[bare]] = cost[bare], at, -2
-            back, piece = back.tolist(), piece.tolist()
-            for row, i in enumerate(chosen):
-                self.known[units[i]] = self.trace(raws[i], back[row], piece[row])
+                        v = -1 - base[leaf[ends]]
+                        ends, v = ends[v >= 0], v[v >= 0]
+                        w = walk[ends]
+                        s, k = here[w] + scores[v], spot[ends]
+                        better = s > best[k]
+                        k = k[better]
+                        best[k], back[k], piece[k] = s[better], at, v[better]
+                        single[w[width[w] == step]] = True
+                bare = np.flatnonzero(~single)
+                k, cost = begin[bare] + at + width[bare], here[bare] + self.m.worst
+                better = cost > best[k]
+                best[k[better]], back[k[better]], piece[k[better]] = cost[better], at, -2
+            # Walk back in step; the last piece comes first, so rows fill from their end.
+            ids, fill = np.zeros((n, wide), np.int32), np.full(n, wide)
+            rows, k = np.arange(n), size.copy()
+            odd = np.zeros(n, bool)
+            while len(rows):
+                got = piece[lane[rows] + k]
+                odd[rows] |= got < 0
+                fill[rows] -= 1
+                ids[rows, fill[rows]] = got
+                k = back[lane[rows] + k]
+                rows, k = rows[k > 0], k[k > 0]
+            raw_ids, begin = ids.tobytes(), (np.arange(n) * wide + fill) * 4
+            known = self.known
+            for i, a, z in zip(chosen.tolist(), begin.tolist(), ((np.arange(n) + 1) * wide * 4).tolist(), strict=True):
+                known[units[i]] = raw_ids[a:z]
+            for row in np.flatnonzero(odd):
+                at, i = row * pitch, chosen[row]
+                known[units[i]] = _packed(self.trace(raws[i], back[at:at + pitch].tolist(), piece[at:at + pitch].tolist()))
 
     def trace(self, raw: bytes, back, piece) -> tuple[int, ...]:
         out, k = [], len(raw)
@@ -237,8 +252,10 @@ class Codec:
             k = back[k]
         return tuple(reversed(out))
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; units that are not remembered are solved together."""
+    def encode_all(self, texts: list[str]) -> list:
+        """Ids of each text as an int32 array; units that are not remembered are solved together."""
+        import numpy as np
+
         front = " " if self.m.prefix else ""
         split = [self.units.findall((front + t).replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
@@ -246,21 +263,16 @@ class Codec:
         known = self.known
         new = {u for units in split for u in units if u not in known}
         self.solve([u for u in new if len(u) <= UNIT_CHARS])
-        long = {u: self.viterbi(u) for u in new if len(u) > UNIT_CHARS}
-        out = []
-        for units in split:
-            ids: list[int] = []
-            if long:
-                for u in units:
-                    ids += known[u] if u in known else long[u]
-            else:
-                for u in units:
-                    ids += known[u]
-            out.append(ids)
+        long = [u for u in new if len(u) > UNIT_CHARS]
+        for u in long:
+            known[u] = _packed(self.viterbi(u))
+        out = [np.frombuffer(b"".join([known[u] for u in units]), np.int32) for units in split]
+        for u in long:
+            del known[u]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         # Pieces are whole characters, so byte pieces between them decode in place.
@@ -268,6 +280,10 @@ class Codec:
         return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 
+def _packed(ids: tuple[int, ...]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 #: A worker's codec, kept between its tasks.
 _workers: dict[str, Codec] = {}
 
@@ -297,7 +313,7 @@ def encode(docs: DataFrame, model_path: str, keep_text: bool = True) -> DataFram
             at = batch.schema.get_field_index("text")
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
-                rows = [np.array(x, np.int32) for x in codec.encode_all([t or "" for t in part.column(at).to_pylist()])]
+                rows = codec.encode_all([t or "" for t in part.column(at).to_pylist()])
                 sizes = np.array([len(r) for r in rows], np.int64)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(rows)))
                 spelt = pa.array([int(spelled[r].sum()) for r in rows], pa.int64())
