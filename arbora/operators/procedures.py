@@ -105,7 +105,7 @@ def _schema(rows, args):
         entries = [F.struct(F.lit(p).alias("k"), F.struct(F.lit("|".join(sorted(k))).alias("type"), F.lit(p in indexed).alias("indexed")).alias("v")) for p, k in sorted(props.items())]
         kind = "array<struct<k: string, v: struct<type: string, indexed: boolean>>>"
         parts.append(count.select(F.struct(F.lit(name).alias("k"), F.struct(F.lit(which).alias("type"), F.col("n").alias("count"), F.map_from_entries(F.array(*entries).cast(kind)).alias("properties")).alias("v")).alias("e")))
-    out = reduce(DataFrame.union, parts).agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("value"))
+    out = reduce(DataFrame.union, parts).agg(F.map_from_entries(F.collect_list("e")).alias("value"))
     return out, ["value"], None
 
 
