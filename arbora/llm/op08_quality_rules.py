@@ -154,4 +154,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    return judge(docs).where("kept").select(*docs.columns)
+    # The row number ties the filter to this place: pushed below the projections it would copy their expressions.
+    return judge(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").select(*docs.columns)
