@@ -68,7 +68,11 @@ def read_by(tree, needs: Needs | None = None) -> Needs:
                 for k in ("order", "skip", "limit", "where"):
                     walk(x[k])
                 return
-            if x.get("kind") in ("return",) and x["star"]:
+            if x.get("kind") == "procedure":
+                walk(x["args"])
+                walk(x["where"])
+                return
+            if x.get("kind") == "return" and x["star"]:
                 needs.whole.add("*")
             if x.get("kind") in ("set", "remove", "delete", "foreach", "merge", "create"):
                 needs.whole.add("*")
