@@ -69,7 +69,7 @@ def _histograms(df: DataFrame) -> DataFrame:
     df = df.withColumn("_classes", F.array(*known, rest))
     # Two blanks between words keep neighbouring hits from sharing a blank.
     listed = ", ".join(f"'{w}'" for w in COMMON_WORDS)
-    df = df.withColumn("_common", F.concat(F.lit(" "), F.array_join(F.expr(f"filter(transform(_w, x -> lower(x)), x -> x in ({listed}))"), "  "), F.lit(" ")))
+    df = df.withColumn("_common", F.concat(F.lit(" "), F.array_join(F.expr(f"transform(filter(_w, x -> lower(x) in ({listed})), x -> lower(x))"), "  "), F.lit(" ")))
     hits = [
         ((F.length("_common") - F.length(F.replace(F.col("_common"), F.lit(f" {w} "), F.lit("")))) / F.lit(len(w) + 2)).cast("long")
         for w in COMMON_WORDS
@@ -79,14 +79,13 @@ def _histograms(df: DataFrame) -> DataFrame:
     return df.withColumn("_hits", F.array_append("_hits", others)).drop("_common", *[f"_{k}" for k in CLASS_PATTERNS])
 
 
-def language_references(docs: DataFrame) -> DataFrame:
+def language_references(histograms: DataFrame) -> DataFrame:
     """(_lang, _ref_classes, _ref_hits): pooled counts of all documents of a language."""
-    h = _histograms(docs.select("text", "lang"))
     n_classes, n_hits = len(CLASS_PATTERNS) + 3, len(COMMON_WORDS) + 1
     sums = [F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)]
     sums += [F.sum(F.get("_hits", F.lit(i))).alias(f"h{i}") for i in range(n_hits)]
     return (
-        h.groupBy(F.col("lang").alias("_lang")).agg(*sums)
+        histograms.groupBy(F.col("lang").alias("_lang")).agg(*sums)
         .select(
             "_lang", F.array(*[f"c{i}" for i in range(n_classes)]).alias("_ref_classes"),
             F.array(*[f"h{i}" for i in range(n_hits)]).alias("_ref_hits"),
@@ -126,15 +125,30 @@ def _repeats(df: DataFrame) -> DataFrame:
     return df.drop("_lines", "_h", "_s", "_p")
 
 
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept"]
+
+
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """All columns of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, class_distance, common_distance, base_failed and kept."""
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept"]
-    docs = docs.drop(*added)
-    refs = staged(language_references(docs), "quality-refs")
+    """All columns of ``docs`` with the counts, distances and verdicts named in ``ADDED``.
+
+    The texts are read twice, for the references and for the verdicts, so that
+    whole rows need no copy.
+    """
+    docs = docs.drop(*ADDED)
+    refs = language_references(_histograms(docs.select("text", "lang")))
+    return _verdicts(_repeats(_histograms(docs)).drop("_w"), refs, rules).select(*docs.columns, *ADDED)
+
+
+def judge_ids(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """(doc_id and the columns in ``ADDED``): as ``judge``, but the texts are read once and their counts staged."""
+    counts = staged(_repeats(_histograms(docs.select("doc_id", "text", "lang"))).drop("text", "_w"), "quality-counts")
+    return _verdicts(counts, language_references(counts), rules).select("doc_id", *ADDED)
+
+
+def _verdicts(df: DataFrame, refs: DataFrame, rules: QualityRules) -> DataFrame:
+    refs = staged(refs, "quality-refs")
     if refs.count() <= MAX_BROADCAST_LANGS:
         refs = F.broadcast(refs)
-    df = _repeats(_histograms(docs)).drop("_w")
     df = df.join(refs, df["lang"].eqNullSafe(refs["_lang"]), "left")
     df = df.withColumn("class_distance", _js_distance("_classes", "_ref_classes"))
     df = df.withColumn("common_distance", _js_distance("_hits", "_ref_hits"))
@@ -144,12 +158,11 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     odd = (F.col("n_words") >= rules.min_words) & (
         (F.col("class_distance") > rules.max_class_distance) | (F.col("common_distance") > rules.max_common_distance)
     )
-    df = df.withColumn("kept", ~F.col("base_failed") & ~odd)
-    return df.select(*docs.columns, *added)
+    return df.withColumn("kept", ~F.col("base_failed") & ~odd)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang", "class_distance", "common_distance")
+    return judge_ids(table(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
