@@ -166,7 +166,14 @@ def trails(rows: Rows, a: dict, r: dict, b: dict, used, path: bool) -> None:
 
     low, high = r["length"]
     if r["var"] in rows.scope:
-        raise CypherError("a bound list of relationships cannot be matched again")
+        # A list that is bound already: the trail found must be that list.
+        bound, again = r["var"], fresh("e")
+        trails(rows, a, r | {"var": again}, b, used, path)
+        ids = lambda c: F.transform(c, lambda x: x["_id"])
+        rows.df = rows.df.where(ids(col(again)) == ids(col(bound))).drop(again)
+        rows.scope.remove(again)
+        used[:] = [u for u in used if u[0] != again]
+        return
     whole = path or not rows.needs.light(r["var"])
     edges = rows.graph.scan_rels(r["types"], "__r", None if whole else props_of(rows, r), r["dir"])
     if r["props"] is not None:

@@ -104,14 +104,24 @@ def property_columns(rows: Rows, props) -> dict[str, object]:
 
 
 def numbered(rows: Rows, name: str, start: int) -> int:
-    """Give every row a dense id in column ``name``; returns the next free one."""
-    n = rows.df.count()
+    """Give every row a dense id in column ``name``; returns the next free one.
+
+    Rows are counted by partition; only those counts come to the driver.
+    """
     spark = rows.graph.spark
-    # zipWithIndex counts partitions once; the ids are fixed by staging.
-    indexed = rows.df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + start))
-    schema = T.StructType([*rows.df.schema.fields, T.StructField(name, T.LongType())])
-    rows.df = staged(spark.createDataFrame(indexed, schema), spark)
-    return start + n
+    df = staged(rows.df.withColumn("__m", F.monotonically_increasing_id()), spark)
+    part = F.shiftright("__m", 33)
+    counts = {r.p: r.n for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, total = [], start
+    for p in sorted(counts):
+        offsets.append(F.struct(F.lit(p).cast("long"), F.lit(total).cast("long")))
+        total += counts[p]
+    if not offsets:
+        rows.df = df.withColumn(name, F.lit(None).cast("long")).drop("__m")
+        return start
+    base = F.map_from_entries(F.array(*offsets))[part]
+    rows.df = staged(df.withColumn(name, base + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m"), spark)
+    return total
 
 
 def create_clause(rows: Rows, c: dict) -> None:

@@ -85,6 +85,31 @@ def _graph_rows(graph) -> DataFrame:
     return out
 
 
+def _element_rows(query: DataFrame) -> DataFrame:
+    """The nodes and relationships among a query's columns, each once, in the shape of a graph's rows."""
+    from arbora.plans import values as v
+
+    parts = []
+    for f in query.schema:
+        if not v.is_element(f.dataType):
+            continue
+        x = F.col(f"`{f.name}`")
+        own = [n for n in f.dataType.fieldNames() if not n.startswith("_")]
+        props = F.to_json(F.struct(*[x[n].alias(n) for n in own])) if own else F.lit("{}")
+        none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+        rel = v.is_rel(f.dataType)
+        labels = F.lit("") if rel or "_labels" not in f.dataType.fieldNames() else F.concat(F.when(F.size(x["_labels"]) > 0, F.lit(":")).otherwise(F.lit("")), F.array_join(x["_labels"], ":"))
+        parts.append(query.where(x.isNotNull()).select(
+            x["_id"].alias("id"), labels.alias("labels"), (x["_src"] if rel else none).alias("start"), (x["_dst"] if rel else none).alias("end"),
+            (x["_type"] if rel else text).alias("type"), props.alias("properties")))
+    if not parts:
+        raise CypherError("the query returns no nodes or relationships")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
 def export(graph, what: str, path: str, query: DataFrame | None = None) -> DataFrame:
     """Write the graph, or a query's rows, as csv, json or cypher; returns one row about it."""
     full = allowed(graph, path)
@@ -96,7 +121,7 @@ def export(graph, what: str, path: str, query: DataFrame | None = None) -> DataF
         df.write.mode("overwrite").json(full)
     else:
         if query is not None:
-            raise CypherError("only a graph is exported as statements")
+            df = _element_rows(query)
         keyed = F.regexp_replace("properties", r'"([A-Za-z_]\w*)":', "$1: ")
         node = F.concat(F.lit("CREATE ("), F.col("labels"), F.lit(" {_export_id: "), F.col("id").cast("string"), F.when(F.length(keyed) > 2, F.concat(F.lit(", "), F.substring(keyed, 2, 1 << 30))).otherwise(F.lit("}")), F.lit(");"))
         rel = F.concat(F.lit("MATCH (a {_export_id: "), F.col("start").cast("string"), F.lit("}), (b {_export_id: "), F.col("end").cast("string"), F.lit("}) CREATE (a)-[:"), F.col("type"), F.lit(" "), keyed, F.lit("]->(b);"))

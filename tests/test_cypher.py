@@ -54,6 +54,7 @@ def test_trails(frozen):
     assert rows(frozen, "MATCH (a {name: 'a'}), (d {name: 'd'}) MATCH p = shortestPath((a)-[:N*..5]-(d)) RETURN length(p) AS k") == [(1,)]
     assert len(rows(frozen, "MATCH (a {name: 'a'}), (c {name: 'c'}) MATCH p = allShortestPaths((a)-[:N*..5]-(c)) RETURN p")) == 2
     assert rows(frozen, "MATCH (a {name: 'a'}), (x {name: 'a'}) MATCH p = shortestPath((a)-[:N*..5]->(x)) RETURN length(p) AS k") == [(0,)]
+    assert rows(frozen, "MATCH (a {name: 'a'})-[r:N*2]->(x) MATCH (a)-[r*]->(y) RETURN y.name AS n") == [("c",)]
     frozen.max_hops = 2
     with pytest.raises(CypherError):
         rows(frozen, "MATCH (a {name: 'a'})-[:N*]->(x) RETURN x")
@@ -149,6 +150,7 @@ def test_files(spark, social, tmp_path):
     assert rows(social, "LOAD CSV WITH HEADERS FROM 'a.csv' AS l RETURN l.name AS n, toInteger(l.age) AS a ORDER BY a") == [("B, C", 5), ("Ada", 37)]
     assert rows(social, "CALL apoc.load.csv('a.csv', {}) YIELD lineNo, map RETURN lineNo, map['name'] AS n ORDER BY lineNo") == [(1, "Ada"), (2, "B, C")]
     assert rows(social, "CALL apoc.load.json('a.json') YIELD value RETURN value.x AS x, value.y.z AS z ORDER BY x") == [(1, "q"), (2, None)]
+    assert rows(social, "CALL apoc.export.cypher.query('MATCH (a:Person)-[r:KNOWS]->(b) RETURN a, r, b', 'out-q') YIELD rows RETURN rows") == [(5,)]
     for what in ("csv", "json", "cypher"):
         assert rows(social, f"CALL apoc.export.{what}.all('out-{what}') YIELD nodes, relationships RETURN nodes, relationships") == [(4, 4)]
         assert any(f.startswith("part-") for f in os.listdir(tmp_path / f"out-{what}"))
