@@ -160,12 +160,14 @@ def _bin(rows, e):
         _boolean(b)
         x, y = a.col.cast("boolean"), b.col.cast("boolean")
         return Val({"AND": lambda: x & y, "OR": lambda: x | y, "XOR": lambda: x != y}[op](), rows, kind=T.BooleanType())
-    if op == "=":
-        return Val(v.equal(a.col, a.type, b.col, b.type), rows, kind=T.BooleanType())
-    if op == "<>":
-        return Val(~v.equal(a.col, a.type, b.col, b.type), rows, kind=T.BooleanType())
+    if op in ("=", "<>"):
+        same = v.equal(a.col, a.type, b.col, b.type, _number(rows, e[2]) or _number(rows, e[3]))
+        return Val(same if op == "=" else ~same, rows, kind=T.BooleanType())
     if op in ("<", "<=", ">", ">="):
-        return Val(v.less(a.col, a.type, b.col, b.type, op), rows, kind=T.BooleanType())
+        if _number(rows, e[2]) and not _number(rows, e[3]):
+            a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op]
+            return Val(v.less(a.col, a.type, b.col, b.type, op, True), rows, kind=T.BooleanType())
+        return Val(v.less(a.col, a.type, b.col, b.type, op, _number(rows, e[3])), rows, kind=T.BooleanType())
     if op == "IN":
         if not v.is_list(b.type) and not v.is_null(b.type):
             raise CypherError("IN needs a list")
@@ -181,6 +183,12 @@ def _bin(rows, e):
     return arithmetic(rows, op, a, b)
 
 
+def _number(rows: Rows, e) -> bool:
+    """Whether an expression is a number that is written out or a parameter, and no NaN."""
+    x = e[1] if e[0] == "lit" else rows.params.get(e[1]) if e[0] == "param" else None
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and x == x
+
+
 def arithmetic(rows: Rows, op: str, a: Val, b: Val) -> Val:
     ta, tb = a.type, b.type
     if v.is_null(ta) and v.is_null(tb):

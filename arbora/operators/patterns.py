@@ -28,7 +28,8 @@ def match_pattern(rows: Rows, p: dict, used: list[tuple[str, list[str]]]) -> Non
     first = nodes[start]
     if bound:
         narrow(rows, first)
-    elif rows.needs.light(first["var"]) and not first["labels"] and first["props"] is None and rels and rels[start]["length"] is None and len(nodes) > start + 1:
+    elif rows.needs.light(first["var"]) and first["props"] is None and rels and rels[start]["length"] is None and rels[start]["var"] not in rows.scope and set(first["labels"]) <= rows.graph.end_labels(
+            rels[start]["types"], {"out": "in", "in": "out", "both": "both"}[rels[start]["dir"]], labels_of(rows, nodes[start + 1]), set(first["labels"])):
         # Only the identity of the first node is read: begin at the relationships.
         begin_at_rel(rows, nodes, rels, start, used)
         for i in range(start + 2, len(nodes)):
@@ -66,19 +67,25 @@ def cross(rows: Rows, df: DataFrame) -> None:
 def scan(rows: Rows, n: dict) -> None:
     cross(rows, rows.graph.scan_nodes(n["labels"], n["var"], props_of(rows, n)))
     bind(rows, n["var"])
+    rows.known[n["var"]] = set(n["labels"])
     inline(rows, n)
 
 
 def begin_at_rel(rows: Rows, nodes, rels, start, used) -> None:
     a, r, b = nodes[start], rels[start], nodes[start + 1]
-    edges = rows.graph.scan_rels(r["types"], r["var"], props_of(rows, r), r["dir"])
+    edges = rows.graph.scan_rels(r["types"], r["var"], props_of(rows, r), r["dir"], set(a["labels"]), labels_of(rows, b))
     edges = edges.withColumn(a["var"], F.struct(F.col("__s").alias("_id"))).drop("__s")
     cross(rows, edges)
     bind(rows, a["var"])
     bind(rows, r["var"])
     inline(rows, r)
     unique(rows, r, used)
-    far_end(rows, r, b)
+    far_end(rows, r, b, set(a["labels"]))
+
+
+def labels_of(rows: Rows, n: dict) -> set[str]:
+    """Labels that a node is known to carry, from this pattern or an earlier one."""
+    return set(n["labels"]) | rows.known.get(n["var"], set())
 
 
 def narrow(rows: Rows, n: dict) -> None:
@@ -121,13 +128,14 @@ def _holds(many: Column, one: Column) -> Column:
     return F.exists(many, lambda x: x["_id"] == one["_id"])
 
 
-def far_end(rows: Rows, r: dict, b: dict) -> None:
+def far_end(rows: Rows, r: dict, b: dict, near: set[str] = frozenset()) -> None:
     """Bind node b at column __e."""
     if b["var"] in rows.scope:
         rows.df = rows.df.where(F.col("__e") == col(b["var"])["_id"]).drop("__e")
         narrow(rows, b)
         return
-    known = rows.graph.end_labels(r["types"], r["dir"])
+    known = rows.graph.end_labels(r["types"], r["dir"], near, set(b["labels"]))
+    rows.known[b["var"]] = set(b["labels"]) | known
     if b["props"] is None and rows.needs.light(b["var"]) and set(b["labels"]) <= known:
         rows.with_column(b["var"], F.struct(F.col("__e").alias("_id")))
         rows.df = rows.df.drop("__e")
@@ -148,12 +156,13 @@ def hop(rows: Rows, a: dict, r: dict, b: dict, used, path) -> None:
         rows.df = rows.df.join(edges, (col(r["var"])["_id"] == F.col("__rid")) & (col(a["var"])["_id"] == F.col("__s"))).drop("__s", "__rid")
         far_end(rows, r, b)
         return
-    edges = rows.graph.scan_rels(r["types"], r["var"], props_of(rows, r), r["dir"])
+    near = labels_of(rows, a)
+    edges = rows.graph.scan_rels(r["types"], r["var"], props_of(rows, r), r["dir"], near, labels_of(rows, b))
     rows.df = rows.df.join(edges, col(a["var"])["_id"] == F.col("__s")).drop("__s")
     bind(rows, r["var"])
     inline(rows, r)
     unique(rows, r, used)
-    far_end(rows, r, b)
+    far_end(rows, r, b, near)
 
 
 def trails(rows: Rows, a: dict, r: dict, b: dict, used, path: bool) -> None:

@@ -51,6 +51,12 @@ class Needs:
     def light(self, var: str) -> bool:
         return var not in self.whole and not self.props.get(var) and var not in self.labels
 
+    def within(self, body: Needs, shared: set[str]) -> Needs:
+        """Needs inside a body that stands alone: of what it shares, only what it reads itself."""
+        pick = lambda mine, own: {x for x in mine if x not in shared} | {x for x in own if x in shared}
+        props = {k: p for k, p in self.props.items() if k not in shared} | {k: p for k, p in body.props.items() if k in shared}
+        return Needs(pick(self.whole, body.whole), props, pick(self.labels, body.labels))
+
 
 _ID_ONLY = {"id", "elementid", "count"}
 
@@ -202,6 +208,8 @@ class Rows:
     def __init__(self, graph, params: dict, needs: Needs, df: DataFrame | None = None, scope: list[str] | None = None, carry: list[str] | None = None):
         self.graph, self.params, self.needs = graph, params, needs
         self.df, self.scope, self.carry = df, list(scope or []), list(carry or [])
+        #: Labels that variables are known to carry.
+        self.known: dict[str, set[str]] = {}
         self.lambdas: dict[str, tuple[Column, object]] = {}
         self.memo: dict[int, object] = {}
         self.keep: list = []
@@ -298,6 +306,7 @@ class Rows:
         in_pattern = {n["var"] for c in clauses if c["kind"] == "match" for p in c["patterns"] for n in p["nodes"]} if plain else set()
         if plain and all(s in in_pattern and v.is_node(self.schema_type(s)) for s in shared):
             inner = self.child()
+            inner.needs = self.needs.within(read_by((clauses, select)), set(shared))
             inner.match(clauses[0])
             keys = []
             for s in shared:
@@ -432,6 +441,7 @@ class Rows:
         named = [(e, alias or (e[1] if e[0] == "var" else text)) for e, alias, text in items]
         if c["star"] and not named:
             raise CypherError("there is no variable to project")
+        self.known = {name: self.known[e[1]] for e, name in named if e[0] == "var" and e[1] in self.known}
         if any(has_aggregate(e) for e, _ in named):
             self.aggregate(named, c)
             return
@@ -659,6 +669,9 @@ def run_statement(graph, tree: dict, params: dict) -> Rows:
             def light(self, var):
                 return False
 
+            def within(self, body, shared):
+                return self
+
         needs = All(needs.whole, needs.props, needs.labels)
     outs = []
     for part in tree["parts"]:

@@ -102,8 +102,11 @@ def _null_bool() -> Column:
     return F.lit(None).cast("boolean")
 
 
-def equal(a: Column, ta, b: Column, tb) -> Column:
-    """Three-valued equality: null against anything is null, other kinds are unequal."""
+def equal(a: Column, ta, b: Column, tb, fixed: bool = False) -> Column:
+    """Three-valued equality: null against anything is null, other kinds are unequal.
+
+    ``fixed``: one side is a number that is written out, and no NaN.
+    """
     if is_null(ta) or is_null(tb):
         return _null_bool()
     ka, kb = kind(ta), kind(tb)
@@ -114,6 +117,8 @@ def equal(a: Column, ta, b: Column, tb) -> Column:
     if ka == "path":
         ids = lambda p: F.transform(p["_rels"], lambda r: r["_id"])
         return (ids(a) == ids(b)) | (ids(a) == F.reverse(ids(b)))
+    if fixed and ka == "number":
+        return a == b
     if is_float(ta) or is_float(tb):
         x, y = a.cast("double"), b.cast("double")
         return F.when(F.isnan(x) | F.isnan(y), F.when(a.isNotNull() & b.isNotNull(), F.lit(False))).otherwise(x == y)
@@ -131,12 +136,18 @@ def equal(a: Column, ta, b: Column, tb) -> Column:
     return a == b
 
 
-def less(a: Column, ta, b: Column, tb, op: str) -> Column:
-    """Three-valued ordering; unlike kinds and graph values do not order."""
+def less(a: Column, ta, b: Column, tb, op: str, fixed: bool = False) -> Column:
+    """Three-valued ordering; unlike kinds and graph values do not order.
+
+    ``fixed``: b is a number that is written out. NaN is Spark's largest value, so
+    then ``<`` needs no guard and ``>`` one that leaves the comparison to the scan.
+    """
     ka, kb = kind(ta), kind(tb)
     if ka != kb or ka in ("null", "node", "rel", "path", "map", "point", "duration"):
         return _null_bool()
     plain = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+    if fixed and ka == "number":
+        return plain if op in ("<", "<=") or not is_float(ta) else plain & ~F.isnan(a.cast("double"))
     if is_float(ta) or is_float(tb):
         nan = F.isnan(a.cast("double")) | F.isnan(b.cast("double"))
         return F.when(nan, F.when(a.isNotNull() & b.isNotNull(), F.lit(False))).otherwise(plain)

@@ -27,6 +27,8 @@ class NodeTable:
 
 @dataclass
 class RelTable:
+    """Relationships of a type; declared labels are exactly those that all ends of that side have."""
+
     type: str
     df: DataFrame
     src_labels: tuple[str, ...] = ()
@@ -86,9 +88,24 @@ class Graph:
             return self.spark.createDataFrame([], T.StructType([T.StructField(var, kind)]))
         return reduce(DataFrame.union, parts)
 
-    def scan_rels(self, types: list[str], var: str, props: set[str] | None, direction: str) -> DataFrame:
-        """(__s, __e, var): relationships from start to end as the pattern reads them."""
-        tables = [t for t in self.rels if not types or t.type in types]
+    def _sides(self, types: list[str], direction: str, near: set[str], far: set[str]) -> list[tuple[RelTable, str]]:
+        """Relationship tables, with the way they are read, whose declared ends can carry the labels."""
+        fits = lambda want, declared: not declared or want <= set(declared)
+        out = []
+        for t in self.rels:
+            if types and t.type not in types:
+                continue
+            if direction in ("out", "both") and fits(near, t.src_labels) and fits(far, t.dst_labels):
+                out.append((t, "out"))
+            if direction in ("in", "both") and fits(near, t.dst_labels) and fits(far, t.src_labels):
+                out.append((t, "in"))
+        return out
+
+    def scan_rels(self, types: list[str], var: str, props: set[str] | None, direction: str, near: set[str] = frozenset(), far: set[str] = frozenset()) -> DataFrame:
+        """(__s, __e, var): relationships from start to end as the pattern reads them; ``near``
+        and ``far`` are labels that the ends must carry, by which whole tables drop out."""
+        sides = self._sides(types, direction, set(near), set(far))
+        tables = list({id(t): t for t, _ in sides}.values())
         kinds: dict[str, T.DataType] = {}
         for t in tables:
             for f in t.df.schema:
@@ -96,28 +113,26 @@ class Graph:
                     old = kinds.get(f.name)
                     kinds[f.name] = f.dataType if old in (None, f.dataType) else widened(old, f.dataType)
         parts = []
-        for t in tables:
+        for t, way in sides:
             cols = [F.col("id").alias("_id"), F.lit(t.type).alias("_type"), F.col("src").alias("_src"), F.col("dst").alias("_dst")]
             cols += [_as(t.df, name, kind) for name, kind in sorted(kinds.items())]
             struct = F.struct(*cols).alias(var)
-            if direction in ("out", "both"):
+            if way == "out":
                 parts.append(t.df.select(F.col("src").alias("__s"), F.col("dst").alias("__e"), struct))
-            if direction in ("in", "both"):
-                back = t.df.where("src <> dst") if direction == "both" else t.df
+            else:
+                # A loop reads the same both ways and counts once.
+                back = t.df.where("src <> dst") if (t, "out") in sides else t.df
                 parts.append(back.select(F.col("dst").alias("__s"), F.col("src").alias("__e"), struct))
         if not parts:
             return self.spark.createDataFrame([], f"__s long, __e long, `{var}` struct<_id: long, _type: string, _src: long, _dst: long>")
         return reduce(DataFrame.union, parts)
 
-    def end_labels(self, types: list[str], direction: str) -> set[str]:
+    def end_labels(self, types: list[str], direction: str, near: set[str] = frozenset(), far: set[str] = frozenset()) -> set[str]:
         """Labels that every far end of such relationships is declared to carry."""
         found: set[str] | None = None
-        for t in self.rels:
-            if types and t.type not in types:
-                continue
-            ends = {"out": [t.dst_labels], "in": [t.src_labels], "both": [t.src_labels, t.dst_labels]}[direction]
-            for e in ends:
-                found = set(e) if found is None else found & set(e)
+        for t, way in self._sides(types, direction, set(near), set(far)):
+            ends = set(t.dst_labels if way == "out" else t.src_labels)
+            found = ends if found is None else found & ends
         return found or set()
 
 
