@@ -8,7 +8,8 @@ identity is asked for.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -19,20 +20,37 @@ from pyspark.sql import types as T
 _TAG = 48
 
 
-@dataclass
-class NodeTable:
-    labels: tuple[str, ...]
-    df: DataFrame
+class _Table:
+    """A table that is made when it is first asked for."""
 
+    def __init__(self, df: DataFrame | Callable[[], DataFrame]):
+        self._df = df
 
-@dataclass
-class RelTable:
+    @property
+    def df(self) -> DataFrame:
+        if callable(self._df) and not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        return self._df
+
+    @df.setter
+    def df(self, df: DataFrame) -> None:
+        self._df = df
+
+
+class NodeTable(_Table):
+    """Nodes that carry exactly ``labels``."""
+
+    def __init__(self, labels: tuple[str, ...], df):
+        super().__init__(df)
+        self.labels = labels
+
+
+class RelTable(_Table):
     """Relationships of a type; declared labels are exactly those that all ends of that side have."""
 
-    type: str
-    df: DataFrame
-    src_labels: tuple[str, ...] = ()
-    dst_labels: tuple[str, ...] = ()
+    def __init__(self, type: str, df, src_labels: tuple[str, ...] = (), dst_labels: tuple[str, ...] = ()):
+        super().__init__(df)
+        self.type, self.src_labels, self.dst_labels = type, src_labels, dst_labels
 
 
 @dataclass
@@ -153,42 +171,46 @@ def widened(a: T.DataType, b: T.DataType) -> T.DataType:
 
 def tables_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The property graph over the star-schema tables: ids are tag * 2^48 + key."""
-    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    read = functools.cache(lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet"))
     tags = {n: i + 1 for i, n in enumerate(("Region", "Nation", "Customer", "Supplier", "Part", "Order", "User", "Event", "Document", "Page"))}
     key = lambda label, col: (F.lit(tags[label] << _TAG).cast("long") + F.col(col).cast("long"))
     edge = lambda tag, col: (F.lit(tag << _TAG).cast("long") + col)
     g = Graph(spark)
 
-    def node(label, df, id_col, **props):
-        g.nodes.append(NodeTable((label,), df.select(key(label, id_col).alias("id"), *[(F.col(c).cast("long") if c in ("p_size",) else F.col(c)).alias(p) for p, c in props.items()])))
-
-    nation, customer, supplier, orders, lineitem, events = (read(n) for n in ("nation", "customer", "supplier", "orders", "lineitem", "events"))
-    node("Region", read("region"), "r_regionkey", name="r_name")
-    node("Nation", nation, "n_nationkey", name="n_name")
-    node("Customer", customer, "c_custkey", name="c_name", acctbal="c_acctbal", mktsegment="c_mktsegment")
-    node("Supplier", supplier, "s_suppkey", name="s_name", acctbal="s_acctbal")
-    node("Part", read("part"), "p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size", retailprice="p_retailprice")
-    node("Order", orders, "o_orderkey", status="o_orderstatus", totalprice="o_totalprice", orderdate="o_orderdate", priority="o_orderpriority")
-    node("User", events.select("user_id").distinct(), "user_id", user_id="user_id")
-    node("Event", events, "event_id", ts="ts", event_type="event_type", value="value", props="props")
-    node("Document", read("documents"), "doc_id", text="text", lang="lang", source="source", n_chars="n_chars")
-    node("Page", read("pages"), "page_id", url="url", html="html")
-
-    def rel(kind, tag, df, own, src, dst, props=None, declare=None):
-        cols = [edge(tag, own).alias("id"), key(*src).alias("src"), key(*dst).alias("dst")]
-        cols += [(F.col(c).cast("long") if c in ("l_suppkey", "l_linenumber") else F.col(c)).alias(p) for p, c in (props or {}).items()]
-        g.rels.append(RelTable(kind, df.select(*cols), (src[0],), (dst[0],)))
-
-    rel("IN_REGION", 1, nation, F.col("n_nationkey").cast("long"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
-    rel("IN_NATION", 2, customer, F.col("c_custkey"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"))
-    rel("IN_NATION", 3, supplier, F.col("s_suppkey"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
-    rel("PLACED", 4, orders, F.col("o_orderkey"), ("Customer", "o_custkey"), ("Order", "o_orderkey"))
-    # No key of the table is unique, so a hash over all its columns tells parallel lines apart.
-    line = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in lineitem.columns]), 17)
-    rel("CONTAINS", 5, lineitem, line, ("Order", "l_orderkey"), ("Part", "l_partkey"), {
+    def node(label, table, id_col, **props):
+        cols = [key(label, id_col).alias("id"), *[(F.col(c).cast("long") if c == "p_size" else F.col(c)).alias(p) for p, c in props.items()]]
+        g.nodes.append(NodeTable((label,), lambda: table().select(*cols)))
+
+    of = lambda n: lambda: read(n)
+    node("Region", of("region"), "r_regionkey", name="r_name")
+    node("Nation", of("nation"), "n_nationkey", name="n_name")
+    node("Customer", of("customer"), "c_custkey", name="c_name", acctbal="c_acctbal", mktsegment="c_mktsegment")
+    node("Supplier", of("supplier"), "s_suppkey", name="s_name", acctbal="s_acctbal")
+    node("Part", of("part"), "p_partkey", name="p_name", brand="p_brand", type="p_type", size="p_size", retailprice="p_retailprice")
+    node("Order", of("orders"), "o_orderkey", status="o_orderstatus", totalprice="o_totalprice", orderdate="o_orderdate", priority="o_orderpriority")
+    node("User", lambda: read("events").select("user_id").distinct(), "user_id", user_id="user_id")
+    node("Event", of("events"), "event_id", ts="ts", event_type="event_type", value="value", props="props")
+    node("Document", of("documents"), "doc_id", text="text", lang="lang", source="source", n_chars="n_chars")
+    node("Page", of("pages"), "page_id", url="url", html="html")
+
+    def rel(kind, tag, source, own, src, dst, props=None):
+        def make():
+            df = source()
+            ident = F.col(own).cast("long") if own else F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in df.columns]), 17)
+            cols = [edge(tag, ident).alias("id"), key(*src).alias("src"), key(*dst).alias("dst")]
+            cols += [(F.col(c).cast("long") if c in ("l_suppkey", "l_linenumber") else F.col(c)).alias(p) for p, c in (props or {}).items()]
+            return df.select(*cols)
+
+        g.rels.append(RelTable(kind, make, (src[0],), (dst[0],)))
+
+    rel("IN_REGION", 1, of("nation"), "n_nationkey", ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
+    rel("IN_NATION", 2, of("customer"), "c_custkey", ("Customer", "c_custkey"), ("Nation", "c_nationkey"))
+    rel("IN_NATION", 3, of("supplier"), "s_suppkey", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
+    rel("PLACED", 4, of("orders"), "o_orderkey", ("Customer", "o_custkey"), ("Order", "o_orderkey"))
+    # No key of the lines is unique, so a hash over all columns tells parallel lines apart.
+    rel("CONTAINS", 5, of("lineitem"), None, ("Order", "l_orderkey"), ("Part", "l_partkey"), {
         "linenumber": "l_linenumber", "suppkey": "l_suppkey", "quantity": "l_quantity", "extendedprice": "l_extendedprice", "discount": "l_discount",
         "tax": "l_tax", "returnflag": "l_returnflag", "linestatus": "l_linestatus", "shipdate": "l_shipdate"})
-    pairs = lineitem.select("l_suppkey", "l_partkey").distinct()
-    rel("SUPPLIES", 6, pairs, F.shiftrightunsigned(F.xxhash64("l_suppkey", "l_partkey"), 17), ("Supplier", "l_suppkey"), ("Part", "l_partkey"))
-    rel("DID", 7, events, F.col("event_id"), ("User", "user_id"), ("Event", "event_id"))
+    rel("SUPPLIES", 6, lambda: read("lineitem").select("l_suppkey", "l_partkey").distinct(), None, ("Supplier", "l_suppkey"), ("Part", "l_partkey"))
+    rel("DID", 7, of("events"), "event_id", ("User", "user_id"), ("Event", "event_id"))
     return g
