@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.plans import values as v
-from arbora.plans.lower import CypherError, Rows, Val, col
+from arbora.plans.lower import ORDER, CypherError, Rows, Val, col
 
 
 def _same(c: Column) -> Column:
     return c
 
 
-def lower_aggregate(rows: Rows, name: str, e, vals: list[Val]) -> tuple[Column, Callable[[Column], Column]]:
-    """(aggregate over the columns ``<name>_<i>``, what to do with its result)."""
+def _in_order(x: Column) -> Column:
+    """The non-null values of a group in the order of the rows."""
+    pairs = F.collect_list(F.when(x.isNotNull(), F.struct(col(ORDER).alias("o"), x.alias("x"))))
+    return F.transform(F.array_sort(pairs, lambda a, b: F.when(a["o"] < b["o"], F.lit(-1)).when(a["o"] > b["o"], F.lit(1)).otherwise(F.lit(0))), lambda p: p["x"])
+
+
+def lower_aggregate(rows: Rows, name: str, e, vals: list[Val], ordered: bool = False) -> tuple[Column, Callable[[Column], Column]]:
+    """(aggregate over the columns ``<name>_<i>``, what to do with its result); ``ordered``: rows have a known order."""
     how, distinct = e[1], e[2]
     if how == "count" and e[3] is None:
         return F.count(F.lit(1)), lambda c: F.coalesce(c, F.lit(0).cast("long"))
@@ -41,9 +47,10 @@ def lower_aggregate(rows: Rows, name: str, e, vals: list[Val]) -> tuple[Column,
         return F.max(x), _same
     if how == "collect":
         empty = F.array().cast(T.ArrayType(kind))
+        listed = _in_order(x) if ordered else F.collect_list(x)
         if distinct:
-            return F.collect_list(x), lambda c: F.coalesce(F.array_distinct(c), empty)
-        return F.collect_list(x), lambda c: F.coalesce(c, empty)
+            return listed, lambda c: F.coalesce(F.array_distinct(c), empty)
+        return listed, lambda c: F.coalesce(c, empty)
     if how in ("stdev", "stdevp"):
         f = F.stddev_samp if how == "stdev" else F.stddev_pop
         return f(x.cast("double")), lambda c: F.coalesce(c, F.lit(0.0))
@@ -57,14 +64,14 @@ def lower_aggregate(rows: Rows, name: str, e, vals: list[Val]) -> tuple[Column,
         cast = (lambda c: c.cast("long")) if v.is_int(kind) else _same
         return F.expr(f"percentile_disc({float(p)!r}D) WITHIN GROUP (ORDER BY `{name}_0`)"), cast
     if how == "apoc.agg.first":
-        return F.first(x, ignorenulls=True), _same
+        return (F.min_by(x, F.when(x.isNotNull(), col(ORDER))) if ordered else F.first(x, ignorenulls=True)), _same
     if how == "apoc.agg.last":
-        return F.last(x, ignorenulls=True), _same
+        return (F.max_by(x, F.when(x.isNotNull(), col(ORDER))) if ordered else F.last(x, ignorenulls=True)), _same
     if how == "apoc.agg.nth":
         n = e[3][1][1]
         if n < 0:
             raise CypherError("nth needs 0 or more")
-        return F.collect_list(x), lambda c: F.get(c, F.lit(n))
+        return (_in_order(x) if ordered else F.collect_list(x)), lambda c: F.get(c, F.lit(n))
     if how == "apoc.agg.median":
         return F.median(x.cast("double")), _same
     if how == "apoc.agg.product":

@@ -34,6 +34,10 @@ def fresh(prefix: str) -> str:
     return f"__{prefix}{next(_fresh)}"
 
 
+#: Hidden column of the place of a row after WITH … ORDER BY.
+ORDER = "__order"
+
+
 def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -428,6 +432,9 @@ class Rows:
 
     def do_with(self, c: dict) -> None:
         self.projection(c)
+        if c["order"] and not self.carry:
+            # Row ids rise along a global sort: what reads rows in order needs no other key.
+            self.with_column(ORDER, F.monotonically_increasing_id())
         if c["where"] is not None:
             self.filter(c["where"])
 
@@ -451,7 +458,9 @@ class Rows:
         if c["order"] and not c["distinct"]:
             for e, down in c["order"]:
                 hidden.append((fresh("o"), self.compile(substituted(e, swap)), down))
-        self.df = self.df.select(*[col(k) for k in self.carry], *[o.col.alias(n) for n, o in outs], *[h.col.alias(n) for n, h, _ in hidden])
+        # The order of an earlier ORDER BY stays known for aggregates that depend on it.
+        order = [col(ORDER)] if ORDER in self.df.columns and not c["distinct"] and not c["order"] else []
+        self.df = self.df.select(*[col(k) for k in self.carry], *order, *[o.col.alias(n) for n, o in outs], *[h.col.alias(n) for n, h, _ in hidden])
         self.scope = [n for n, _ in outs]
         if c["distinct"]:
             self.distinct()
@@ -565,10 +574,11 @@ class Rows:
         for name, _, vals in args:
             for i, a in enumerate(vals):
                 flat.append(a.col.alias(f"{name}_{i}"))
-        base = self.df.select(*[col(k) for k in self.carry], *pre, *flat)
+        ordered = ORDER in self.df.columns
+        base = self.df.select(*[col(k) for k in self.carry], *pre, *flat, *([col(ORDER)] if ordered else []))
         aggs, post = [], []
         for name, e, vals in args:
-            agg, fix = lower_aggregate(self, name, e, vals)
+            agg, fix = lower_aggregate(self, name, e, vals, ordered)
             aggs.append(agg.alias(name))
             post.append((name, fix))
         grouped = base.groupBy(*[col(k) for k in self.carry], *group)

@@ -78,6 +78,13 @@ def test_subqueries(social):
     assert rows(social, "MATCH (a:Person) RETURN a.name AS n, [(a)-[:KNOWS]->(b) WHERE b.age > 40 | b.name] AS l ORDER BY n") == [("Ada", ["Alan"]), ("Alan", ["Grace"]), ("Grace", [])]
 
 
+def test_order_sensitive_aggregates(social):
+    assert rows(social, "MATCH (p:Person) WITH p ORDER BY p.age DESC RETURN collect(p.name) AS l") == [(["Grace", "Alan", "Ada"],)]
+    assert rows(social, "MATCH (p:Person) WITH p.name AS n, p.age AS a ORDER BY a WITH n RETURN apoc.agg.first(n) AS f, apoc.agg.last(n) AS l, apoc.agg.nth(n, 1) AS m") == [("Ada", "Grace", "Alan")]
+    assert rows(social, "UNWIND range(1, 50) AS x WITH x ORDER BY -x RETURN x % 2 AS k, collect(x)[0] AS top ORDER BY k") == [(0, 50), (1, 49)]
+    assert rows(social, "UNWIND [3, 1, 2, 3] AS x WITH x ORDER BY x LIMIT 3 RETURN collect(DISTINCT x) AS l") == [([1, 2, 3],)]
+
+
 def test_writes(social):
     assert rows(social, "MERGE (p:Person {name: 'Ada'}) ON MATCH SET p.seen = true ON CREATE SET p.seen = false RETURN p.seen AS s") == [(True,)]
     assert rows(social, "UNWIND ['X', 'Y', 'X'] AS n MERGE (p:Person {name: n}) ON CREATE SET p.age = 1 RETURN count(*) AS c") == [(3,)]
