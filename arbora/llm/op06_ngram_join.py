@@ -42,8 +42,10 @@ from pyspark.sql import functions as F
 from arbora.llm.common import connected_components, hand_over, plain_scan, split_number, staged, table, take_over
 
 #: Shingles of a run of documents that are counted together, and bytes of texts hashed at a time.
-RUN = 1 << 21
-BUFFER = 2 << 20
+RUN = 1 << 20
+BUFFER = 1 << 20
+#: Rows whose sets are held at a time.
+ROWS = 512
 #: Documents and bytes of a block.
 BLOCK_ROWS = 128
 BLOCK_BYTES = 8 << 20
@@ -170,11 +172,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
 
 
+def _set_batches(batches, shingle):
+    """(rows, their sets): a few rows at a time, so that a large batch never has all its sets in memory."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            part = batch.slice(first, ROWS)
+            yield part, shingle.many(part.column("raw").to_pylist())
+
+
 def _runs(batches, shingle):
     """(number of the first row, sets) of runs of rows with RUN shingles or more; the same runs in every scan."""
     number, held, size = 0, [], 0
-    for batch in batches:
-        for s in shingle.many(batch.column("raw").to_pylist()):
+    for _, sets in _set_batches(batches, shingle):
+        for s in sets:
             held.append(s)
             size += len(s)
             if size >= RUN:
@@ -186,15 +196,14 @@ def _runs(batches, shingle):
 
 def class_sets(texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """(rid, doc_id, n, cid) of every row: its place, the size and the class of its set."""
-    k, split, cid_of, shingler = spec.k, split_number, _cid, _Shingler
+    k, split, cid_of, shingler, set_batches = spec.k, split_number, _cid, _Shingler, _set_batches
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         shingle, number = shingler(k), split() << 40
-        for batch in batches:
-            sets = shingle.many(batch.column("raw").to_pylist())
+        for batch, sets in set_batches(batches, shingle):
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(number, number + len(sets))), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([cid_of(s) for s in sets], pa.int64())], ["rid", "doc_id", "n", "cid"])
