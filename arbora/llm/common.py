@@ -32,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='arbora-shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    # Spark and pyarrow must mean the same place, so the file system is named in full.
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -101,7 +104,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     split where a node is hot, so no group is ever gathered in one task.
     Self-loops, repeated edges and null ends are dropped.
     """
-    spark = edges.sparkSession
     now = staged(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .where("u is not null and v is not null and u <> v").distinct(), "cc",
@@ -118,7 +120,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").union(low.select(F.col("u").alias("x"), "m"))
         now = staged(small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "cc")
-    del spark
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
