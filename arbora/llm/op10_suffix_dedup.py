@@ -217,7 +217,7 @@ def _compared(rows: DataFrame) -> DataFrame:
 
 def _left_over(texts: DataFrame, path: str, spec: RepeatSpec) -> DataFrame:
     """Cut the left-over runs out of the texts: (lead, rid, s, need, bytes) of those to be compared
-    together, (hash, rid, s) for every window of the hot ones."""
+    together, (hash, rid, s, need) for every window of the hot ones."""
     taken, split, hashes, mixed, length = take_over, split_number, _hashes, _mixed, spec.length
 
     def run(batches: Iterator) -> Iterator:
@@ -252,7 +252,7 @@ def _left_over(texts: DataFrame, path: str, spec: RepeatSpec) -> DataFrame:
                     pa.array([x[3] for x in cold], pa.binary()), pa.nulls(k, pa.int64())], names)
             for i, s, n, _, w in (x for x in out if hot[x[0]]):
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(n, pa.int64()), pa.array(np.full(n, rid[i] + (split() << 40))), pa.array(np.arange(s, s + n)), pa.nulls(n, pa.bool_()),
+                    pa.nulls(n, pa.int64()), pa.array(np.full(n, rid[i] + (split() << 40))), pa.array(np.arange(s, s + n)), pa.array(np.full(n, need[i])),
                     pa.nulls(n, pa.binary()), pa.array(w.view(np.int64))], names)
             number += batch.num_rows
 
@@ -311,7 +311,9 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), keep_text:
     left = left.select("lead", "run", "rid", "place", F.col("hot_lead").isNotNull().alias("hot"), (~F.col("full")).alias("need"))
     parts = staged(_left_over(texts, hand_over(left, "suffix-left"), spec), "suffix-parts")
     local = _together(parts.where("bytes is not null"), spec)
-    lone = parts.where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid"), F.min("s").alias("s")).where("c = 1")
+    # A row that needs no judging stands for its equal runs: what only it holds is a repeat already.
+    once = [F.count(F.lit(1)).alias("c"), *(F.min(x).alias(x) for x in ("rid", "s", "need"))]
+    lone = parts.where("hash is not null").groupBy("hash").agg(*once).where("c = 1 and need")
     span = [(F.shiftright("place", 16)).alias("s"), (F.col("place").bitwiseAND(255) + 1).alias("n")]
     repeats = (
         flagged.where("full").select(F.lit(FULL).alias("kind"), "rid", *span)

@@ -399,6 +399,22 @@ def test_suffix_dedup(spark, odd_texts, spec, monkeypatch):
     assert o.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spec", [(200, 48), (30, 8)])
+def test_suffix_copies_under_a_hot_header(spark, spec, monkeypatch):
+    """Every run of a header's leading keys has two copies, so the first and the last one leave one row each;
+    the texts are so short that the header's windows are their last."""
+    from arbora.llm import op10_suffix_dedup as o
+
+    monkeypatch.setattr(o, "TOGETHER", 20)
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    headers = [letters(spec[0] + 10) for _ in range(6)]
+    texts = [h + letters(spec[0] // 5) for h in headers for _ in range(20)] * 2 + [h + letters(spec[0] // 5) for h in headers]
+    got = {r.doc_id: r for r in o.remove_repeats(docs_of(spark, texts), o.RepeatSpec(*spec)).collect()}
+    for i, want in enumerate(repeats_brute([t.encode() for t in texts], spec[0])):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
+
+
 # common ----------------------------------------------------------------------------
 def test_components(spark):
     from arbora.llm.common import connected_components
