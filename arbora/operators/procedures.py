@@ -198,6 +198,10 @@ def _set_type(rows, args):
 
 
 # path expansion ----------------------------------------------------------------------
+UNIQUENESS = ("NODE_GLOBAL", "NODE_LEVEL", "NODE_PATH", "RELATIONSHIP_GLOBAL", "RELATIONSHIP_LEVEL", "RELATIONSHIP_PATH", "NONE")
+NODE_LISTS = ("endNodes", "blacklistNodes", "whitelistNodes")
+
+
 def _rel_filter(text: str) -> list[tuple[list[str], str]]:
     """``TYPE>``, ``<TYPE``, ``TYPE``, ``>``, ``<``: (types, direction) of each alternative."""
     out = []
@@ -219,14 +223,75 @@ def _has(node: str, labels: set[str]):
     return F.arrays_overlap(F.col(f"{node}._labels"), F.array(*[F.lit(x) for x in sorted(labels)]))
 
 
-def expand(rows: Rows, start, config: dict) -> DataFrame:
-    """(__start, __path): breadth-first expansion from every distinct start node.
+def _node_lists(rows: Rows, e) -> dict:
+    """The ids of each node list that a config gives, as a sorted array; null is no filter."""
+    if e[0] == "param":
+        given = {k: ("param", x) for k, x in (rows.params[e[1]] or {}).items()}
+    else:
+        given = e[1] if e[0] == "map" else {}
+
+    def wrong(k):
+        raise CypherError(f"{k} must be a node or a list of nodes")
+
+    def ident(k, n):
+        i = n["_id"]
+        return F.coalesce(i, F.raise_error(F.lit(f"{k} must contain nodes")).cast("long"))
+
+    def node(k, x):
+        x = rows.compile(x)
+        if not (isinstance(x.type, T.StructType) and "_labels" in x.type.names):
+            wrong(k)
+        return x.col
+
+    out = {}
+    for k in NODE_LISTS:
+        if k not in given or given[k] in (("lit", None), ("param", None)):
+            continue
+        x = given[k]
+        if e[0] == "param" or x[0] == "param":  # nodes as results give them
+            held = x[1] if e[0] == "param" else rows.params[x[1]]
+            if held is None:
+                continue
+            try:
+                ids = F.array(*[F.lit(int(n["_id"])) for n in (held if isinstance(held, list) else [held])])
+            except (TypeError, ValueError, KeyError):
+                wrong(k)
+        elif x[0] == "list":
+            ids = F.array(*[ident(k, node(k, y)) for y in x[1]])
+        else:
+            y = rows.compile(x)
+            if isinstance(y.type, T.ArrayType) and isinstance(y.type.elementType, T.StructType) and "_labels" in y.type.elementType.names:
+                ids = F.transform(y.col, lambda n, k=k: ident(k, n))
+            else:
+                n = node(k, x)
+                ids = F.when(n["_id"].isNotNull(), F.array(n["_id"]))
+        out[k] = F.array_sort(F.array_distinct(ids.cast("array<long>")))
+    return out
+
+
+def expand(rows: Rows, start, config: dict, lists: dict | None = None) -> tuple[DataFrame, object]:
+    """(__start, __path) and the key of a row that __start equals: breadth-first expansion
+    from every distinct start node, with its node lists if there are any.
 
-    Uniqueness is by path (nodes or relationships) or global (first discovery of
-    a node for a start); every level is one join and is staged.
+    Uniqueness is by path, by level or global for a start; of the ways that compete
+    for a node or relationship within a level the first by relationship ids stays.
+    Every level is one join and is staged.
     """
     g, spark = rows.graph, rows.graph.spark
-    uniq = config.get("uniqueness", "RELATIONSHIP_PATH").upper()
+    config = {k: x for k, x in config.items() if x is not None}
+    uniq = config.get("uniqueness", "NODE_GLOBAL").strip().upper()
+    if uniq not in UNIQUENESS:
+        raise CypherError(f"unknown uniqueness mode {uniq}; there are {', '.join(UNIQUENESS)}")
+    key = F.struct(start["_id"].alias("id"), *[x.alias(k) for k, x in lists.items()]) if lists else start["_id"]
+    at_start = F.col("__start.id") if lists else F.col("__start")
+
+    def listed(df: DataFrame, node: str, *names: str) -> DataFrame:
+        for k in names:
+            if k in (lists or {}):
+                there = F.array_contains(F.col(f"__start.{k}"), F.col(node))
+                df = df.where(F.coalesce(~there if k == "blacklistNodes" else there, F.lit(True)))
+        return df
+
     low, high = int(config.get("minLevel", 1)), config.get("maxLevel", -1)
     low = 1 if low < 0 else low
     high = None if high is None or int(high) < 0 else int(high)
@@ -243,11 +308,15 @@ def expand(rows: Rows, start, config: dict) -> DataFrame:
     edges = reduce(DataFrame.union, edges)
     n = g.scan_nodes([], "__m", None)
     nodes = n.select(F.col("__m._id").alias("__mid"), recast(F.col("__m"), n.schema["__m"].dataType, kinds[0], False).alias("__m"))
-    first = rows.df.select(start["_id"].alias("__start")).where("__start is not null").distinct()
-    level = first.join(nodes, F.col("__start") == F.col("__mid")).select("__start", F.col("__start").alias("__at"), F.array("__m").cast(T.ArrayType(nt)).alias("__ns"), F.array().cast(T.ArrayType(rt)).alias("__rs"), F.col("__m"))
+    first = rows.df.select(key.alias("__start")).where(at_start.isNotNull()).distinct()
+    level = first.join(nodes, at_start == F.col("__mid")).select("__start", at_start.alias("__at"), F.array("__m").cast(T.ArrayType(nt)).alias("__ns"), F.array().cast(T.ArrayType(rt)).alias("__rs"), F.col("__m"))
     seen = level.select(F.col("__start").alias("__ss"), F.col("__at").alias("__sa"))
+    used = None
 
     def ends(df: DataFrame, depth: int) -> DataFrame:
+        if depth == 0 and start_filtered:
+            df = listed(df, "__at", "blacklistNodes", "whitelistNodes")
+        df = listed(df, "__at", "endNodes")
         if depth == 0 and not start_filtered:
             return df if not labels[">"] and not labels["/"] else df.where(F.lit(False))
         stops = labels[">"] | labels["/"]
@@ -259,13 +328,17 @@ def expand(rows: Rows, start, config: dict) -> DataFrame:
             level = level.where(~_has("__m", labels["/"]))
         depth += 1
         step = level.drop("__m").join(edges, F.col("__at") == F.col("__vs")).join(nodes, F.col("__ve") == F.col("__mid"))
+        step = listed(step, "__ve", "blacklistNodes", "whitelistNodes")
         if labels["-"]:
             step = step.where(~_has("__m", labels["-"]))
         if labels["+"]:
             step = step.where(_has("__m", labels["+"] | labels[">"] | labels["/"]))
-        if uniq in ("RELATIONSHIP_PATH", "NONE", "RELATIONSHIP_GLOBAL", "RELATIONSHIP_LEVEL"):
-            if uniq != "NONE":
-                step = step.where(~F.exists("__rs", lambda x: x["_id"] == F.col("__r._id")))
+        if uniq == "RELATIONSHIP_PATH":
+            step = step.where(~F.exists("__rs", lambda x: x["_id"] == F.col("__r._id")))
+        elif uniq == "NODE_LEVEL" and depth == 1:
+            step = step.where(F.col("__ve") != at_start)
+        elif uniq == "RELATIONSHIP_GLOBAL" and used is not None:
+            step = step.join(used, (F.col("__start") == F.col("__ss")) & (F.col("__r._id") == F.col("__sr")), "left_anti")
         elif uniq == "NODE_PATH":
             step = step.where(~F.exists("__ns", lambda x: x["_id"] == F.col("__ve")))
         step = step.select("__start", F.col("__ve").alias("__at"), F.array_append("__ns", F.col("__m")).alias("__ns"), F.array_append("__rs", F.col("__r")).alias("__rs"), "__m")
@@ -274,7 +347,7 @@ def expand(rows: Rows, start, config: dict) -> DataFrame:
                 step = step.join(seen, (F.col("__start") == F.col("__ss")) & (F.col("__at") == F.col("__sa")), "left_anti")
             order = F.transform("__rs", lambda x: x["_id"])
             step = step.groupBy("__start", "__at").agg(F.min_by(F.struct("__ns", "__rs", "__m"), order).alias("p")).select("__start", "__at", "p.*")
-        if uniq == "RELATIONSHIP_GLOBAL":
+        if uniq in ("RELATIONSHIP_GLOBAL", "RELATIONSHIP_LEVEL"):
             last = F.element_at("__rs", -1)["_id"]
             step = step.withColumn("__l", last).groupBy("__start", "__l").agg(F.min_by(F.struct("__at", "__ns", "__rs", "__m"), F.transform("__rs", lambda x: x["_id"])).alias("p")).select("__start", "p.*")
         level = staged(step, spark)
@@ -282,6 +355,9 @@ def expand(rows: Rows, start, config: dict) -> DataFrame:
             break
         if uniq == "NODE_GLOBAL":
             seen = seen.union(level.select("__start", "__at"))
+        if uniq == "RELATIONSHIP_GLOBAL":
+            now = level.select(F.col("__start").alias("__ss"), F.element_at("__rs", -1)["_id"].alias("__sr"))
+            used = now if used is None else used.union(now)
         if depth >= low:
             found.append(ends(level, depth))
         if high is None and depth >= g.max_hops:
@@ -292,16 +368,20 @@ def expand(rows: Rows, start, config: dict) -> DataFrame:
     out = out.select("__start", F.struct(F.col("__ns").alias("_nodes"), F.col("__rs").alias("_rels")).alias("__path"))
     if config.get("limit"):
         out = out.limit(int(config["limit"]))
-    return out
+    return out, key
 
 
 def _expansion(name: str, columns: list[str], make, forced: dict):
     def f(rows, args):
         rows.start()
         start = rows.compile(args[0])
-        config = value_of(rows, args[1]) if len(args) > 1 else {}
-        df = make(expand(rows, start.col, {**config, **forced} if name != "expandconfig" else config))
-        return df, columns, (start.col["_id"], "__start")
+        config, lists = args[1] if len(args) > 1 else ("map", {}), {}
+        if config[0] in ("map", "param"):
+            lists = _node_lists(rows, config)
+        if config[0] == "map":
+            config = ("map", {k: x for k, x in config[1].items() if k not in NODE_LISTS})
+        df, key = expand(rows, start.col, {**(value_of(rows, config) or {}), **forced}, lists)
+        return make(df), columns, (key, "__start")
 
     PROCEDURES[f"apoc.path.{name}"] = (f, ("start", "config"))
 
@@ -318,8 +398,8 @@ def _expand(rows, args):
     rows.start()
     start = rows.compile(args[0])
     r, lab, low, high = (value_of(rows, a) for a in args[1:5])
-    df = expand(rows, start.col, {"relationshipFilter": r, "labelFilter": lab, "minLevel": low, "maxLevel": high})
-    return df.withColumnRenamed("__path", "path"), ["path"], (start.col["_id"], "__start")
+    df, key = expand(rows, start.col, {"relationshipFilter": r, "labelFilter": lab, "minLevel": low, "maxLevel": high})
+    return df.withColumnRenamed("__path", "path"), ["path"], (key, "__start")
 
 
 # statements --------------------------------------------------------------------------

@@ -70,6 +70,52 @@ def test_path_procedures(frozen):
     assert rows(frozen, "MATCH (a {name: 'a'}) CALL apoc.path.expand(a, 'N>', '', 1, 1) YIELD path RETURN length(path) AS k") == [(1,)]
 
 
+def test_path_node_lists(frozen):
+    q = "MATCH (a {name: 'a'}), (b {name: 'b'}), (c {name: 'c'}), (d {name: 'd'}) CALL apoc.path.%s(a, {relationshipFilter: 'N%s', %s}) YIELD %s "
+    ends = "RETURN nodes(path)[-1].name AS n ORDER BY n"
+    names = lambda *a: [n for n, in rows(frozen, q % a)]
+    assert names("expandConfig", ">", "blacklistNodes: [c]", "path " + ends) == ["b"]
+    assert names("expandConfig", "", "blacklistNodes: [c]", "path " + ends) == ["b", "d"]
+    assert names("expandConfig", ">", "whitelistNodes: [b, c]", "path " + ends) == ["b", "c"]
+    assert names("expandConfig", ">", "endNodes: [c, d], blacklistNodes: null", "path " + ends) == ["c", "d"]
+    assert names("expandConfig", ">", "whitelistNodes: []", "path " + ends) == []
+    assert names("subgraphNodes", ">", "blacklistNodes: c", "node RETURN node.name AS n ORDER BY n") == ["a", "b"]
+    assert names("spanningTree", ">", "minLevel: 0, filterStartNode: true, whitelistNodes: [b]", "path " + ends) == ["b"]
+    assert rows(frozen, "MATCH (x) WHERE x.name IN ['c', 'd'] WITH collect(x) AS l MATCH (a {name: 'a'}) CALL apoc.path.expandConfig(a, {relationshipFilter: 'N>', endNodes: l}) YIELD path " + ends) == [("c",), ("d",)]
+    per_row = "MATCH (a {name: 'a'}), (x) WHERE x.name IN ['b', 'd'] CALL apoc.path.subgraphNodes(a, {relationshipFilter: 'N>', blacklistNodes: [x]}) YIELD node RETURN x.name AS x, count(*) AS n ORDER BY x"
+    assert rows(frozen, per_row) == [("b", 1), ("d", 3)]
+    with pytest.raises(CypherError):
+        rows(frozen, q % ("expandConfig", ">", "endNodes: ['c']", "path RETURN path"))
+
+
+def expanded(edges, start, mode, most):
+    """How many paths of each length a walk over ``edges`` in both directions finds."""
+    out, level, nodes, used = {}, [((), (start,))], {start}, set()
+    for depth in range(1, most + 1):
+        here_n, here_r, now = ({start} if depth == 1 else set()), set(), []
+        for rs, ns in level:
+            for r, (x, y) in enumerate(edges):
+                for far in {y} if x == ns[-1] == y else {y} if x == ns[-1] else {x} if y == ns[-1] else ():
+                    taken = {"NODE_GLOBAL": far in nodes, "NODE_LEVEL": far in here_n, "NODE_PATH": far in ns, "RELATIONSHIP_GLOBAL": r in used, "RELATIONSHIP_LEVEL": r in here_r, "RELATIONSHIP_PATH": r in rs, "NONE": False}[mode]
+                    if not taken:
+                        nodes.add(far), here_n.add(far), used.add(r), here_r.add(r)
+                        now.append(((*rs, r), (*ns, far)))
+        level = now
+        if level:
+            out[depth] = len(level)
+    return out
+
+
+@pytest.mark.parametrize("mode", ["NODE_GLOBAL", "NODE_LEVEL", "NODE_PATH", "RELATIONSHIP_GLOBAL", "RELATIONSHIP_LEVEL", "RELATIONSHIP_PATH", "NONE", None])
+def test_path_uniqueness(frozen, mode):
+    edges = [(0, 1), (1, 2), (2, 3), (3, 0), (1, 1)]  # the N in a ring, LOOP at b
+    config = "{maxLevel: 4}" if mode is None else f"{{maxLevel: 4, uniqueness: '{mode.lower()}'}}"
+    got = rows(frozen, f"MATCH (a {{name: 'a'}}) CALL apoc.path.expandConfig(a, {config}) YIELD path RETURN length(path) AS k, count(*) AS n")
+    assert dict(got) == expanded(edges, 0, mode or "NODE_GLOBAL", 4)
+    with pytest.raises(CypherError):
+        rows(frozen, "MATCH (a {name: 'a'}) CALL apoc.path.expandConfig(a, {uniqueness: 'NODES'}) YIELD path RETURN path")
+
+
 def test_subqueries(social):
     assert rows(social, "MATCH (a:Person) RETURN a.name AS n, EXISTS { (a)-[:LIKES]->() } AS e, COUNT { (a)--() } AS c, COLLECT { MATCH (a)-[:KNOWS]->(b) RETURN b.name } AS l ORDER BY n") == [("Ada", False, 3, ["Alan"]), ("Alan", True, 3, ["Grace"]), ("Grace", False, 1, [])]
     assert rows(social, "MATCH (a:Person) CALL { WITH a MATCH (a)-[:KNOWS]->(b) RETURN count(b) AS k } RETURN a.name AS n, k ORDER BY n") == [("Ada", 1), ("Alan", 1), ("Grace", 0)]
