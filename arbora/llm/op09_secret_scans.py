@@ -6,7 +6,8 @@ more). Weak candidates - bare mixed strings, user identifiers and endpoints -
 mean nothing alone. They are linked by an interval join of the parts of one
 text on their starts: two parts share a scope when they begin at most ``scope``
 code points apart. A weak secret is reported beside an identifier, an
-identifier beside a secret, an endpoint where both lie in its scope.
+identifier beside a secret, an endpoint where both lie in its scope. A secret is
+an ``assign`` or weak string, or a ``hex`` run outside the part it stands beside.
 
 The join runs over the parts sorted by start. Parts of a kind do not overlap
 and are at least 8 long, so at most ``scope / 8`` of each kind begin within the
@@ -84,18 +85,23 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     df = _spans(df, "hex", HEX)
     # No complementary pair without one of these, so the other patterns need no run.
     df = _spans(df, "weak", WEAK)
-    df = _spans(df, "identifier", IDENTIFIER, "size(_weak) + size(_assign) > 0")
-    df = _spans(df, "endpoint", ENDPOINT, "size(_weak) + size(_assign) > 0 and size(_identifier) + size(_access) > 0")
+    df = _spans(df, "identifier", IDENTIFIER, "size(_weak) + size(_assign) + size(_hex) > 0")
+    df = _spans(df, "endpoint", ENDPOINT, "size(_weak) + size(_assign) + size(_hex) > 0 and size(_identifier) + size(_access) > 0")
     df = df.withColumn("base_spans", F.sort_array(F.concat("_assign", "_access", "_hex")))
-    df = df.withColumn("_z", F.sort_array(F.concat("_assign", "_access", "_endpoint", "_identifier", "_weak")))
-    reach = 5 * (scope // MIN_PART + 1)
+    df = df.withColumn("_z", F.sort_array(F.concat("_assign", "_access", "_hex", "_endpoint", "_identifier", "_weak")))
+    reach = len(KINDS) * (scope // MIN_PART + 1)
     kind = {k: i for i, k in enumerate(KINDS)}
     near = lambda *kinds: f"exists(slice(_z, greatest(1, i + 1 - {reach}), {2 * reach + 1}), q -> q.k in ({', '.join(str(kind[k]) for k in kinds)}) and abs(q.s - p.s) <= {scope})"
-    inside = f"exists(slice(_z, greatest(1, i + 1 - {reach}), {reach}), q -> q.k = {kind['assign']} and q.s <= p.s and p.s < q.e)"
+    # An assign that begins before the parts in reach is longer than the scope.
+    df = df.withColumn("_long", F.expr(f"filter(_assign, q -> q.e - q.s > {scope})"))
+    holds = "q.s <= p.s and p.s < q.e"
+    inside = f"(exists(slice(_z, greatest(1, i + 1 - {reach}), {reach}), q -> q.k = {kind['assign']} and {holds}) or exists(_long, q -> {holds}))"
+    hexed = near("hex").replace(") and abs", ") and (q.s < p.s or q.s >= p.e) and abs")
+    secret = f"({near('assign', 'weak')} or {hexed})"
     linked = (
         f"case p.k when {kind['weak']} then {near('access', 'identifier')} and not {inside} "
-        f"when {kind['identifier']} then {near('assign', 'weak')} "
-        f"when {kind['endpoint']} then {near('access', 'identifier')} and {near('assign', 'weak')} else false end"
+        f"when {kind['identifier']} then {secret} "
+        f"when {kind['endpoint']} then {near('access', 'identifier')} and {secret} else false end"
     )
     df = df.withColumn("_added", F.expr(
         f"if(size(_weak) + size(_identifier) + size(_endpoint) = 0, cast(array() as array<{_SPAN}>), "

@@ -367,6 +367,18 @@ def test_secret_base_and_links(spark, odd_texts):
     assert not any(spans_brute(t) for t in red.values())
 
 
+def test_secret_links_of_hex_and_long_values(spark):
+    from arbora.llm import op09_secret_scans as o
+
+    weak, key = "Ab1" + "xY9" * 12, "0123456789abcdef" * 2
+    texts = [
+        f"username: alice {key} at https://db.example.com/x", f"account_id: {key} alone", f"https://db.example.com/{key}", f"{key} " + "pad " * 80 + "user=bob",
+        "token=" + ".".join([weak] * 200) + " user=bob", f"https://db.example.com/x {key}",
+    ]
+    kinds = [sorted(o.KINDS[x.k] for x in r.all_spans) for r in o.scan(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert kinds == [["endpoint", "hex", "identifier"], ["hex"], ["hex"], ["hex"], ["assign", "identifier"], ["hex"]]
+
+
 # 10 ------------------------------------------------------------------------------
 def repeats_brute(raws, length):
     seen = Counter(r[i:i + length] for r in raws for i in range(len(r) - length + 1))
