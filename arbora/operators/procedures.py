@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -462,11 +463,11 @@ def _iterate(rows, args):
 
 
 # files ---------------------------------------------------------------------------------
-@procedure("apoc.load.json", "path")
+@procedure("apoc.load.json", "path", "pointer")
 def _load_json(rows, args):
     from arbora.sources.files import json_rows
 
-    return json_rows(rows.graph, value_of(rows, args[0])), ["value"], None
+    return json_rows(rows.graph, value_of(rows, args[0]), value_of(rows, args[1]) if len(args) > 1 else None), ["value"], None
 
 
 @procedure("apoc.load.csv", "path", "config")
@@ -506,6 +507,8 @@ def _trigger_rows(g, names=None):
 def _install(rows, args):
     """Run a statement at every commit: before it (an error undoes it), after it, or after an undo."""
     name, statement = value_of(rows, args[0]), value_of(rows, args[1])
+    if lists := sorted(set(re.findall(r"\$`?((?:created|deleted|assigned|removed)(?:Nodes|Relationships|NodeProperties|RelationshipProperties|Labels))\b", statement))):
+        raise CypherError(f"triggers get createdCount only, not {', '.join(lists)}")
     phase = (value_of(rows, args[2]) if len(args) > 2 else {}).get("phase", "before")
     busy = []
 

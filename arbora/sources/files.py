@@ -10,6 +10,7 @@ import posixpath
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.plans.lower import CypherError, Rows
 
@@ -62,10 +63,40 @@ def csv_rows(graph, path: str, header: bool = True, sep: str = ",") -> DataFrame
     return part.select(line.alias("lineNo"), "list", "map")
 
 
-def json_rows(graph, path: str) -> DataFrame:
-    """(value): the objects of a JSON file, one for each item of a top-level array."""
+def json_rows(graph, path: str, pointer: str | None = None) -> DataFrame:
+    """(value): the objects of a JSON file, one for each item of a top-level array; with a
+    JSON pointer, what it points at, one for each item if that is an array."""
     df = graph.spark.read.option("multiLine", True).json(allowed(graph, path))
-    return df.select(F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("value"))
+    df = df.select(F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("value"))
+    if not pointer:
+        return df
+    missing = f"the JSON pointer {pointer} leads nowhere"
+    if not pointer.startswith("/"):
+        raise CypherError(missing)
+    steps = [x.replace("~1", "/").replace("~0", "~") for x in pointer[1:].split("/")]
+    number = lambda x: x.isascii() and x.isdigit() and (x == "0" or x[0] != "0")
+    if len(df.inputFiles()) > 1:
+        raise CypherError("a JSON pointer needs a single file")
+    # A file of several lines is read by one task: the rows are a top-level array's items in their order.
+    head = df.limit(2).count()
+    is_array = head != 1 or graph.spark.read.text(allowed(graph, path), wholetext=True).select(F.ltrim(F.regexp_replace("value", r"^[\s\ufeff]+", "")).startswith("[")).first()[0]
+    if is_array:
+        at = steps.pop(0)
+        if not number(at):
+            raise CypherError(missing)
+        df = df.withColumn("i", F.monotonically_increasing_id()).where(F.col("i") == int(at)).select("value")
+        if df.isEmpty():
+            raise CypherError(missing)
+    value, kind = F.col("value"), df.schema["value"].dataType
+    for x in steps:
+        if isinstance(kind, T.StructType) and x in kind.names:
+            value, kind = value.getField(x), kind[x].dataType
+        elif isinstance(kind, T.ArrayType) and number(x):
+            there = F.size(value) > int(x)
+            value, kind = F.when(there, F.get(value, F.lit(int(x)))).otherwise(F.raise_error(F.lit(missing)).cast(kind.elementType)), kind.elementType
+        else:
+            raise CypherError(missing)
+    return df.select((F.explode(value) if isinstance(kind, T.ArrayType) else value).alias("value"))
 
 
 def _graph_rows(graph) -> DataFrame:

@@ -209,6 +209,26 @@ def test_files(spark, social, tmp_path):
         assert any(f.startswith("part-") for f in os.listdir(tmp_path / f"out-{what}"))
 
 
+def test_json_pointer_and_trigger_lists(social, tmp_path):
+    social.import_root = str(tmp_path)
+    (tmp_path / "o.json").write_text('{"meta": {"n": 3}, "a/b": [{"x": 1, "l": ["p", "q"]}, {"x": 2, "l": []}], "0": "zero"}')
+    (tmp_path / "l.json").write_text(' [{"k": {"x": 7}}, {"k": {"x": 8}}]')
+    (tmp_path / "one.json").write_text('[{"k": {"x": 9}}]')
+    load = lambda f, p, what="value": rows(social, f"CALL apoc.load.json('{f}', '{p}') YIELD value RETURN {what} AS v ORDER BY v")
+    assert load("o.json", "/a~1b", "value.x") == [(1,), (2,)]
+    assert load("o.json", "/a~1b/1", "value.x") == [(2,)]
+    assert load("o.json", "/a~1b/0/l") == [("p",), ("q",)]
+    assert load("o.json", "/meta/n") == [(3,)] and load("o.json", "/0") == [("zero",)] and load("o.json", "", "value.meta.n") == [(3,)]
+    assert load("l.json", "/1/k/x") == [(8,)] and load("one.json", "/0/k", "value.x") == [(9,)]
+    for f, p in (("o.json", "/nothing"), ("o.json", "meta"), ("l.json", "/2"), ("l.json", "/k"), ("one.json", "/k")):
+        with pytest.raises(CypherError):
+            load(f, p)
+    with pytest.raises(Exception, match="leads nowhere"):
+        load("o.json", "/a~1b/2", "value.x")
+    with pytest.raises(CypherError):
+        rows(social, "CALL apoc.trigger.install('t', 'UNWIND $createdNodes AS n SET n.seen = true', {phase: 'before'})")
+
+
 def test_stream(spark, social, tmp_path):
     from arbora.streaming import write_stream
 
