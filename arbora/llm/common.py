@@ -25,11 +25,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    is made and kept for the session.
+    Only where that setting is absent and the session runs in one process a
+    temporary folder is made and kept for the session.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='arbora-shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     # Spark and pyarrow must mean the same place, so the file system is named in full.
@@ -58,41 +60,122 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def split_number() -> int:
-    """The number of the input split that this task reads."""
-    from pyspark import TaskContext
+#: Names of the columns that say where a row is.
+FILE, ROW = "__file", "__row"
+#: Rows of a file, as a power of two, whose handed-over rows stay together, and the most slices of a handover.
+CHUNK = 20
+MAX_SLICES = 4096
 
-    return TaskContext.get().partitionId()
 
+def _plain(df: DataFrame) -> bool:
+    """Whether ``df`` only picks columns and rows of one Parquet relation, by rules that give the same each time."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().apply(0)
+    if kind != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet"
 
-def plain_scan(df: DataFrame, name: str) -> DataFrame:
-    """``df`` if it only reads columns of files, whose splits are the same each
-    time; anything else is written to the shared folder and read from there."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    plain = all(line.lstrip(" :+-").startswith(("Project", "Relation")) for line in plan.strip().splitlines())
-    return df if plain else staged(df, name)
 
+def located(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the place of every row: a hash of its file's path and its number in that file.
 
-def hand_over(rows: DataFrame, name: str) -> str:
-    """Write rows by split (the high bits of ``rid``) for a later scan; returns the path."""
+    A place is the same in every scan, however the files are split. Anything
+    but a scan of Parquet files is written to the shared folder first.
+    """
+    if not _plain(df):
+        df = staged(df, name)
+    at = df.metadataColumn("_metadata")
+    return df.withColumns({FILE: F.xxhash64(at["file_path"]), ROW: at["row_index"]})
+
+
+class Handover:
+    """Rows that were written for places of a later scan: ``path`` and the number of slices.
+
+    A slice holds the rows of whole chunks of files, sorted by place, in small
+    row groups; a reader opens the slice of its chunk and decodes only the row
+    groups that reach into its rows.
+    """
+
+    def __init__(self, path: str, slices: int):
+        self.path, self.slices, self._files, self._last = path, slices, {}, (None, None)
+
+    def __reduce__(self):
+        return Handover, (self.path, self.slices)
+
+    def _groups(self, number: int) -> list:
+        """(file, row group, smallest and largest place) of a slice."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        if number not in self._files:
+            system, at = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+            found = system.get_file_info(fs.FileSelector(f"{at}/slice={number}", allow_not_found=True))
+            groups = []
+            for name in sorted(f.path for f in found if f.path.endswith(".parquet")):
+                file = pq.ParquetFile(system.open_input_file(name))
+                columns = file.schema_arrow.names
+                f, r = columns.index(FILE), columns.index(ROW)
+                for g in range(file.num_row_groups):
+                    part = file.metadata.row_group(g)
+                    a, b = part.column(f).statistics, part.column(r).statistics
+                    groups.append((file, g, a.min, a.max, b.min, b.max))
+            self._files = {number: groups}
+        return self._files[number]
+
+    def rows(self, file: int, low: int, high: int):
+        """The rows for places low to high of a file, in order, as one Arrow table, or None."""
+        import numpy as np
+        import pyarrow as pa
+
+        out = []
+        for number in sorted({(file ^ c) % self.slices for c in range(low >> CHUNK, (high >> CHUNK) + 1)}):
+            for at, (source, g, f_low, f_high, r_low, r_high) in enumerate(self._groups(number)):
+                if not f_low <= file <= f_high or (f_low == f_high and not (r_low <= high and low <= r_high)):
+                    continue
+                if self._last[0] != (number, at):
+                    self._last = (number, at), source.read_row_group(g)
+                table = self._last[1]
+                files = table.column(FILE).to_numpy()
+                a, b = int(np.searchsorted(files, file, "left")), int(np.searchsorted(files, file, "right"))
+                row = table.column(ROW).to_numpy()[a:b]
+                c, d = np.searchsorted(row, [low, high + 1]).tolist()
+                if d > c:
+                    out.append(table.slice(a + c, d - c))
+        if not out:
+            return None
+        # A chunk is in one slice; rows of several chunks may come from slices in any order.
+        got = pa.concat_tables(out)
+        return got.sort_by(ROW) if high >> CHUNK != low >> CHUNK else got
+
+
+def slices_of(place: DataFrame) -> int:
+    """Slices for handovers to the scan ``place``: one for each chunk of its files, MAX_SLICES at most."""
+    return max(1, min(MAX_SLICES, place.select(FILE, F.shiftright(ROW, CHUNK).alias("c")).distinct().count()))
+
+
+def hand_over(rows: DataFrame, name: str, slices: int) -> Handover:
+    """Write rows with places, for a later scan of these places."""
     path = new_path(rows.sparkSession, name)
-    rows.withColumn("split", F.shiftright("rid", 40).cast("int")).repartition("split").write.partitionBy("split").parquet(path)
-    return path
-
-
-def take_over(path: str, split: int):
-    """The rows that were handed to a split, as one Arrow table, or None."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    found = system.get_file_info(fs.FileSelector(f"{at}/split={split}", allow_not_found=True))
-    tables = []
-    for name in sorted(f.path for f in found if f.path.endswith(".parquet")):
-        with system.open_input_file(name) as file:
-            tables.append(pq.ParquetFile(file).read())
-    return pa.concat_tables(tables) if tables else None
+    number = F.pmod(F.col(FILE).bitwiseXOR(F.shiftright(ROW, CHUNK)), F.lit(slices).cast("long")).cast("int")
+    rows = rows.withColumn("slice", number).repartition(slices, "slice").sortWithinPartitions("slice", FILE, ROW)
+    rows.write.option("parquet.block.size", 4 << 20).partitionBy("slice").parquet(path)
+    return Handover(path, slices)
+
+
+def segments(batch) -> list[tuple[int, int, int]]:
+    """(file, begin, end) of the runs of a batch's rows that lie in one file in rising order."""
+    import numpy as np
+
+    if not batch.num_rows:
+        return []
+    file, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in (FILE, ROW))
+    cut = np.flatnonzero((file[1:] != file[:-1]) | (row[1:] <= row[:-1])) + 1
+    ends = [0, *cut.tolist(), batch.num_rows]
+    return [(int(file[a]), a, b) for a, b in zip(ends, ends[1:])]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -1,26 +1,34 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and
-suffix filters, each pair verified once.
-
-1. A scan hashes every document's word shingles to a sorted set and collapses
-   equal sets to classes. All shingles are counted: a task packs the sorted hashes
-   of a run of documents by hash range, each range is counted in one place, and
-   the frequency classes go back to the tasks in the order of what they sent.
-2. A scan orders each class's set by frequency class, rarest first, and emits its
-   prefix without what no other document has: two sets that reach the threshold
-   share a token of their prefixes.
-3. Classes that share prefix tokens fall into candidate components (stars around
-   each token's smallest class, so a hot token yields a row per class, no pairs).
-4. The texts of one document of each candidate class are brought together, a component in
-   blocks of bounded size and every pair of blocks in one place. Inside a pair
-   of blocks tokens are ordered anew by exact local count, and prefix, length,
-   positional and suffix filters leave the pairs that are verified on the whole
-   sets. Pairs already connected there need no verification for the components.
-   The scans read the same files in the same splits; what a scan needs is handed
-   to it by split through the shared folder, so only candidates' texts move.
-5. Components over the verified links give each document the smallest doc_id.
-
-Shingles and sets are compared through 64-bit hashes; classes by such a hash and
-the set's size.
+suffix filters, joined on prefix n-grams, each pair verified once.
+
+1. A scan hashes every document's word shingles to a sorted set; equal sets are
+   one class, and one row of each class stands for it from here on.
+2. The shingles of all classes are counted: tasks pack the sorted hashes of
+   neighbouring rows by hash range, and each range - as many as the counted
+   shingles need, so that one always fits in memory - is counted in one place.
+   The frequency class of every shingle that two classes share goes back to
+   the places where it occurs.
+3. A scan orders each set by frequency class, rarest first, and emits its prefix
+   without what no other class has: two sets that reach the threshold share a
+   shingle of their prefixes. Of prefix shingles with the same list of classes
+   the first one stands for all.
+4. Classes are joined on prefix shingles. So that a large group of near copies
+   yields no pairs inside it, each class is first held against one hub of its
+   shingle and length band, twice with other hubs; lists whose classes are by
+   then connected are done.
+5. What is left of a list is cut into blocks of bounded size by length band, and
+   blocks of compatible lengths meet in one task. There, prefix, length,
+   positional and suffix filters leave the pairs that are verified on whole sets:
+   a pair counts only under its first common shingle, and not if it was held
+   against each other before or is connected already.
+6. Components over the verified links give each document the smallest doc_id.
+
+A row is known by its file and its place there, so that scans may be split
+differently; what a scan needs is handed to it by place through the shared
+folder, and only texts of candidates move.
+
+Shingles are compared through 64-bit hashes, classes by a 128-bit hash and the
+set's size, lists of classes by 128 bits.
 
 Defined results: a null or empty text, or one of blanks, has the empty set and
 is linked with nothing; a text under ``k`` words is one shingle; repeated rows
@@ -39,16 +47,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import connected_components, hand_over, plain_scan, split_number, staged, table, take_over
+from arbora.llm.common import FILE, ROW, Handover, connected_components, hand_over, located, segments, slices_of, staged, table
 
-#: Shingles of a run of documents that are counted together, and bytes of texts hashed at a time.
+#: Shingles of neighbouring rows that are packed together, and bytes of texts hashed at a time.
 RUN = 1 << 20
 BUFFER = 1 << 20
+#: Rows whose shingles are packed together at most, as a power of two.
+BUCKET = 10
+#: Shingles that a range has on average.
+RANGE = 1 << 21
 #: Rows whose sets are held at a time.
 ROWS = 512
-#: Documents and bytes of a block.
+#: Documents and bytes of a block, and partners of a hub that meet it in one place.
 BLOCK_ROWS = 128
 BLOCK_BYTES = 8 << 20
+PARTNERS = 512
+HUB_ROUNDS = 2
 SUFFIX_DEPTH = 2
 
 
@@ -155,11 +169,12 @@ class _Shingler:
         return self._sweep([raw])[0]
 
 
-def _cid(s) -> int:
+def _key(s) -> tuple[int, int]:
+    """128 bits of a set, as two signed integers."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(s.tobytes())
-    return h - (1 << 64) if h >= 1 << 63 else h
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (h >> 64, h & ((1 << 64) - 1)))
 
 
 def prefix_length(n: int, spec: JoinSpec) -> int:
@@ -167,9 +182,9 @@ def prefix_length(n: int, spec: JoinSpec) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw) over a plain file scan."""
-    rows = plain_scan(docs.select("doc_id", "text"), "ngram-docs")
-    return rows.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    """(doc_id, raw) with places."""
+    rows = located(docs.select("doc_id", "text"), "ngram-docs")
+    return rows.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), FILE, ROW)
 
 
 def _set_batches(batches, shingle):
@@ -180,168 +195,195 @@ def _set_batches(batches, shingle):
             yield part, shingle.many(part.column("raw").to_pylist())
 
 
-def _runs(batches, shingle):
-    """(number of the first row, sets) of runs of rows with RUN shingles or more; the same runs in every scan."""
-    number, held, size = 0, [], 0
-    for _, sets in _set_batches(batches, shingle):
-        for s in sets:
-            held.append(s)
-            size += len(s)
-            if size >= RUN:
-                yield number, held
-                number, held, size = number + len(held), [], 0
-    if held:
-        yield number, held
+def _wanted(batches, handed: Handover):
+    """(file, rows, what was handed over for them) of the rows for which something was."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for file, a, b in segments(batch):
+            place = batch.column(ROW).to_numpy()[a:b]
+            if (mine := handed.rows(file, int(place[0]), int(place[-1]))) is None:
+                continue
+            at = np.searchsorted(place, mine.column(ROW).to_numpy())
+            yield file, batch.slice(a, b - a).take(pa.array(at)), mine
 
 
 def class_sets(texts: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(rid, doc_id, n, cid) of every row: its place, the size and the class of its set."""
-    k, split, cid_of, shingler, set_batches = spec.k, split_number, _cid, _Shingler, _set_batches
+    """(place, doc_id, n, h, l) of every row: the size and the 128 bits of its set."""
+    k, key_of, shingler, set_batches = spec.k, _key, _Shingler, _set_batches
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        shingle, number = shingler(k), split() << 40
+        shingle = shingler(k)
         for batch, sets in set_batches(batches, shingle):
+            keys = [key_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(number, number + len(sets))), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([cid_of(s) for s in sets], pa.int64())], ["rid", "doc_id", "n", "cid"])
-            number += len(sets)
+                batch.column(FILE), batch.column(ROW), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64())], [FILE, ROW, "doc_id", "n", "h", "l"])
 
-    return texts.mapInArrow(run, "rid long, doc_id long, n long, cid long")
+    return texts.mapInArrow(run, f"{FILE} long, {ROW} long, doc_id long, n long, h long, l long")
 
 
-def _run_counts(sets):
-    """Distinct 48-bit heads of all shingles of a run, sorted, the place of each shingle among them, and counts."""
-    import numpy as np
-
-    heads = np.concatenate(sets) >> np.uint64(16)
-    return np.unique(heads, return_inverse=True, return_counts=True)
+def shared_shingles(texts: DataFrame, classes: Handover, total: int, slices: int, spec: JoinSpec) -> Handover:
+    """Count every shingle of the classes; hands to each bucket of rows the 48-bit heads of its shingles
+    that two classes or more have, with their frequency class (bit length of the count, 15 at most)."""
+    k, wanted, shingler, bucket, run_size = spec.k, _wanted, _Shingler, BUCKET, RUN
+    ranges = max(1, -(-total // RANGE))
 
+    def packed(heads):
+        """Sorted heads as the first one and steps of 4 or 8 bytes."""
+        import numpy as np
 
-def frequency_classes(texts: DataFrame, spec: JoinSpec) -> str:
-    """Count every shingle; returns the path where each split finds, for each of its runs, the
-    frequency class (bit length of the document count, 15 at most) of the run's distinct shingles."""
-    k, split, runs, counts_of, shingler = spec.k, split_number, _runs, _run_counts, _Shingler
-    ranges = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        steps = np.diff(heads)
+        return int(heads[0]), steps.astype(np.uint32 if not len(steps) or steps.max() < 1 << 32 else np.uint64).tobytes()
 
     def send(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for at, (_, sets) in enumerate(runs(batches, shingler(k))):
-            if not sum(map(len, sets)):
-                continue
-            heads, _, counts = counts_of(sets)
-            cuts = np.searchsorted(heads, np.array([-(-(r << 48) // ranges) for r in range(ranges + 1)], np.uint64))
-            for r in range(ranges):
+        cut_at = np.array([-(-(r << 48) // ranges) for r in range(ranges + 1)], np.uint64)
+        shingle, key, held, size = shingler(k), None, [], 0
+
+        def close():
+            heads, counts = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
+            cuts, rows = np.searchsorted(heads, cut_at), []
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
                 part, n = heads[cuts[r]:cuts[r + 1]], np.minimum(counts[cuts[r]:cuts[r + 1]], 255).astype(np.uint8)
-                if not len(part):
-                    continue
-                steps = np.diff(part)
-                kind = np.uint32 if not len(steps) or steps.max() < 1 << 32 else np.uint64
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r], pa.int32()), pa.array([(split() << 40) + at], pa.int64()), pa.array([int(part[0])], pa.int64()),
-                    pa.array([steps.astype(kind).tobytes()], pa.binary()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], ["range", "rid", "first", "steps", "n"])
+                rows.append((r, *key, *packed(part), zlib.compress(n.tobytes(), 1)))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], ["range", FILE, ROW, "first", "steps", "n"])
+
+        for file, rows, _ in wanted(batches, classes):
+            for first in range(0, rows.num_rows, 64):
+                part = rows.slice(first, 64)
+                places = part.column(ROW).to_pylist()
+                for place, s in zip(places, shingle.many(part.column("raw").to_pylist()), strict=True):
+                    now = (file, place >> bucket << bucket)
+                    if held and (now != key or size >= run_size):
+                        yield close()
+                        held, size = [], 0
+                    key = now
+                    held.append(s)
+                    size += len(s)
+        if held:
+            yield close()
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def close(r, blocks):
-            sizes = [len(h) for _, h, _ in blocks]
-            _, place = np.unique(np.concatenate([h for _, h, _ in blocks]), return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate([n for _, _, n in blocks]))
+        def close(blocks):
+            all_heads = np.concatenate([h for _, _, h, _ in blocks])
+            distinct, place = np.unique(all_heads, return_inverse=True)
+            total = np.bincount(place, weights=np.concatenate([n for _, _, _, n in blocks]))
             code = np.minimum(15, np.frexp(total)[1]).astype(np.uint8)[place]
-            for (rid, _, _), end, size in zip(blocks, np.cumsum(sizes), sizes, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([rid], pa.int64()), pa.array([r], pa.int32()), pa.array([zlib.compress(code[end - size:end].tobytes(), 1)], pa.binary())], ["rid", "range", "codes"])
+            begin = 0
+            for file, row, heads, _ in blocks:
+                mine = code[begin:begin + len(heads)]
+                begin += len(heads)
+                if len(shared := np.flatnonzero(mine > 1)):
+                    first, steps = packed(heads[shared])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([file], pa.int64()), pa.array([row], pa.int64()), pa.array([first], pa.int64()),
+                        pa.array([steps], pa.binary()), pa.array([mine[shared].tobytes()], pa.binary())], [FILE, ROW, "first", "steps", "codes"])
 
         now, blocks = None, []
         for batch in batches:
-            for r, rid, first, steps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, file, row, first, steps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r != now and blocks:
-                    yield from close(now, blocks)
+                    yield from close(blocks)
                     blocks = []
                 now, n = r, np.frombuffer(zlib.decompress(n), np.uint8)
-                kind = np.uint32 if len(steps) == 4 * (len(n) - 1) else np.uint64
-                heads = np.cumsum(np.concatenate([[np.uint64(first)], np.frombuffer(steps, kind).astype(np.uint64)]).astype(np.uint64))
-                blocks.append((rid, heads, n))
+                blocks.append((file, row, _heads(first, steps, len(n)), n))
         if blocks:
-            yield from close(now, blocks)
+            yield from close(blocks)
 
-    sent = texts.mapInArrow(send, "range int, rid long, first long, steps binary, n binary")
-    codes = sent.repartition("range").sortWithinPartitions("range").mapInArrow(count, "rid long, range int, codes binary")
-    return hand_over(codes, "ngram-counts")
+    sent = texts.mapInArrow(send, f"range int, {FILE} long, {ROW} long, first long, steps binary, n binary")
+    counted = sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(count, f"{FILE} long, {ROW} long, first long, steps binary, codes binary")
+    return hand_over(counted, "ngram-counts", slices)
 
 
-def prefixes(texts: DataFrame, counts: str, spec: JoinSpec) -> DataFrame:
-    """(token, cid): the shared ones among the rarest shingles of every set, as many as the threshold asks for."""
-    k, split, taken, runs, counts_of, cid_of, shingler = spec.k, split_number, take_over, _runs, _run_counts, _cid, _Shingler
+def _heads(first: int, steps: bytes, n: int):
+    """What ``packed`` packed."""
+    import numpy as np
+
+    kind = np.uint32 if len(steps) == 4 * (n - 1) else np.uint64
+    return np.cumsum(np.concatenate([[np.uint64(first)], np.frombuffer(steps, kind).astype(np.uint64)]).astype(np.uint64))
+
+
+def prefixes(texts: DataFrame, classes: Handover, counts: Handover, spec: JoinSpec) -> DataFrame:
+    """(token, cid, n, pos, code, own): the shared ones among the rarest shingles of every class, as many as the
+    threshold asks for, with their place in the order; ``own`` counts the shingles that no other class has."""
+    k, wanted, heads_of, shingler, bucket = spec.k, _wanted, _heads, _Shingler, BUCKET
     length = lambda n: prefix_length(n, spec)
+    names = ["token", "cid", "n", "pos", "code", "own"]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        known: dict[int, list] = {}
-        if (mine := taken(counts, split())) is not None:
-            for rid, r, codes in zip(*(mine.column(c).to_pylist() for c in ("rid", "range", "codes")), strict=True):
-                known.setdefault(rid & ((1 << 40) - 1), []).append((r, codes))
-        seen: set[int] = set()
-        for at, (_, sets) in enumerate(runs(batches, shingler(k))):
-            if at not in known:
-                continue
-            heads, place, _ = counts_of(sets)
-            codes = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint8) for _, c in sorted(known.pop(at))])
-            if len(codes) != len(heads):
-                raise RuntimeError("a split of the documents was read differently than before")
-            codes = codes[place]
-            tokens, cids, begin = [], [], 0
-            for s in sets:
-                code = codes[begin:begin + len(s)]
-                begin += len(s)
-                m = length(len(s)) if len(s) else 0
-                # With as many shingles of its own as the prefix is long, a set shares none in it.
-                if m == 0 or int((code == 1).sum()) >= m:
-                    continue
-                c = cid_of(s)
-                if c in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(c)
-                order = np.lexsort((s, code))[:m]
-                p = s[order[code[order] > 1]]
-                tokens.append(p)
-                cids.append(np.full(len(p), c, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids))], ["token", "cid"])
-
-    return texts.mapInArrow(run, "token long, cid long")
-
-
-def _fetched(texts: DataFrame, wanted: str) -> DataFrame:
-    """(cid, root, blocks, raw) of the rows that were handed over as ``wanted``."""
-    split, taken = split_number, take_over
+        shingle, key = shingler(k), None
+        known = codes_of = None
+
+        def codes(file, place, sets):
+            nonlocal key, known, codes_of
+            if key != (file, place):
+                key, got = (file, place), counts.rows(file, place, place)
+                known, codes_of = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+                if got is not None:
+                    rows = list(zip(*(got.column(c).to_pylist() for c in ("first", "steps", "codes")), strict=True))
+                    heads, code = np.concatenate([heads_of(f, s, len(c)) for f, s, c in rows]), np.frombuffer(b"".join(c for _, _, c in rows), np.uint8)
+                    known, first = np.unique(heads, return_index=True)
+                    codes_of = code[first]
+            heads = np.concatenate(sets) >> np.uint64(16)
+            if not len(known):
+                return np.ones(len(heads), np.uint8)
+            at = np.minimum(np.searchsorted(known, heads), len(known) - 1)
+            return np.where(known[at] == heads, codes_of[at], 1).astype(np.uint8)
+
+        for file, rows, mine in wanted(batches, classes):
+            places, cids = rows.column(ROW).to_numpy(), mine.column("cid").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(places >> bucket)) + 1).tolist(), len(places)]
+            out = [[] for _ in names]
+            for a, b in ((x, min(y, x + 64)) for lo, y in zip(cuts, cuts[1:]) for x in range(lo, y, 64)):
+                sets = shingle.many(rows.column("raw").slice(a, b - a).to_pylist())
+                code, begin = codes(file, int(places[a]) >> bucket << bucket, sets), 0
+                for s, cid in zip(sets, cids[a:b].tolist(), strict=True):
+                    c = code[begin:begin + len(s)]
+                    begin += len(s)
+                    m, own = length(len(s)), int((c == 1).sum())
+                    # With as many shingles of its own as the prefix is long, a set shares none in it.
+                    if own >= m:
+                        continue
+                    order = np.lexsort((s, c))[own:m]
+                    for column, x in zip(out, (s[order].view(np.int64), np.full(m - own, cid), np.full(m - own, len(s)), np.arange(own, m), c[order], np.full(m - own, own)), strict=True):
+                        column.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64 if i != 4 else np.int32)) for i, x in enumerate(out)], names)
+
+    return texts.mapInArrow(run, "token long, cid long, n long, pos long, code int, own long")
+
+
+def _fetched(texts: DataFrame, wanted_rows: Handover) -> DataFrame:
+    """(cid, raw) of the classes whose rows were handed over."""
+    wanted = _wanted
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        if (mine := taken(wanted, split())) is None:
-            return
-        mine = mine.sort_by("rid")
-        rid, number = mine.column("rid").to_numpy() & ((1 << 40) - 1), 0
-        for batch in batches:
-            a, b = np.searchsorted(rid, [number, number + batch.num_rows]).tolist()
-            if b > a:
-                raw = batch.column("raw").take(pa.array(rid[a:b] - number))
-                part = mine.slice(a, b - a).combine_chunks()
-                yield pa.RecordBatch.from_arrays([part.column("cid").combine_chunks(), part.column("root").combine_chunks(), raw], ["cid", "root", "raw"])
-            number += batch.num_rows
+        for _, rows, mine in wanted(batches, wanted_rows):
+            for first in range(0, rows.num_rows, ROWS):
+                part = rows.slice(first, ROWS)
+                yield pa.RecordBatch.from_arrays([mine.column("cid").slice(first, ROWS).combine_chunks(), part.column("raw")], ["cid", "raw"])
 
-    return texts.mapInArrow(run, "cid long, root long, raw binary")
+    return texts.mapInArrow(run, "cid long, raw binary")
+
+
+def _need(nx: int, ny: int, spec: JoinSpec) -> int:
+    """The smallest intersection o with den * o >= num * (nx + ny - o)."""
+    return -(-spec.num * (nx + ny) // (spec.num + spec.den))
 
 
 def _suffix_filter(x, y, allowed: int, depth: int) -> int:
@@ -364,11 +406,8 @@ def _suffix_filter(x, y, allowed: int, depth: int) -> int:
     return left + _suffix_filter(xr, yr, allowed - left - miss, depth + 1) + miss
 
 
-def local_links(sets: list, sides: list[int] | None, spec: JoinSpec) -> list[tuple[int, int]]:
-    """Links (a, b) of a spanning forest over all pairs that reach the threshold.
-
-    ``sides`` restricts the pairs to those from different sides.
-    """
+def local_links(sets: list, skip, spec: JoinSpec) -> list[tuple[int, int]]:
+    """Links (a, b) of a spanning forest over the pairs that reach the threshold, without those that ``skip`` names."""
     import numpy as np
 
     num, den = spec.num, spec.den
@@ -396,46 +435,102 @@ def local_links(sets: list, sides: list[int] | None, spec: JoinSpec) -> list[tup
     for a in sorted(range(len(sets)), key=lambda i: (sizes[i], i)):
         x, nx = lists[a], sizes[a]
         met: dict[int, int] = {}
-        last: dict[int, tuple[int, int]] = {}
         for i in range(prefix_length(nx, spec)):
             w = x[i]
             if w < once:
                 continue
             for b, j in index[w]:
-                ny = sizes[b]
-                if den * ny < num * nx or (sides is not None and sides[a] == sides[b]):
-                    continue
                 seen = met.get(b, 0)
                 if seen < 0:
                     continue
-                # den * o >= num * (nx + ny - o)
-                need = -(-num * (nx + ny) // (num + den))
-                if seen + 1 + min(nx - i - 1, ny - j - 1) < need:
-                    met[b] = -1
-                    continue
-                if seen == 0 and _suffix_filter(x[i + 1:], lists[b][j + 1:], nx + ny - 2 * need - (i + j) + 0, 1) > nx + ny - 2 * need:
+                ny = sizes[b]
+                need = _need(nx, ny, spec)
+                if den * ny < num * nx or skip(a, b) or seen + 1 + min(nx - i - 1, ny - j - 1) < need or (
+                        seen == 0 and _suffix_filter(x[i + 1:], lists[b][j + 1:], nx + ny - 2 * need - (i + j), 1) > nx + ny - 2 * need):
                     met[b] = -1
-                    continue
-                met[b] = seen + 1
-                last[b] = (i, j)
+                else:
+                    met[b] = seen + 1
             index[w].append((a, i))
         for b, seen in met.items():
             if seen <= 0 or find(a) == find(b):
                 continue
-            need = -(-num * (nx + sizes[b]) // (num + den))
             for c in (a, b):
                 if whole[c] is None:
                     whole[c] = set(lists[c])
-            if len(whole[a] & whole[b]) >= need:
+            if len(whole[a] & whole[b]) >= _need(nx, sizes[b], spec):
                 links.append((a, b))
                 parent[find(a)] = find(b)
     return links
 
 
-def _links(candidates: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(u, v) of classes that are linked; ``candidates`` has root, i, j, block, cid and raw."""
-    k, cid_of, shingler = spec.k, _cid, _Shingler
-    join = lambda sets, sides: local_links(sets, sides, spec)
+def postings(pre: DataFrame) -> DataFrame:
+    """Rows of ``pre`` for the prefix shingles of two classes or more, one shingle for each list of classes."""
+    lists = pre.groupBy("token").agg(
+        F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("c"), F.first("code").alias("code"),
+        F.bit_xor(F.xxhash64("cid")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("b")).where("low < high")
+    # A pair's first common shingle is the first of its list, so it is among those that stay.
+    kept = lists.groupBy("c", "a", "b").agg(F.min(F.struct("code", "token")).alias("t")).select(F.col("t.token").alias("token"))
+    return pre.join(kept, "token")
+
+
+def _held_against(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
+    """(u, v) of the pairs (cid, hub) that are linked; a hub of many partners meets them in several places."""
+    k, shingler = spec.k, _Shingler
+    load = pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {PARTNERS}) as int)").alias("places"))
+    partners = pairs.join(load, "hub").select("hub", F.expr("cast(pmod(xxhash64(cid), places) as int)").alias("at"), "cid", F.lit(1).alias("side"))
+    hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("at"), F.col("hub").alias("cid"), F.lit(0).alias("side"))
+    meet = partners.union(hubs).join(texts, "cid")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        shingle, key, hub, ranks = shingler(k), None, None, None
+        for batch in batches:
+            out = []
+            for now, at, side, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "at", "side", "cid", "raw")), strict=True):
+                s = shingle(raw)
+                if side == 0:
+                    key, hub, ranks = (now, at), s, s.tolist()
+                    continue
+                if key != (now, at):
+                    raise RuntimeError("a hub is missing")
+                need = _need(len(hub), len(s), spec)
+                if need > min(len(hub), len(s)) or _suffix_filter(ranks, s.tolist(), len(hub) + len(s) - 2 * need, 1) > len(hub) + len(s) - 2 * need:
+                    continue
+                if len(np.intersect1d(hub, s, assume_unique=True)) >= need:
+                    out.append((cid, now))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+
+    return meet.repartition("hub", "at").sortWithinPartitions("hub", "at", "side").mapInArrow(run, "u long, v long")
+
+
+def _rest(lists: DataFrame, roots: DataFrame, pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
+    """(u, v): links among classes of a list that are not yet connected nor held against each other."""
+    k, shingler = spec.k, _Shingler
+    join = lambda sets, skip: local_links(sets, skip, spec)
+    now = lists.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    # A list of two classes of one band is settled: one was the other's hub.
+    open_ = now.groupBy("token").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c"), F.min("band").alias("p"), F.max("band").alias("q"))
+    open_ = open_.where("x < y and not (c = 2 and p = q)").select("token")
+    now = staged(now.join(open_, "token").select("token", "cid", "n", "code", "band", "root"), "ngram-open")
+    # Both lists are bounded by the prefix of their class.
+    order = now.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("code", "token"))).alias("order"))
+    met = pairs.groupBy("cid").agg(F.collect_list("hub").alias("met"))
+    own = order.join(met, "cid", "left").join(texts, "cid")
+    sizes = now.groupBy("token", "band").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_ROWS}) as int)").alias("rows"), F.sum("n").alias("shingles"))
+    sizes = sizes.select("token", "band", F.expr(f"greatest(rows, cast(ceil(8 * shingles / {BLOCK_BYTES}) as int))").alias("blocks"))
+    placed = now.join(sizes, ["token", "band"])
+    placed = placed.withColumn("mine", F.expr(f"band * {1 << 32}L + pmod(xxhash64(cid), blocks)")).drop("blocks")
+    placed = placed.withColumn("beside", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    placed = placed.join(sizes.withColumnRenamed("band", "beside"), ["token", "beside"])
+    placed = placed.withColumn("theirs", F.expr(f"explode(transform(sequence(0, blocks - 1), x -> beside * {1 << 32}L + x))"))
+    # A block pair of which only one side is there, or that is connected already, needs no texts.
+    placed = placed.select("token", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "mine", "cid", "root")
+    useful = placed.groupBy("token", "i", "j").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("mine").alias("p"), F.max("mine").alias("q"))
+    useful = useful.where("x < y and (i = j or p < q)").select("token", "i", "j")
+    placed = placed.join(useful, ["token", "i", "j"]).join(own, "cid")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -443,53 +538,82 @@ def _links(candidates: DataFrame, spec: JoinSpec) -> DataFrame:
         shingle = shingler(k)
 
         def close(key, rows):
-            cids = list(rows)
-            if len(cids) < 2:
+            if len(rows) < 2:
                 return None
-            got = join([rows[c][1] for c in cids], None if key[1] == key[2] else [rows[c][0] for c in cids])
-            return pa.RecordBatch.from_arrays([pa.array([cids[a] for a, _ in got], pa.int64()), pa.array([cids[b] for _, b in got], pa.int64())], ["u", "v"]) if got else None
+            before = [frozenset(t for t in r[3][:next(i for i, t in enumerate(r[3]) if t == key[0])]) for r in rows]
+            both = key[1] == key[2]
+
+            def skip(a, b):
+                x, y = rows[a], rows[b]
+                return (not both and x[0] == y[0]) or x[2] == y[2] or y[1] in x[4] or x[1] in y[4] or not before[a].isdisjoint(before[b])
 
-        key, rows = None, {}
+            got = join([r[5] for r in rows], skip)
+            return pa.RecordBatch.from_arrays([pa.array([rows[a][1] for a, _ in got], pa.int64()), pa.array([rows[b][1] for _, b in got], pa.int64())], ["u", "v"]) if got else None
+
+        key, rows = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("root", "i", "j", "block", "cid", "raw")]
-            for root, i, j, block, cid, raw in zip(*cols, strict=True):
-                if (root, i, j) != key:
+            cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "mine", "cid", "root", "order", "met", "raw")]
+            for token, i, j, mine, cid, root, order, met, raw in zip(*cols, strict=True):
+                if (token, i, j) != key:
                     if out := close(key, rows):
                         yield out
-                    key, rows = (root, i, j), {}
-                if cid not in rows:
-                    s = shingle(raw)
-                    if cid_of(s) == cid:
-                        rows[cid] = (block, s)
+                    key, rows = (token, i, j), []
+                rows.append((mine, cid, root, [x["token"] for x in order], frozenset(met or ()), shingle(raw)))
         if out := close(key, rows):
             yield out
 
-    return candidates.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "u long, v long")
+    return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "u long, v long")
+
+
+def links(lists: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
+    """(u, v) of linked classes that connect all that any links connect."""
+    spark = lists.sparkSession
+    found, held, roots = None, None, spark.createDataFrame([], "node long, root long")
+    for turn in range(HUB_ROUNDS):
+        # The first hubs are those nearest to what the list has in common, later ones are taken by hash.
+        rank = "struct(own, cid)" if turn == 0 else f"struct(xxhash64({turn}, cid), cid)"
+        hub = lists.groupBy("token", "band").agg(F.expr(f"min_by(struct(cid, n, pos), {rank})").alias("h"))
+        pairs = lists.join(hub, ["token", "band"]).where("cid <> h.cid")
+        # Under a pair's first common shingle no more than what follows in either set can be shared.
+        pairs = pairs.where(F.expr(f"least(n - pos, h.n - h.pos) * {spec.num + spec.den} >= {spec.num} * (n + h.n)"))
+        pairs = pairs.select("cid", F.col("h.cid").alias("hub")).distinct()
+        if held is not None:
+            a, b = roots.select(F.col("node").alias("cid"), F.col("root").alias("x")), roots.select(F.col("node").alias("hub"), F.col("root").alias("y"))
+            pairs = pairs.join(a, "cid", "left").join(b, "hub", "left").where("coalesce(x, cid) <> coalesce(y, hub)").select("cid", "hub")
+            pairs = pairs.join(held, ["cid", "hub"], "left_anti").join(held.select(F.col("cid").alias("hub"), F.col("hub").alias("cid")), ["cid", "hub"], "left_anti")
+        pairs = staged(pairs, "ngram-pairs")
+        got = staged(_held_against(pairs, texts, spec), "ngram-links")
+        found, held = (got, pairs) if found is None else (found.union(got), held.union(pairs))
+        roots = staged(connected_components(found), "ngram-roots")
+    return found.union(staged(_rest(lists, roots, held, texts, spec), "ngram-links"))
 
 
 def components(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
-    """(rid, doc_id, n, cid, component_id, first_rid) of every row; ``first_rid`` is the row that
-    represents the component (smallest doc_id, then place)."""
-    texts = _texts(docs)
+    """(place, doc_id, n, component_id, first_file, first_row) of every row; the first place is that of the row
+    that represents the component (smallest doc_id, then place)."""
+    return _components(_texts(docs), spec)
+
+
+def _components(texts: DataFrame, spec: JoinSpec) -> DataFrame:
+    slices = slices_of(texts)
     sets = staged(class_sets(texts, spec), "ngram-sets")
-    pre = staged(prefixes(texts, frequency_classes(texts, spec), spec), "ngram-prefixes")
-    shared = pre.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("token", "low")
-    stars = pre.join(shared, "token").where("cid <> low").select(F.col("cid").alias("u"), F.col("low").alias("v"))
-    groups = staged(connected_components(stars), "ngram-groups")
-    classes = staged(sets.where("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")), "ngram-classes")
-    members = groups.join(classes, groups["node"] == classes["cid"]).select("cid", "root", F.col("first.rid").alias("rid"))
-    found = staged(_fetched(texts, hand_over(members, "ngram-members")), "ngram-texts")
-    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("raw")).alias("bytes"))
-    sizes = sizes.select("root", F.expr(f"cast(greatest(ceil(rows / {BLOCK_ROWS}), ceil(bytes / {BLOCK_BYTES})) as int)").alias("blocks"))
-    placed = found.join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "raw")
-    linked = staged(connected_components(staged(_links(placed, spec), "ngram-links")), "ngram-components")
-    named = classes.join(linked, classes["cid"] == linked["node"], "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
+    classes = sets.where("n > 0").groupBy("h", "l", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", FILE, ROW)).alias("first"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    stand = classes.select("cid", f"first.{FILE}", f"first.{ROW}")
+    handed = hand_over(stand, "ngram-firsts", slices)
+    pre = staged(prefixes(texts, handed, shared_shingles(texts, handed, total, slices, spec), spec), "ngram-prefixes")
+    # Sets of one band differ in size by less than the threshold allows; linked ones are in the same or in neighbouring bands.
+    band = "n" if spec.num >= spec.den else f"cast(floor(ln(n) / ln({spec.den}D / {spec.num}D) + 1e-9) as long)"
+    lists = staged(postings(pre).withColumn("band", F.expr(band)), "ngram-lists")
+    wanted = lists.select("cid").distinct().join(stand, "cid")
+    found = staged(_fetched(texts, hand_over(wanted, "ngram-wanted", slices)), "ngram-texts")
+    linked = staged(connected_components(staged(links(lists, found, spec), "ngram-linked")), "ngram-components")
+    named = classes.join(linked, classes["cid"] == linked["node"], "left").withColumn("root", F.coalesce("root", "cid"))
     low = named.groupBy("root").agg(F.min("first").alias("low"))
-    named = staged(named.join(low, "root").select(F.col("cid").alias("c"), F.col("low.doc_id").alias("low_id"), F.col("low.rid").alias("first_rid")), "ngram-names")
-    out = sets.join(named, (sets["cid"] == named["c"]) & (sets["n"] > 0), "left")
-    return out.select("rid", "doc_id", "n", "cid", F.coalesce("low_id", "doc_id").alias("component_id"), "first_rid")
+    named = named.join(low, "root").select("h", "l", "n", F.col("low.doc_id").alias("low_id"), F.col(f"low.{FILE}").alias("first_file"), F.col(f"low.{ROW}").alias("first_row"))
+    out = sets.join(staged(named, "ngram-names"), ["h", "l", "n"], "left")
+    return out.select(FILE, ROW, "doc_id", "n", F.coalesce("low_id", "doc_id").alias("component_id"), "first_file", "first_row")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,29 +624,26 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """``docs`` with one row of each component; empty texts all stay.
 
-    The rows to drop are handed to the splits, so no text is shuffled. Write the
-    result before joining its tasks (coalesce, union): a split is told by its task.
+    The places to drop are handed to the scan, so no text is shuffled.
     """
-    docs = plain_scan(docs, "ngram-docs")
-    path = hand_over(components(docs, spec).where("n > 0 and rid <> first_rid").select("rid"), "ngram-dropped")
-    split, taken = split_number, take_over
+    placed = located(docs, "ngram-docs")
+    texts = placed.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), FILE, ROW)
+    gone = _components(texts, spec).where(f"n > 0 and ({FILE} <> first_file or {ROW} <> first_row)").select(FILE, ROW)
+    dropped, names = hand_over(gone, "ngram-dropped", slices_of(placed)), docs.columns
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        mine, number = taken(path, split()), 0
-        gone = np.zeros(0, np.int64) if mine is None else np.sort(mine.column("rid").to_numpy() & ((1 << 40) - 1))
         for batch in batches:
-            a, b = np.searchsorted(gone, [number, number + batch.num_rows])
             keep = np.ones(batch.num_rows, bool)
-            keep[gone[a:b] - number] = False
-            number += batch.num_rows
-            yield batch.filter(pa.array(keep))
-        if len(gone) and gone[-1] >= number:
-            raise RuntimeError("a split of the documents was read differently than before")
+            for file, a, b in segments(batch):
+                place = batch.column(batch.num_columns - 1).to_numpy()[a:b]
+                if (mine := dropped.rows(file, int(place[0]), int(place[-1]))) is not None:
+                    keep[a + np.searchsorted(place, mine.column(ROW).to_numpy())] = False
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(run, docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

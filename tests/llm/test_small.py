@@ -274,6 +274,75 @@ def test_ngram_one_of_each(spark, tmp_path):
     assert o.one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.fixture
+def resplit(spark):
+    """Sets how many splits later scans take."""
+    def to(n):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(n))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g" if n == 1 else "8k")
+
+    yield to
+    for k in ("minPartitionNum", "openCostInBytes", "maxPartitionBytes"):
+        spark.conf.unset(f"spark.sql.files.{k}")
+
+
+def twice_each(spark, tmp_path, n=150):
+    rng = random.Random(21)
+    texts = [words_of(rng, 60) for _ in range(n)] * 2
+    docs_of(spark, texts).repartition(6).write.option("parquet.block.size", 16 << 10).parquet(str(tmp_path / "d.parquet"))
+    return spark.read.parquet(str(tmp_path / "d.parquet"))
+
+
+def test_ngram_rows_are_known_in_other_splits(spark, tmp_path, resplit):
+    from arbora.llm import op06_ngram_join as o
+
+    docs = twice_each(spark, tmp_path)
+    resplit(8)
+    one = o.one_of_each(docs)
+    resplit(1)
+    assert sorted(r.doc_id for r in one.select("doc_id").collect()) == list(range(150))
+    assert docs.where("doc_id < 0").union(one).count() == 150 and one.union(one).count() == 300
+    assert one.coalesce(1).count() == 150 and one.where("doc_id % 2 = 0").count() == 75
+    # Rows of a filter are known by their place too, those of other plans by that of their copy.
+    assert o.one_of_each(docs.where("doc_id >= 100")).count() == 150 and o.one_of_each(docs.union(docs)).count() == 150
+    assert o.one_of_each(docs.where("rand(3) < 2").withColumn("_metadata", docs.doc_id)).count() == 150
+
+
+def test_ngram_splits_change_between_scans(spark, tmp_path, resplit, monkeypatch):
+    from arbora.llm import op06_ngram_join as o
+
+    docs, turn = twice_each(spark, tmp_path), iter(range(1, 100))
+    plain = o.hand_over
+    monkeypatch.setattr(o, "hand_over", lambda *a: (plain(*a), resplit(1 if next(turn) % 2 else 8))[0])
+    got = {r.doc_id: r.component_id for r in o.components(docs).collect()}
+    assert got == {i: i % 150 for i in range(300)}
+
+
+def test_ngram_long_texts_and_small_parts(spark, monkeypatch):
+    """Texts beyond a buffer, many runs a bucket, many ranges, blocks of few rows, hubs of many places."""
+    from arbora.llm import op06_ngram_join as o
+
+    for name, value in (("RUN", 400), ("RANGE", 300), ("BLOCK_ROWS", 4), ("PARTNERS", 3), ("BUCKET", 3)):
+        monkeypatch.setattr(o, name, value)
+    rng = random.Random(22)
+    long = words_of(rng, 260_000, 5000)
+    head = " ".join(f"h{i}" for i in range(60))
+    texts = [long, long + " tail", words_of(rng, 200_000, 5000)] + near_copies(rng, 60, 8) + [head + " " + words_of(rng, 14) for _ in range(30)] + near_copies(rng, 12, 25)
+    got = {r.doc_id: r for r in o.components(docs_of(spark, texts)).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == brute([shingles(t, 5) for t in texts], 80, 100)
+
+
+def test_ngram_chain_without_a_common_hub(spark):
+    """Each text is near its neighbours only, all share one frequent part, and sizes cross bands."""
+    from arbora.llm import op06_ngram_join as o
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[3 * i:3 * i + 100 + i]) for i in range(70)]
+    got = {r.doc_id: r for r in o.components(docs_of(spark, texts), o.JoinSpec(k=2, num=85)).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == brute([shingles(t, 2) for t in texts], 85, 100)
+
+
 # 7 -------------------------------------------------------------------------------
 def test_embeddings(spark):
     import numpy as np
@@ -427,6 +496,65 @@ def test_suffix_copies_under_a_hot_header(spark, spec, monkeypatch):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
 
 
+def test_suffix_multikey_order():
+    import numpy as np
+
+    from arbora.llm import op10_suffix_dedup as o
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 50, 3000):
+        columns = [rng.integers(-3, 3, n), rng.integers(-2, 2, n), rng.integers(-(1 << 62), 1 << 62, n)]
+        for small in (1, 16, 1 << 12):
+            order = o.multikey_order(columns, small)
+            assert sorted(order.tolist()) == list(range(n))
+            rows = [tuple(int(c[i]) for c in columns) for i in order]
+            assert rows == sorted(rows)
+
+
+def test_suffix_spec():
+    from arbora.llm import op10_suffix_dedup as o
+
+    o.RepeatSpec(4143, 48)
+    for bad in ((4144, 48), (10, 11), (10, 0)):
+        with pytest.raises(ValueError):
+            o.RepeatSpec(*bad)
+
+
+@pytest.mark.parametrize("spec", [(200, 48), (600, 48), (12, 5)])
+def test_suffix_buckets_pieces_and_splits(spark, tmp_path, spec, resplit, monkeypatch):
+    """Many buckets with equal suffixes across their boundaries, long texts in pieces, splits that change between scans."""
+    from arbora.llm import op10_suffix_dedup as o
+
+    for name, value in (("BUCKET", 40), ("TOGETHER", 8)):
+        monkeypatch.setattr(o, name, value)
+    rng = random.Random(23)
+    passage = words_of(rng, 300)
+    texts = [words_of(rng, 30) + passage[rng.randint(0, 300):] for _ in range(40)] + [passage] * 30 + [None, "", "ab" * 500]
+    df = docs_of(spark, texts).withColumn("bytes", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
+    df.repartition(5).write.option("parquet.block.size", 8 << 10).parquet(str(tmp_path / "d.parquet"))
+    docs, turn, plain = spark.read.parquet(str(tmp_path / "d.parquet")), iter(range(100)), o.hand_over
+    monkeypatch.setattr(o, "hand_over", lambda *a: (plain(*a), resplit(1 if next(turn) % 2 else 8))[0])
+    got = {r.doc_id: r for r in o.remove_repeats(docs, o.RepeatSpec(*spec)).collect()}
+    for i, want in enumerate(repeats_brute([(t or "").encode() for t in texts], spec[0])):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
+
+
+def test_suffix_text_beyond_a_piece(spark):
+    """A text of more than 4 MiB with repeats inside, across the pieces' border and with another document."""
+    from arbora.llm import op10_suffix_dedup as o
+
+    rng = random.Random(24)
+    fill = lambda n: rng.randbytes(n // 2).hex()
+    once, again = fill(1000), fill(3000)
+    big = fill(100_000) + once + fill(o.PIECE - 100_000 - 1000 - 1500) + again + fill(50_000) + again[500:2500] + fill(300_000)
+    texts = [big, fill(700) + once[:900], "x" * 100]
+    spans = [(100_000, 900), (o.PIECE - 1500 + 500, 2000), (o.PIECE - 1500 + 3000 + 50_000, 2000)]
+    got = {r.doc_id: r for r in o.remove_repeats(docs_of(spark, texts)).collect()}
+    # Neighbours of a repeat may agree by chance for a character or two.
+    assert 0 <= got[0].n_removed - sum(n for _, n in spans) <= 12 and got[0].n_spans == 3
+    assert got[1].n_spans == 1 and 900 <= got[1].n_removed <= 904 and got[2].n_removed == 0
+
+
 # common ----------------------------------------------------------------------------
 def test_components(spark):
     from arbora.llm.common import connected_components
