@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyspark.cloudpickle as cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import arbora
@@ -56,6 +56,12 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_and_counted(df: DataFrame, name: str, *metrics) -> tuple[DataFrame, dict]:
+    """As ``staged``, with aggregates over the rows that are taken while they are written."""
+    seen = Observation(uuid.uuid4().hex)
+    return staged(df.observe(seen, *metrics), name), seen.get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +73,23 @@ CHUNK = 20
 MAX_SLICES = 4096
 
 
+def quoted(names) -> list:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def shielded(df: DataFrame, used: tuple[str, ...], added: tuple[str, ...] = ()):
+    """``df`` with every column but the ``used`` ones under a plain name that no operator gives, and a function that
+    returns what a frame still has of them under their own names, followed by the ``added`` ones."""
+    names = df.columns
+    safe = [c if c in used else f"own{i}" for i, c in enumerate(names)]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(s).alias(c) for s, c in zip(safe, names, strict=True) if s in out.columns], *added)
+
+    return df.toDF(*safe), back
+
+
 def _plain(df: DataFrame) -> bool:
     """Whether ``df`` only picks columns and rows of one Parquet relation, by rules that give the same each time."""
     plan = df._jdf.queryExecution().optimizedPlan()
@@ -187,22 +210,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     split where a node is hot, so no group is ever gathered in one task.
     Self-loops, repeated edges and null ends are dropped.
     """
-    now = staged(
+    marks = F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))").alias("h")
+    now, mark = staged_and_counted(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u is not null and v is not null and u <> v").distinct(), "cc",
+        .where("u is not null and v is not null and u <> v").distinct(), "cc", *marks,
     )
     before = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))").alias("h")).first()
-        if (mark.n, mark.h) == before or mark.n == 0:
-            break
-        before = (mark.n, mark.h)
+    while mark["n"] and mark != before:
+        before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "m").union(low.select(F.col("u").alias("x"), "m"))
-        now = staged(small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "cc")
+        small = small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+        now, mark = staged_and_counted(small, "cc", *marks)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -1,6 +1,7 @@
 """WARC archives: a writer and a splittable reader.
 
-Writing. Every row becomes one WARC/1.1 record in a gzip member of its own. Of
+Writing. Every row becomes one WARC/1.1 record in a gzip member of its own, behind
+a warcinfo record that each file begins with and the reader leaves out. Of
 records with equal payloads (by SHA-1, from ``min_revisit_bytes`` on) the one
 with the smallest page_id is a response and the others are revisits that refer
 to it. Spark's text writer commits the members, so a lost or repeated task
@@ -10,8 +11,8 @@ so it is left to the separator, itself one 0 byte. Longer records get their own
 last byte and the 0 after it is padding, which gzip readers skip.
 
 Reading. A task takes a byte range of a file. It looks for the gzip magic,
-validates each candidate by decoding until the record's version line shows, and
-owns the members that start inside its range, however far they reach. Members
+validates each candidate by decoding its headers (a version line, a type and a
+length), and owns the members that start inside its range, however far they reach. Members
 are decoded as a stream; the checksum at their end is verified.
 
 Defined results: a null payload is empty; records with a null page_id are
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -38,8 +40,8 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/"
 #: Bytes read from a file at a time.
 BLOCK = 1 << 20
-#: Bytes of a candidate that are decoded to see its version line.
-PROBE = 1 << 12
+#: Bytes that a record's headers have at most; a candidate is decoded until they end.
+HEADERS = 1 << 20
 _URN = "urn:arbora:page:"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, file string, offset long"
 
@@ -88,6 +90,14 @@ def _member(page_id, url, payload: bytes, record_type: str, refers_to, date: str
     return out[:-1] if out[-1] == 0 else out
 
 
+def _info(date: str) -> bytes:
+    """The record that describes a file, as a gzip member without the last byte, 0."""
+    block = b"software: arbora\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:arbora:info>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n"
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return (pack.compress(head.encode() + block + b"\r\n\r\n") + pack.flush())[:-1]
+
+
 def write_archive(pages: DataFrame, path: str, payload: str = "html", min_revisit_bytes: int = 0) -> None:
     """Write ``pages`` (page_id, url, payload column) as WARC files under ``path``."""
     date = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -95,8 +105,12 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", min_revisi
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        first = True
         for batch in batches:
             for i in range(batch.num_rows):
+                if first:
+                    first = False
+                    yield pa.RecordBatch.from_arrays([pa.array([_info(date)], pa.binary())], ["member"])
                 row = [batch.column(k)[i].as_py() for k in range(5)]
                 yield pa.RecordBatch.from_arrays([pa.array([_member(row[0], row[1], row[2] or b"", row[3], row[4], date)], pa.binary())], ["member"])
 
@@ -140,14 +154,32 @@ class _Blocks:
                 return None
 
 
+def _headers(text: bytes) -> dict[str, str]:
+    """Headers of a record (lower-case names) from its version line to the empty line."""
+    lines = text.decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
 def _is_record(blocks: _Blocks) -> bool:
-    """Whether the bytes at the cursor begin a gzip member that holds a record."""
-    while len(blocks.data) < PROBE and blocks.more():
-        pass
+    """Whether the bytes at the cursor begin a gzip member that holds a record: its headers are decoded."""
+    unpack, text, used = zlib.decompressobj(31), b"", 0
     try:
-        return zlib.decompressobj(31).decompress(blocks.data[:PROBE], len(VERSION)).startswith(VERSION)
+        while b"\r\n\r\n" not in text and len(text) < HEADERS and not unpack.eof:
+            if used == len(blocks.data) and not blocks.more():
+                break
+            # A little at a time: most candidates fail at once, and headers are short.
+            text += unpack.decompress(blocks.data[used:used + 1024])
+            used = min(len(blocks.data), used + 1024)
+            if text and not text.startswith(VERSION[:len(text)]):
+                return False
     except zlib.error:
         return False
+    head, end, _ = text.partition(b"\r\n\r\n")
+    if not end or not re.match(rb"WARC/\d+\.\d+\r\n", head):
+        # A member that is cut off may still be a record, which the reader then reports.
+        return not end and not unpack.eof and text.startswith(VERSION) and len(text) < HEADERS
+    fields = _headers(head)
+    return "warc-type" in fields and fields.get("content-length", "").isdigit()
 
 
 def members(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -175,8 +207,7 @@ def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while content.startswith(VERSION, at):
         stop = content.index(b"\r\n\r\n", at)
-        lines = content[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        head = _headers(content[at:stop])
         size = int(head["content-length"])
         block = content[stop + 4: stop + 4 + size]
         if len(block) != size:
@@ -196,7 +227,8 @@ def read_archive(spark: SparkSession, path: str, split_bytes: int = 32 << 20) ->
     ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {int(split_bytes)}L)")).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("stop"))
     n = max(1, int(ranges.count()))
-    ranges = ranges.repartition(n, "path", "start")
+    # By order and not by hash, so that every task gets about one range.
+    ranges = ranges.repartitionByRange(n, "path", "start")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -208,6 +240,8 @@ def read_archive(spark: SparkSession, path: str, split_bytes: int = 32 << 20) ->
                 for offset, content in members(one["path"], one["start"], one["stop"]):
                     for head, block in _records(content):
                         kind, payload = head.get("warc-type"), None
+                        if kind == "warcinfo":
+                            continue
                         if kind == "response":
                             payload = block.partition(b"\r\n\r\n")[2]
                         digest = _digest(payload) if payload is not None else head.get("warc-payload-digest", "").removeprefix("sha1:")

@@ -22,7 +22,6 @@ alike; an empty table gives an empty result; extra columns are carried along
 
 from __future__ import annotations
 
-import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import table
+from arbora.llm.common import shielded, table
 
 MARK = "▁"
 # Fixed value: Latin letters as ranges of code points.
@@ -298,7 +297,9 @@ def _codec(key: str, shared) -> Codec:
 def encode(docs: DataFrame, model_path: str, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``ids``, n_pieces and n_fallback (byte pieces of characters without a piece)."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(Model(model_path)))  # bounded by the vocabulary
-    kept = [c for c in docs.columns if c not in ("ids", "n_pieces", "n_fallback") and (keep_text or c != "text")]
+    added = ("ids", "n_pieces", "n_fallback")
+    docs, back = shielded(docs.drop(*added), ("text",), added)
+    kept = [c for c in docs.columns if keep_text or c != "text"]
     schema = T.StructType([docs.schema[c] for c in kept] + [
         T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.LongType()), T.StructField("n_fallback", T.LongType())])
 
@@ -319,14 +320,14 @@ def encode(docs: DataFrame, model_path: str, keep_text: bool = True) -> DataFram
                 spelt = pa.array([int(spelled[r].sum()) for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [ids, pa.array(sizes), spelt], [*kept, "ids", "n_pieces", "n_fallback"])
 
-    source = docs if "text" in kept else docs.select(*kept, "text")
-    return source.mapInArrow(run, schema)
+    return back(docs.mapInArrow(run, schema))
 
 
 def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> DataFrame:
     """``encoded`` without ``ids`` but with the text that they spell."""
     shared = encoded.sparkSession.sparkContext.broadcast(vars(Model(model_path)))
-    kept = [c for c in encoded.columns if c not in ("ids", column)]
+    encoded, back = shielded(encoded.drop(column), ("ids",), (column,))
+    kept = [c for c in encoded.columns if c != "ids"]
     schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField(column, T.StringType())])
 
     def run(batches: Iterator) -> Iterator:
@@ -340,12 +341,7 @@ def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> Data
                 texts = pa.array([codec.decode(x or []) for x in part.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [texts], [*kept, column])
 
-    return encoded.mapInArrow(run, schema)
-
-
-def digest_of(ids: list[int]) -> str:
-    """SHA-256 over the ids in decimal, blank-separated (what the query's ``ids_sha256`` holds)."""
-    return hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    return back(encoded.mapInArrow(run, schema))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

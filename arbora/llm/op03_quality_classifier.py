@@ -14,8 +14,9 @@ driver. Everything else - scoring - covers every document.
 Defined results: a null or empty text has no words and gets the score of its
 structure alone; null labels are skipped and of repeated labels the lowest
 counts; without any usable label every score is 0.5; a null doc_id is not held
-out; repeated rows score alike; an empty table gives an empty result; extra
-columns are dropped.
+out; repeated rows score alike, and of rows that repeat a labelled id the one with
+the smallest text counts; ids may be numbers or text; an empty table gives an
+empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.llm.common import table
 
@@ -159,8 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, spec: MachineSpec = MachineSpec()) -
     """Train on at most ``spec.max_rows`` labelled documents outside the held-out fold."""
     known = labels.where("doc_id is not null and quality is not null").where(fold_of("doc_id", spec.folds) != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.max_rows)
-    # At most max_rows pairs of numbers, so this side may be broadcast.
+    # At most max_rows ids and labels, so this side may be broadcast.
     sample = docs.select("doc_id", "text", "n_chars").join(F.broadcast(known), "doc_id")
+    # Rows that repeat an id count once, so max_rows bounds what the driver gets.
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars", "quality")).alias("x")).select(F.col("doc_id").cast("string").alias("id"), "x.*")
     buckets = spec.buckets
 
     def run(batches: Iterator) -> Iterator:
@@ -171,17 +175,17 @@ def fit(docs: DataFrame, labels: DataFrame, spec: MachineSpec = MachineSpec()) -
             for one in batch.to_pylist():
                 index, value, stats = features(one["text"], one["n_chars"])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([one["doc_id"]], pa.int64()), pa.array([index.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary()),
-                    pa.array([stats.tobytes()], pa.binary()), pa.array([one["quality"]], pa.int32())], ["doc_id", "i", "x", "s", "y"])
+                    pa.array([one["id"]], pa.string()), pa.array([index.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary()),
+                    pa.array([stats.tobytes()], pa.binary()), pa.array([one["quality"]], pa.int32())], ["id", "i", "x", "s", "y"])
 
     import numpy as np
 
-    got = sample.mapInArrow(run, "doc_id long, i binary, x binary, s binary, y int").toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
+    got = sample.mapInArrow(run, "id string, i binary, x binary, s binary, y int").toArrow().sort_by("id")
     rows = [
         (np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), np.frombuffer(s, np.float32), 1 if y else 0)
         for i, x, s, y in zip(*(got.column(c).to_pylist() for c in "ixsy"), strict=True)
     ]
-    return train(rows[: 2 * spec.max_rows], spec)
+    return train(rows, spec)
 
 
 def score(docs: DataFrame, model: dict, spec: MachineSpec = MachineSpec()) -> DataFrame:
@@ -206,7 +210,8 @@ def score(docs: DataFrame, model: dict, spec: MachineSpec = MachineSpec()) -> Da
                 out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text", "n_chars").mapInArrow(run, "doc_id long, score double")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    out = docs.select("doc_id", "text", "n_chars").mapInArrow(run, schema)
     held = F.coalesce(fold_of("doc_id", spec.folds) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= spec.threshold).cast("int").alias("predicted"))
 

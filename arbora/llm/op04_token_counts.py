@@ -11,7 +11,8 @@ Special strings inside a text are handled as the library does by default: they
 are cut out first and count one token each. Defined results: a null or empty
 text has no bytes and no tokens; repeated rows count alike; an empty table gives
 an empty result; extra columns are carried along (columns of the names added
-here are replaced).
+here are replaced). A tokenizer file with other rules (a normalizer, another
+pre-tokenizer, added tokens that strip or normalize) is an error.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import table
+from arbora.llm.common import shielded, table
 
 # Fixed value: the byte-level pre-token pattern.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -59,6 +60,21 @@ def whole_tokens(tokenizer_json: str) -> frozenset[str]:
     return frozenset(s for s in spec["vocab"] if len(bpe.tokenize(s)) == 1)
 
 
+def check_supported(tokenizer_json: str) -> None:
+    """Raises ValueError for a tokenizer whose rules are others than the ones that this module follows."""
+    spec = json.loads(tokenizer_json)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for k in ("normalizer", "truncation", "padding") if spec.get(k)]
+    odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if model.get("type") != "BPE":
+        odd.append("model")
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        odd.append("pre_tokenizer")
+    if odd:
+        raise ValueError(f"only byte-level BPE without normalizer is supported; this tokenizer has another {', '.join(odd)}")
+
+
 class TokenCounter:
     """Counts tokens of texts in one worker."""
 
@@ -124,10 +140,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
+    check_supported(tokenizer_json)
     # Bounded by the vocabulary, whatever the corpus.
     key = tokenizer_path
     shared = spark.sparkContext.broadcast((tokenizer_json, whole_tokens(tokenizer_json)))
-    kept = [c for c in docs.columns if c not in ("text", "n_bytes", "n_tokens", "over_limit")]
+    added = ("n_bytes", "n_tokens", "over_limit")
+    docs, back = shielded(docs.drop(*added), ("text",), added)
+    kept = [c for c in docs.columns if c != "text"]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
@@ -146,8 +165,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
                 tokens = pa.array([counter.count(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [sizes, tokens], [*kept, "n_bytes", "n_tokens"])
 
-    out = docs.select(*kept, "text").mapInArrow(run, schema)
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = docs.mapInArrow(run, schema)
+    return back(out.withColumn("over_limit", F.col("n_tokens") > limit))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

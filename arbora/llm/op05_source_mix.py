@@ -12,7 +12,7 @@ The order needs no sort of a pattern: a histogram over the hash's leading bits
 finds the bucket in which the routed words end, a second one the bucket inside
 it, and only that bucket is summed up row by row. What leaves the executors is
 one row per pattern; the number of patterns is the number of sources and of
-their overlaps, not of documents.
+their overlaps, not of documents, and more than ``MAX_PATTERNS`` are an error.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, last in order; rows that repeat both doc_id and text share a
@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arbora.llm.common import WORD, staged, table
+from arbora.llm.common import WORD, quoted, shielded, staged, table
 
 #: Bits of the hash that each histogram takes: 4,096 buckets a pattern.
 BITS = 12
 #: So many documents of a pattern at most close the rest after the ordered ones.
 CLOSINGS = 4
+#: Patterns that the driver plans; more of them are an error.
+MAX_PATTERNS = 1_000_000
 #: A broadcast of the patterns' cuts is only asked for up to so many patterns.
 MAX_BROADCAST_PATTERNS = 100_000
 
@@ -67,8 +69,38 @@ def water_fill(sizes: list[int], spec: MixSpec) -> list[float]:
     return targets
 
 
-def min_cost_flow(patterns: list[tuple[frozenset[int], int]], quotas: list[int], max_repeats: int) -> list[int]:
-    """Words to take from each pattern (its sources, its words).
+def min_cost_flow(patterns: list[tuple[frozenset[int], int]], quotas: list[int], max_repeats: int) -> dict[tuple[int, int], int]:
+    """Words to carry from each pattern (its sources, its words) to each of its sources.
+
+    Sources that no pattern ties together do not meet in a flow, so each group
+    of tied sources is solved on its own.
+    """
+    parent = list(range(len(quotas)))
+
+    def find(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for members, _ in patterns:
+        for s in members:
+            parent[find(s)] = find(min(members))
+    groups: dict[int, list[int]] = {}
+    for p, (members, _) in enumerate(patterns):
+        if members:
+            groups.setdefault(find(min(members)), []).append(p)
+    out = {}
+    for numbers in groups.values():
+        sources = sorted({s for p in numbers for s in patterns[p][0]})
+        at = {s: i for i, s in enumerate(sources)}
+        part = [(frozenset(at[s] for s in patterns[p][0]), patterns[p][1]) for p in numbers]
+        out |= {(numbers[p], sources[s]): x for (p, s), x in _flow(part, [quotas[s] for s in sources], max_repeats).items()}
+    return out
+
+
+def _flow(patterns: list[tuple[frozenset[int], int]], quotas: list[int], max_repeats: int) -> dict[tuple[int, int], int]:
+    """The flow of one group of sources.
 
     Successive cheapest augmenting paths. The cost of a unit is the repetition
     it belongs to, so residual paths with reduced costs are searched by
@@ -118,10 +150,7 @@ def min_cost_flow(patterns: list[tuple[frozenset[int], int]], quotas: list[int],
             graph[a][k][1] -= room
             graph[v][graph[a][k][3]][1] += room
             v = a
-    sent = [0] * n
-    for b, _, _, back in graph[start]:
-        sent[b] += graph[b][back][1]
-    return sent
+    return {(p, b - n): graph[b][back][1] for p in range(n) for b, _, _, back in graph[p] if n <= b < start and graph[b][back][1]}
 
 
 def _keyed(docs: DataFrame, sources: str, seed: int) -> DataFrame:
@@ -140,12 +169,18 @@ def plan_mix(narrow: DataFrame, spec: MixSpec) -> tuple[DataFrame, list]:
     is taken ``full`` times, those with _h < cut or _h in closing once more.
     """
     spark = narrow.sparkSession
-    found = narrow.groupBy("_pattern").agg(F.first("_sources").alias("members"), F.sum("_size").alias("words")).collect()
+    groups = staged(narrow.groupBy("_pattern").agg(F.first("_sources").alias("members"), F.sum("_size").alias("words")), "mix-patterns")
+    if (n := groups.count()) > MAX_PATTERNS:
+        raise ValueError(f"{n} patterns of sources; a plan takes {MAX_PATTERNS} at most")
+    found = groups.orderBy("_pattern").collect()
     names = sorted({s for r in found for s in r.members}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
     place = {s: i for i, s in enumerate(names)}
     held = [sum(r.words for r in found if s in r.members) for s in names]
     targets = water_fill(held, spec)
-    sent = min_cost_flow([(frozenset(place[s] for s in r.members), r.words) for r in found], [round(t) for t in targets], spec.max_repeats)
+    routed = min_cost_flow([(frozenset(place[s] for s in r.members), r.words) for r in found], [round(t) for t in targets], spec.max_repeats)
+    sent = [0] * len(found)
+    for (p, _), words in routed.items():
+        sent[p] += words
     full = [min(spec.max_repeats, f // r.words) if r.words else 0 for f, r in zip(sent, found)]
     rows = [(r._pattern, k, f - k * r.words) for r, f, k in zip(found, sent, full)]
     need = spark.createDataFrame(rows, "_pattern string, full long, rest long")
@@ -190,7 +225,8 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), sources: str | None = None)
     ``sources`` names an array column of the sources that a document belongs
     to; without it the column ``source`` is the one member.
     """
-    docs = docs.drop("size", "taken")
+    used = ("doc_id", "text", sources or "source")
+    docs, back = shielded(docs.drop("size", "taken"), used, ("size", "taken"))
     df = docs.withColumn("_sources", F.col(sources) if sources else F.array("source"))
     df = _keyed(df, "_sources", spec.seed)
     narrow = staged(df.select("_pattern", "_sources", "_size", "_h"), "mix-sizes")
@@ -199,7 +235,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), sources: str | None = None)
         cuts = F.broadcast(cuts)
     times = F.col("full") + F.expr("if(rest > 0 and (coalesce(_h < cut, true) or coalesce(array_contains(closing, _h), false)), 1L, 0L)")
     df = df.join(cuts, "_pattern").withColumn("size", F.col("_size")).withColumn("taken", F.col("_size") * times)
-    return df.select(*docs.columns, "size", "taken"), found
+    return back(df), found
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,4 +249,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a row for every time that the mix takes a document."""
     out, _ = mix(docs)
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    out, back = shielded(out.withColumn("size", copies), ("size",))
+    return back(out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("size"))))).select(*quoted(docs.columns))

@@ -13,10 +13,10 @@ suffix filters, joined on prefix n-grams, each pair verified once.
    shingle of their prefixes. Of prefix shingles with the same list of classes
    the first one stands for all.
 4. Classes are joined on prefix shingles. So that a large group of near copies
-   yields no pairs inside it, each class is first held against one hub of its
-   shingle and length band, twice with other hubs; lists whose classes are by
-   then connected are done.
-5. What is left of a list is cut into blocks of bounded size by length band, and
+   yields no pairs inside it, each class of a list beyond one block is first held
+   against one hub of its shingle and length band, at most HUB_ROUNDS times with
+   other hubs; lists whose classes are by then connected are done.
+5. All other lists are cut into blocks of bounded size by length band, and
    blocks of compatible lengths meet in one task. There, prefix, length,
    positional and suffix filters leave the pairs that are verified on whole sets:
    a pair counts only under its first common shingle, and not if it was held
@@ -47,7 +47,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import FILE, ROW, Handover, connected_components, hand_over, located, segments, slices_of, staged, table
+from arbora.llm.common import FILE, ROW, Handover, connected_components, hand_over, located, segments, shielded, slices_of, staged, staged_and_counted, table
 
 #: Shingles of neighbouring rows that are packed together, and bytes of texts hashed at a time.
 RUN = 1 << 20
@@ -505,15 +505,11 @@ def _held_against(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFra
     return meet.repartition("hub", "at").sortWithinPartitions("hub", "at", "side").mapInArrow(run, "u long, v long")
 
 
-def _rest(lists: DataFrame, roots: DataFrame, pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
+def _rest(now: DataFrame, pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """(u, v): links among classes of a list that are not yet connected nor held against each other."""
     k, shingler = spec.k, _Shingler
     join = lambda sets, skip: local_links(sets, skip, spec)
-    now = lists.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    # A list of two classes of one band is settled: one was the other's hub.
-    open_ = now.groupBy("token").agg(
-        F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c"), F.min("band").alias("p"), F.max("band").alias("q"))
-    open_ = open_.where("x < y and not (c = 2 and p = q)").select("token")
+    open_ = now.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
     now = staged(now.join(open_, "token").select("token", "cid", "n", "code", "band", "root"), "ngram-open")
     # Both lists are bounded by the prefix of their class.
     order = now.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("code", "token"))).alias("order"))
@@ -565,27 +561,41 @@ def _rest(lists: DataFrame, roots: DataFrame, pairs: DataFrame, texts: DataFrame
     return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "u long, v long")
 
 
-def links(lists: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(u, v) of linked classes that connect all that any links connect."""
+def _connected(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links (u, v), of which only what they add is solved."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    ends = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    more = staged(connected_components(ends), "ngram-more")
+    onto = more.select(F.col("node").alias("root"), F.col("root").alias("onto"))
+    moved = roots.join(onto, "root", "left").select("node", F.coalesce("onto", "root").alias("root"))
+    return staged(moved.union(more.join(roots, "node", "left_anti")), "ngram-roots")
+
+
+def linked_classes(lists: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
+    """(node, root): components of the classes by their links; classes without a link may be absent."""
     spark = lists.sparkSession
-    found, held, roots = None, None, spark.createDataFrame([], "node long, root long")
+    roots = spark.createDataFrame([], "node long, root long")
+    held = spark.createDataFrame([], "cid long, hub long")
+    of_root = lambda: lists.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
     for turn in range(HUB_ROUNDS):
+        large = of_root().groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c"))
+        large, seen = staged_and_counted(large.where(f"x < y and c > {BLOCK_ROWS}").select("token"), "ngram-large", F.count(F.lit(1)).alias("n"))
+        if not seen["n"]:
+            break
         # The first hubs are those nearest to what the list has in common, later ones are taken by hash.
         rank = "struct(own, cid)" if turn == 0 else f"struct(xxhash64({turn}, cid), cid)"
-        hub = lists.groupBy("token", "band").agg(F.expr(f"min_by(struct(cid, n, pos), {rank})").alias("h"))
-        pairs = lists.join(hub, ["token", "band"]).where("cid <> h.cid")
+        part = of_root().join(large, "token")
+        hub = part.groupBy("token", "band").agg(F.expr(f"min_by(struct(cid, n, pos, root), {rank})").alias("h"))
+        pairs = part.join(hub, ["token", "band"]).where("cid <> h.cid and root <> h.root")
         # Under a pair's first common shingle no more than what follows in either set can be shared.
         pairs = pairs.where(F.expr(f"least(n - pos, h.n - h.pos) * {spec.num + spec.den} >= {spec.num} * (n + h.n)"))
         pairs = pairs.select("cid", F.col("h.cid").alias("hub")).distinct()
-        if held is not None:
-            a, b = roots.select(F.col("node").alias("cid"), F.col("root").alias("x")), roots.select(F.col("node").alias("hub"), F.col("root").alias("y"))
-            pairs = pairs.join(a, "cid", "left").join(b, "hub", "left").where("coalesce(x, cid) <> coalesce(y, hub)").select("cid", "hub")
+        if turn:
             pairs = pairs.join(held, ["cid", "hub"], "left_anti").join(held.select(F.col("cid").alias("hub"), F.col("hub").alias("cid")), ["cid", "hub"], "left_anti")
         pairs = staged(pairs, "ngram-pairs")
-        got = staged(_held_against(pairs, texts, spec), "ngram-links")
-        found, held = (got, pairs) if found is None else (found.union(got), held.union(pairs))
-        roots = staged(connected_components(found), "ngram-roots")
-    return found.union(staged(_rest(lists, roots, held, texts, spec), "ngram-links"))
+        held = held.union(pairs)
+        roots = _connected(roots, staged(_held_against(pairs, texts, spec), "ngram-links"))
+    return _connected(roots, staged(_rest(of_root(), held, texts, spec), "ngram-links"))
 
 
 def components(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
@@ -608,7 +618,7 @@ def _components(texts: DataFrame, spec: JoinSpec) -> DataFrame:
     lists = staged(postings(pre).withColumn("band", F.expr(band)), "ngram-lists")
     wanted = lists.select("cid").distinct().join(stand, "cid")
     found = staged(_fetched(texts, hand_over(wanted, "ngram-wanted", slices)), "ngram-texts")
-    linked = staged(connected_components(staged(links(lists, found, spec), "ngram-linked")), "ngram-components")
+    linked = linked_classes(lists, found, spec)
     named = classes.join(linked, classes["cid"] == linked["node"], "left").withColumn("root", F.coalesce("root", "cid"))
     low = named.groupBy("root").agg(F.min("first").alias("low"))
     named = named.join(low, "root").select("h", "l", "n", F.col("low.doc_id").alias("low_id"), F.col(f"low.{FILE}").alias("first_file"), F.col(f"low.{ROW}").alias("first_row"))
@@ -626,6 +636,7 @@ def one_of_each(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
 
     The places to drop are handed to the scan, so no text is shuffled.
     """
+    docs, back = shielded(docs, ("doc_id", "text"))
     placed = located(docs, "ngram-docs")
     texts = placed.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), FILE, ROW)
     gone = _components(texts, spec).where(f"n > 0 and ({FILE} <> first_file or {ROW} <> first_row)").select(FILE, ROW)
@@ -643,7 +654,7 @@ def one_of_each(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
                     keep[a + np.searchsorted(place, mine.column(ROW).to_numpy())] = False
             yield pa.RecordBatch.from_arrays(batch.columns[:-2], names).filter(pa.array(keep))
 
-    return placed.mapInArrow(run, docs.schema)
+    return back(placed.mapInArrow(run, docs.schema))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,24 +2,28 @@
 
 Vectors are compared on the unit sphere, where a cosine of at least ``t`` is a
 chord of at most sqrt(2 - 2t). Equal vectors of a label collapse to a class with
-a weight. The top of the tree is fitted on a bounded, hash-ordered sample: per
-label, nested covers with halving radii down to at most ``CELLS`` centres; every
-class is then put under its nearest centre, and each cell's covering radius is
-taken over all its members. Pairs of cells whose centres are farther apart than
-both radii and the chord are pruned. Cells are split into blocks of bounded size,
-and each surviving pair of blocks meets in one task, where both get cover trees
-of their own and a dual traversal prunes node pairs by their covering radii. A
-node pair wholly inside the chord counts without being opened.
+a weight.
+
+The upper levels of each label's tree are grown level by level: a node of more
+than ``BLOCK`` classes gets up to ``FAN`` centres, a nested cover with halving
+radii that is fitted on some ``SAMPLE`` of its classes; all its classes go under
+their nearest centre, and the covering radius of each child is taken over all of
+them. So the number of nodes follows the rows, and only the fit is sampled. Then
+both trees are traversed together from the roots down: pairs of nodes whose
+centres are farther apart than both radii and the chord are pruned at each level.
+Leaves are the blocks (one that cannot be split, such as a tight cluster, is cut
+by hash), and each surviving pair of blocks meets in one task, where both get
+cover trees of their own and the dual traversal goes on. A node pair wholly
+inside the chord counts without being opened.
 
 A task returns a count per vector and the links of a spanning forest, never all
-pairs; counts are summed and the forest's components taken. Labels that the
-sample missed have one cell.
+pairs; counts are summed and the forest's components taken.
 
 Defined results: a vector that is null, empty or zero, or holds null or
 non-finite components, or has a null label, links with nothing; vectors of
 different lengths do not link; rows that repeat a vector count as linked; a null
 vec_id counts but names no component; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored. Equal vectors are told by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -32,12 +36,17 @@ from pyspark.sql import functions as F
 
 from arbora.llm.common import connected_components, staged, table
 
-#: Vectors of the sample that the top levels are fitted on, cells of a label, and vectors of a block.
-SAMPLE = 8192
-CELLS = 32
+#: Classes of a block, children of a node, and classes of a node that its children are fitted on (about).
 BLOCK = 256
+FAN = 64
+SAMPLE = 512
+#: Levels that are grown across tasks; a node's number has DIGIT bits for each below those of its label.
+DEPTH = 5
+DIGIT = 7
+#: Classes of a node that are placed in one task.
+PLACE = 8192
 #: Nodes of so many vectors or fewer are compared whole.
-LEAF = 8
+LEAF = 32
 
 
 class _Node:
@@ -163,95 +172,155 @@ def _units(vectors):
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def fit_centers(classes: DataFrame) -> dict[tuple, object]:
-    """Centres by (label, length), from at most SAMPLE classes."""
+def _centers(x, k: int):
+    """Rows of up to ``k`` centres of a nested cover of unit vectors: those of a level come before the finer ones."""
     import numpy as np
 
-    got = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("label", "dim", "embedding").collect()
-    by: dict[tuple, list] = {}
-    for r in got:
-        by.setdefault((r.label, r.dim), []).append(r.embedding)
-    out = {}
-    for key, vectors in by.items():
-        x = _units(vectors)
-        level, radius = [(0, np.arange(len(x)))], 2.0
-        while radius > 1e-3 and len(level) < CELLS:
-            radius /= 2
-            level = [p for c, m in level for p in _cover(x, m, c, radius)]
-        out[key] = x[[c for c, _ in level[:CELLS]]]
-    return out
+    level, radius, out = [(0, np.arange(len(x)))], 2.0, [0]
+    while radius > 1e-3 and len(out) < k:
+        radius /= 2
+        level = [p for c, m in level for p in _cover(x, m, c, radius)]
+        known = set(out)
+        out += sorted(c for c, _ in level if c not in known)
+    return x[out[:k]]
+
+
+def _fit(sample: DataFrame) -> DataFrame:
+    """(node, child, center) of the nodes whose sampled classes are given as (node, k, embedding)."""
+    units, centers = _units, _centers
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        def close(node, k, vectors):
+            # Order must not depend on how rows arrived.
+            c = centers(units(sorted(vectors)), k)
+            return pa.RecordBatch.from_arrays([pa.array([node] * len(c), pa.int64()), pa.array(range(len(c)), pa.int32()), pa.array(c.tolist(), pa.list_(pa.float64()))], ["node", "child", "center"])
 
-def place(classes: DataFrame, centers: dict) -> DataFrame:
-    """Adds ``cell`` (nearest centre, -1 without one) and ``far`` (chord to it)."""
-    shared = classes.sparkSession.sparkContext.broadcast(centers)  # at most SAMPLE vectors
-    units = _units
+        now, size, vectors = None, 0, []
+        for batch in batches:
+            for node, k, vector in zip(*(batch.column(c).to_pylist() for c in ("node", "k", "embedding")), strict=True):
+                if node != now and vectors:
+                    yield close(now, size, vectors)
+                    vectors = []
+                now, size = node, k
+                vectors.append(vector)
+        if vectors:
+            yield close(now, size, vectors)
+
+    return sample.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, child int, center array<double>")
+
+
+def _placed(members: DataFrame, nodes: DataFrame, centers: DataFrame, depth: int) -> DataFrame:
+    """``members`` of the split ``nodes`` under their nearest centre, with the chord to it as ``far``; a node of many
+    classes is placed in several tasks, each of which gets its centres."""
+    places = nodes.select("node", F.expr(f"cast(ceil(n / {PLACE}) as int)").alias("places"))
+    one = members.join(places, "node").select("node", F.expr("cast(pmod(xxhash64(cid), places) as int)").alias("at"), F.lit(-1).alias("child"), "cid", "w", "embedding", F.lit(None).cast("array<double>").alias("center"))
+    kind = members.schema["embedding"].dataType
+    all_of = centers.join(places, "node").select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("at"), (F.col("child") - FAN - 1).alias("child"), F.lit(0).cast("long").alias("cid"), F.lit(0).cast("long").alias("w"),
+        F.lit(None).cast(kind).alias("embedding"), "center")
+    units, shift = _units, DIGIT * (DEPTH - 1 - depth)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        key, center = None, []
+        names = ["cid", "w", "embedding", "node", "far"]
         for batch in batches:
-            labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
-            vectors = batch.column("embedding").to_pylist()
-            cell, far = [-1] * len(labels), [2.0] * len(labels)
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(labels, dims, strict=True)):
-                groups.setdefault(key, []).append(i)
-            for key, rows in groups.items():
-                if (c := shared.value.get(key)) is None:
+            node, at, child, cid, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "at", "child", "cid", "w"))
+            cut = np.flatnonzero((np.diff(node) != 0) | (np.diff(at) != 0) | ((child[1:] >= -1) != (child[:-1] >= -1))) + 1
+            ends = [0, *cut.tolist(), len(node)]
+            for a, b in zip(ends, ends[1:]):
+                if a == b:
+                    continue
+                if child[a] < -1:
+                    if key != (node[a], at[a]):
+                        key, center = (node[a], at[a]), []
+                    center += batch.column("center").slice(a, b - a).to_pylist()
                     continue
-                cos = units([vectors[i] for i in rows]) @ c.T
+                if key != (node[a], at[a]):
+                    raise RuntimeError("the centres of a node are missing")
+                vectors = batch.column("embedding").slice(a, b - a)
+                cos = units(vectors.to_pylist()) @ np.array(center).T
                 best = cos.argmax(1)
-                for i, b, v in zip(rows, best, cos[np.arange(len(rows)), best], strict=True):
-                    cell[i], far[i] = int(b), math.sqrt(max(0.0, 2 - 2 * float(v)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far, pa.float64())], [*batch.schema.names, "cell", "far"])
+                far = np.sqrt(np.maximum(0.0, 2 - 2 * cos[np.arange(b - a), best]))
+                yield pa.RecordBatch.from_arrays([pa.array(cid[a:b]), pa.array(w[a:b]), vectors, pa.array(node[a:b] | (best.astype(np.int64) + 1) << shift), pa.array(far)], names)
 
+    meet = one.union(all_of).repartition("node", "at").sortWithinPartitions("node", "at", "child")
+    fields = [members.schema[c] for c in ("cid", "w", "embedding", "node")]
     from pyspark.sql import types as T
 
-    out = T.StructType([*classes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
-    return classes.mapInArrow(run, out)
-
-
-def _partners(cells: DataFrame, centers: dict, chord: float) -> DataFrame:
-    """(label, dim, cell, other, blocks, other_blocks) of cell pairs that the bounds leave."""
-    import numpy as np
-
-    spark = cells.sparkSession
-    known = {(r.label, r.dim, r.cell): r for r in cells.where("cell >= 0").collect()}  # at most SAMPLE rows
-    rows = []
-    for (label, dim), c in centers.items():
-        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)))
-        for i in range(len(c)):
-            for j in range(len(c)):
-                a, b = known.get((label, dim, i)), known.get((label, dim, j))
-                if a and b and (i == j or apart[i, j] - a.far - b.far <= chord + 1e-9):
-                    rows.append((label, dim, i, j, b.blocks))
-    lone = cells.where("cell < 0").select("label", "dim", "cell", F.col("cell").alias("other"), F.col("blocks").alias("other_blocks"))
-    kind = cells.schema["label"].dataType.simpleString()
-    return spark.createDataFrame(rows, f"label {kind}, dim int, cell int, other int, other_blocks int").union(lone)
+    return meet.mapInArrow(run, T.StructType([*fields, T.StructField("far", T.DoubleType())]))
+
+
+def grown(classes: DataFrame, chord: float) -> tuple[DataFrame, DataFrame, int]:
+    """(members with their leaf as ``node``, nodes as (node, parent, n, radius, center), levels below the roots)."""
+    roots = staged(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "vec-roots").coalesce(1)
+    roots = staged(roots.withColumn("node", F.shiftleft(F.monotonically_increasing_id(), DIGIT * DEPTH)), "vec-roots")
+    members = classes.join(roots.drop("n"), ["label", "dim"]).select("cid", "w", "embedding", "node")
+    none = F.lit(None).cast("array<double>").alias("center")
+    level = roots.select("node", F.lit(None).cast("long").alias("parent"), "n", F.lit(2.0).alias("radius"), none)
+    nodes, leaves = [level], []
+    for depth in range(DEPTH):
+        # Classes within half the chord of a centre are all linked: splitting such a node prunes nothing.
+        split = staged(level.where(f"n > {BLOCK} and radius > {chord / 2}").select("node", "n", F.expr(f"cast(least({FAN}, ceil(1.5 * n / {BLOCK})) as int)").alias("k")), "vec-split")
+        if not split.limit(1).count():
+            break
+        sample = members.join(split, "node").where(f"pmod(xxhash64({depth}, cid), n) < {SAMPLE}").select("node", "k", "embedding")
+        centers = staged(_fit(sample), "vec-centers")
+        split = split.join(centers.select("node").distinct(), "node", "left_semi")
+        leaves.append(members.join(split, "node", "left_anti").select("cid", "w", "embedding", "node"))
+        placed = staged(_placed(members, split, centers, depth), "vec-placed")
+        members, shift = placed.drop("far"), DIGIT * (DEPTH - 1 - depth)
+        named = centers.select(F.expr(f"node | shiftleft(cast(child + 1 as long), {shift})").alias("node"), F.col("node").alias("parent"), "center")
+        level = staged(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).join(named, "node").select("node", "parent", "n", "radius", "center"), "vec-level")
+        nodes.append(level)
+    for other in leaves:
+        members = members.union(other)
+    all_nodes = nodes[0]
+    for other in nodes[1:]:
+        all_nodes = all_nodes.union(other)
+    return staged(members, "vec-members"), staged(all_nodes, "vec-nodes"), len(nodes) - 1
+
+
+def leaf_pairs(nodes: DataFrame, levels: int, chord: float) -> DataFrame:
+    """(i, j), i <= j: pairs of leaves that no bound prunes, from the roots down."""
+    inner = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct()
+    leaf = nodes.join(inner, "node", "left_anti")
+    kids = nodes.where("parent is not null").union(leaf.withColumn("parent", F.col("node")))
+    kids = staged(kids.select("parent", "node", "radius", "center"), "vec-kids")
+    side = lambda x: kids.select(F.col("parent").alias(x), F.col("node").alias(f"{x}_kid"), F.col("radius").alias(f"{x}_r"), F.col("center").alias(f"{x}_c"))
+    dot = "aggregate(zip_with(i_c, j_c, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+    apart = f"coalesce(sqrt(greatest(0D, 2 - 2 * {dot})) - i_r - j_r <= {chord + 1e-7}, true)"
+    pairs = nodes.where("parent is null").select(F.col("node").alias("i"), F.col("node").alias("j"))
+    for _ in range(levels):  # a leaf that is reached early stays as it is
+        pairs = pairs.join(side("i"), "i").join(side("j"), "j").where(f"(i <> j or i_kid <= j_kid) and (i_kid = j_kid or {apart})")
+        pairs = staged(pairs.select(F.least("i_kid", "j_kid").alias("i"), F.greatest("i_kid", "j_kid").alias("j")), "vec-pairs")
+    return pairs
 
 
 def near_duplicates(vectors: DataFrame, t: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label").withColumn("dim", F.size("embedding")).withColumn("ok", F.coalesce(_valid(), F.lit(False)))
-    rows = rows.withColumn("cid", F.when(F.col("ok"), F.xxhash64("label", "dim", F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))))
-    # The embedding of a class is that of its smallest row: any, as all are equal.
-    classes = staged(rows.where("ok").groupBy("cid").agg(
-        F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("embedding").alias("embedding"),
-        F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("low")), "vec-classes")
-    centers = fit_centers(classes)
-    placed = staged(place(classes, centers), "vec-placed")
-    cells = placed.groupBy("label", "dim", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n"))
-    cells = staged(cells.select("label", "dim", "cell", "far", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks")), "vec-cells")
-    pairs = _partners(cells, centers, math.sqrt(2 - 2 * t))
-    own = cells.select("label", "dim", "cell", "blocks")
-    meet = placed.join(own, ["label", "dim", "cell"]).join(pairs, ["label", "dim", "cell"])
-    meet = meet.withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-    meet = meet.withColumn("ob", F.explode(F.expr("sequence(0, other_blocks - 1)")))
-    # A pair of blocks is named by its smaller and larger (cell, block).
-    meet = meet.withColumn("mine", F.col("cell").cast("long") * (1 << 32) + F.col("block")).withColumn("theirs", F.col("other").cast("long") * (1 << 32) + F.col("ob"))
-    meet = meet.select("label", "dim", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "mine", "cid", "w", "embedding")
+    same = ["label", "dim", "h", "l"]
+    rows = rows.withColumns({"h": F.xxhash64("embedding"), "l": F.xxhash64(F.lit(1), "embedding")})
+    classes = rows.where("ok").groupBy(*same).agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("low"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "vec-classes")
+    chord = math.sqrt(2 - 2 * t)
+    members, nodes, levels = grown(classes, chord)
+    pairs = leaf_pairs(nodes, levels, chord)
+    sizes = staged(members.groupBy("node").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks")), "vec-sizes")
+    other = sizes.select(F.col("node").alias("theirs"), F.col("blocks").alias("their_blocks"))
+    both = pairs.select(F.col("i").alias("node"), F.col("j").alias("theirs")).union(pairs.where("i <> j").select("j", "i"))
+    meet = members.join(sizes, "node").withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)")).drop("blocks")
+    meet = meet.join(both.join(other, "theirs"), "node").withColumn("their_block", F.explode(F.expr("sequence(0, their_blocks - 1)")))
+    # A pair of blocks is named by its smaller and larger (node, block).
+    mine, theirs = F.struct("node", "block"), F.struct(F.col("theirs").alias("node"), F.col("their_block").alias("block"))
+    meet = meet.select(F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), (mine > theirs).alias("second"), "cid", "w", "embedding")
+    keys = ["i1", "i2", "j1", "j2"]
+    meet = meet.select(F.col("i.node").alias("i1"), F.col("i.block").alias("i2"), F.col("j.node").alias("j1"), F.col("j.block").alias("j2"), "second", "cid", "w", "embedding")
     counts, units = dual_counts, _units
 
     def run(batches: Iterator) -> Iterator:
@@ -261,15 +330,16 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98) -> DataFrame:
         names = ["cid", "n", "u", "v"]
 
         def close(key, group):
-            sides = [[r for r in group if r[0] == side] for side in ((key[2],) if key[2] == key[3] else (key[2], key[3]))]
+            same = key[:2] == key[2:]
+            sides = [group] if same else [[r for r in group if r[0] == side] for side in (False, True)]
             if not all(sides):
                 return None
             x = [units([r[3] for r in s]) for s in sides]
             w = [np.array([r[2] for r in s], np.int64) for s in sides]
-            na, nb, forest = counts(x[0], w[0], x[-1], w[-1], t, len(sides) == 1)
+            na, nb, forest = counts(x[0], w[0], x[-1], w[-1], t, same)
             ids = [[r[1] for r in s] for s in sides]
             got = [(c, int(n)) for c, n in zip(ids[0], na, strict=True) if n]
-            if len(sides) > 1:
+            if not same:
                 got += [(c, int(n)) for c, n in zip(ids[1], nb, strict=True) if n]
             if not got:
                 return None
@@ -281,25 +351,23 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98) -> DataFrame:
 
         key, group = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("label", "dim", "i", "j", "mine", "cid", "w", "embedding")]
-            for label, dim, i, j, mine, cid, w, vector in zip(*cols, strict=True):
-                if (label, dim, i, j) != key:
+            for *now, second, cid, w, vector in zip(*(batch.column(c).to_pylist() for c in (*keys, "second", "cid", "w", "embedding")), strict=True):
+                if now != key:
                     if key is not None and (out := close(key, group)):
                         yield from out
-                    key, group = (label, dim, i, j), []
-                group.append((mine, cid, w, vector))
+                    key, group = now, []
+                group.append((second, cid, w, vector))
         if key is not None and (out := close(key, group)):
             yield from out
 
-    keys = ["label", "dim", "i", "j"]
     found = staged(meet.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "cid long, n long, u long, v long"), "vec-links")
     links = found.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("u is not null").select("u", "v"))
-    named = classes.select("cid", "w", "low").join(links, "cid", "left").join(comps, F.col("cid") == F.col("node"), "left")
-    named = named.select("cid", F.coalesce("root", "cid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "low")
+    named = classes.drop("embedding").join(links, "cid", "left").join(comps, F.col("cid") == F.col("node"), "left")
+    named = named.select(*same, F.coalesce("root", "cid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "low")
     low = named.groupBy("root").agg(F.min("low").alias("component"))
-    named = staged(named.join(low, "root").select(F.col("cid").alias("c"), "n", "component"), "vec-names")
-    out = rows.select("vec_id", "cid").join(named, F.col("cid") == F.col("c"), "left")
+    named = staged(named.join(low, "root").select(*same, "n", "component", F.lit(True).alias("ok")), "vec-names")
+    out = rows.select("vec_id", *same, "ok").join(named, [*same, "ok"], "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -2,7 +2,8 @@
 
 A document's character classes and common words are two histograms. Each is
 compared with the reference of its language, the pooled histogram of all
-documents in that language, by the Jensen-Shannon distance (base 2, 0 to 1).
+documents in that language that pass the plain rules, by the Jensen-Shannon
+distance (base 2, 0 to 1; 0 where there is no reference).
 Documents under ``min_words`` have too little mass to be judged by distance
 and pass that part. Before it stand two plain rules: too few words, and too
 many words inside three-word windows that recur in the same text.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import SPACE, staged, table
+from arbora.llm.common import SPACE, quoted, shielded, staged, table
 
 # Frequent function words of the reference languages.
 COMMON_WORDS = (
@@ -80,7 +81,7 @@ def _histograms(df: DataFrame) -> DataFrame:
 
 
 def language_references(histograms: DataFrame) -> DataFrame:
-    """(_lang, _ref_classes, _ref_hits): pooled counts of all documents of a language."""
+    """(_lang, _ref_classes, _ref_hits): pooled counts of the documents of a language."""
     n_classes, n_hits = len(CLASS_PATTERNS) + 3, len(COMMON_WORDS) + 1
     sums = [F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)]
     sums += [F.sum(F.get("_hits", F.lit(i))).alias(f"h{i}") for i in range(n_hits)]
@@ -99,7 +100,7 @@ def _js_distance(counts: str, ref: str) -> Column:
     term = "if(p > 0, p * log2(2 * p / (p + q)), 0D) + if(q > 0, q * log2(2 * q / (p + q)), 0D)"
     parts = f"zip_with({share(counts)}, {share(ref)}, (p, q) -> {term})"
     return F.expr(
-        f"if(aggregate({counts}, 0L, (s, y) -> s + y) = 0 or aggregate({ref}, 0L, (s, y) -> s + y) = 0, 0D, "
+        f"if({ref} is null or aggregate({counts}, 0L, (s, y) -> s + y) = 0 or aggregate({ref}, 0L, (s, y) -> s + y) = 0, 0D, "
         f"sqrt(greatest(0D, aggregate({parts}, 0D, (s, t) -> s + t) / 2)))"
     )
 
@@ -128,33 +129,33 @@ def _repeats(df: DataFrame) -> DataFrame:
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept"]
 
 
+def _base_failed(rules: QualityRules) -> str:
+    return f"(n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words)"
+
+
 def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """All columns of ``docs`` with the counts, distances and verdicts named in ``ADDED``.
 
-    The texts are read twice, for the references and for the verdicts, so that
-    whole rows need no copy.
+    Rows and counts are staged, so the texts are read and counted once.
     """
-    docs = docs.drop(*ADDED)
-    refs = language_references(_histograms(docs.select("text", "lang")))
-    return _verdicts(_repeats(_histograms(docs)).drop("_w"), refs, rules).select(*docs.columns, *ADDED)
+    docs, back = shielded(docs.drop(*ADDED), ("text", "lang"), tuple(ADDED))
+    return back(_verdicts(staged(_repeats(_histograms(docs)).drop("_w"), "quality-counts"), rules))
 
 
 def judge_ids(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """(doc_id and the columns in ``ADDED``): as ``judge``, but the texts are read once and their counts staged."""
-    counts = staged(_repeats(_histograms(docs.select("doc_id", "text", "lang"))).drop("text", "_w"), "quality-counts")
-    return _verdicts(counts, language_references(counts), rules).select("doc_id", *ADDED)
+    """(doc_id and the columns in ``ADDED``): as ``judge``, but no text is staged."""
+    counts = _repeats(_histograms(docs.select("doc_id", "text", "lang"))).drop("text", "_w")
+    return _verdicts(staged(counts, "quality-counts"), rules).select("doc_id", *ADDED)
 
 
-def _verdicts(df: DataFrame, refs: DataFrame, rules: QualityRules) -> DataFrame:
-    refs = staged(refs, "quality-refs")
+def _verdicts(df: DataFrame, rules: QualityRules) -> DataFrame:
+    refs = staged(language_references(df.where(f"not {_base_failed(rules)}")), "quality-refs")
     if refs.count() <= MAX_BROADCAST_LANGS:
         refs = F.broadcast(refs)
     df = df.join(refs, df["lang"].eqNullSafe(refs["_lang"]), "left")
     df = df.withColumn("class_distance", _js_distance("_classes", "_ref_classes"))
     df = df.withColumn("common_distance", _js_distance("_hits", "_ref_hits"))
-    df = df.withColumn("base_failed", F.expr(
-        f"n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words"
-    ))
+    df = df.withColumn("base_failed", F.expr(_base_failed(rules)))
     odd = (F.col("n_words") >= rules.min_words) & (
         (F.col("class_distance") > rules.max_class_distance) | (F.col("common_distance") > rules.max_common_distance)
     )
@@ -167,5 +168,4 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    # The row number ties the filter to this place: pushed below the projections it would copy their expressions.
-    return judge(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").select(*docs.columns)
+    return judge(docs).where("kept").select(*quoted(docs.columns))

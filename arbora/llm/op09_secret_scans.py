@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import table
+from arbora.llm.common import quoted, shielded, table
 
 KINDS = ("assign", "access", "hex", "endpoint", "identifier", "weak")
 # The patterns of the strong kinds; a value's length is tested after the match.
@@ -78,7 +78,7 @@ def _spans(df: DataFrame, kind: str, pattern: str, gate: str = "true") -> DataFr
 def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     """All columns of ``docs`` with ``base_spans`` and ``all_spans``: arrays of
     (s start, k index in KINDS, e end), in code points, end exclusive, sorted."""
-    docs = docs.drop("base_spans", "all_spans")
+    docs, back = shielded(docs.drop("base_spans", "all_spans"), ("text",), ("base_spans", "all_spans"))
     df = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     df = _spans(df, "assign", ASSIGN)
     df = _spans(df, "access", ACCESS)
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
         f"filter(transform(_z, (p, i) -> if({linked}, p, null)), x -> x is not null))"
     ))
     df = df.withColumn("all_spans", F.expr("if(size(_added) = 0, base_spans, sort_array(concat(base_spans, _added)))"))
-    return df.select(*docs.columns, "base_spans", "all_spans")
+    return back(df)
 
 
 def _listed(spans: str) -> str:
@@ -138,4 +138,4 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, with its secrets redacted; n_chars follows the text."""
-    return redact(scan(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return redact(scan(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*quoted(docs.columns))

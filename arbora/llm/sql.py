@@ -60,14 +60,15 @@ WITH w AS (SELECT row_number() OVER () AS i, doc_id, lang, coalesce(text, '') AS
 h AS (SELECT i, doc_id, lang, t, v, len(v) AS n_words, length(array_to_string(v, '')) AS word_chars, {count(SYMBOLS)} AS n_symbols, length(t) AS chars,
   list_transform([{listed}], lambda x: len(list_filter(v, lambda y: lower(y) = x))) AS hits FROM w),
 k AS (SELECT *, [{classes}, n_symbols, chars - word_chars, word_chars - n_symbols - ({known})] AS cls, list_append(hits, n_words - list_sum(hits)) AS hist FROM h),
-ref AS (SELECT lang AS rl, {sums('cls', n_classes)} AS rc, {sums('hist', n_hits)} AS rh FROM k GROUP BY lang),
 g AS (SELECT i, p, v[p] || chr(1) || v[p + 1] || chr(1) || v[p + 2] AS x FROM (SELECT i, v, unnest(range(1, len(v) - 1)) AS p FROM w)),
 twice AS (SELECT i, p FROM (SELECT i, p, count(*) OVER (PARTITION BY i, x) AS c FROM g) WHERE c > 1),
 rep AS (SELECT i, count(DISTINCT p + d) AS n FROM twice, (VALUES (0), (1), (2)) o(d) GROUP BY i),
 lines AS (SELECT i, count(*) - count(DISTINCT l) AS n FROM (SELECT i, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY i),
-a AS (SELECT k.*, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, {distance('cls', 'rc')} AS cd, {distance('hist', 'rh')} AS hd
-  FROM k JOIN ref ON k.lang IS NOT DISTINCT FROM rl LEFT JOIN rep ON rep.i = k.i LEFT JOIN lines ON lines.i = k.i),
-b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM a)
+a AS (SELECT k.*, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  n_words < {rules.min_words} OR 100 * coalesce(rep.n, 0) > {rules.max_repeat_percent} * n_words AS base_failed FROM k LEFT JOIN rep ON rep.i = k.i LEFT JOIN lines ON lines.i = k.i),
+ref AS (SELECT lang AS rl, {sums('cls', n_classes)} AS rc, {sums('hist', n_hits)} AS rh FROM a WHERE NOT base_failed GROUP BY lang),
+b AS (SELECT a.*, CASE WHEN rc IS NULL THEN 0 ELSE {distance('cls', 'rc')} END AS cd, CASE WHEN rh IS NULL THEN 0 ELSE {distance('hist', 'rh')} END AS hd
+  FROM a LEFT JOIN ref ON a.lang IS NOT DISTINCT FROM rl)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (cd > {rules.max_class_distance} OR hd > {rules.max_common_distance}) AS kept FROM b"""
 

@@ -69,8 +69,12 @@ def test_warc_false_magic_and_damage(tmp_path):
     body = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     member = gzip.compress(body)
     path = tmp_path / "a.warc.gz"
-    path.write_bytes(member + b"\x1f\x8b\x08junk" + gzip.compress(b"not a record") + member)
+    odd = [b"not a record", b"WARC/1.1\r\nno headers end", b"WARC/x\r\nWARC-Type: a\r\nContent-Length: 1\r\n\r\n", b"WARC/1.0\r\nWARC-Type: a\r\nContent-Length: x\r\n\r\n", b"WARC/1.0\r\nContent-Length: 1\r\n\r\n", b""]
+    path.write_bytes(member + b"\x1f\x8b\x08junk" + b"".join(map(gzip.compress, odd)) + member)
     assert [c for _, c in o.members(str(path), 0, path.stat().st_size)] == [body, body]
+    long = body.replace(b"WARC-Type", b"X-Long: " + b"q" * 300_000 + b"\r\nWARC-Type")
+    (tmp_path / "long.warc.gz").write_bytes(gzip.compress(long, 0) + member)
+    assert [c for _, c in o.members(str(tmp_path / "long.warc.gz"), 0, 10**6)] == [long, body]
     cut = len(member) + 4
     assert len([*o.members(str(path), 0, cut), *o.members(str(path), cut, path.stat().st_size)]) == 2
     path.write_bytes(member[:-12])
@@ -106,6 +110,40 @@ def test_sentencepiece_matches_library(odd_texts):
         assert codec.decode(codec.encode(text or "")) == (text or "")
 
 
+def test_sentencepiece_against_all_segmentations():
+    """The best sum over every way to cut a short text, with the penalty of characters that no piece covers."""
+    import public_tokenizers as P
+
+    from arbora.llm import op02_sentencepiece as o
+
+    model = o.Model(P.path("piece_bpe_32k.model"))
+    codec = o.Codec(vars(model))
+    normal = {model.pieces[i]: i for i in range(len(model.pieces)) if i not in codec.byte_of and i not in model.control and i != model.unknown}
+    floor = min(model.scores[i] for i in normal.values()) - 10.0
+
+    def ways(text):
+        if not text:
+            yield 0.0, ()
+            return
+        for n in range(1, len(text) + 1):
+            piece = text[:n]
+            if piece in normal:
+                for s, rest in ways(text[n:]):
+                    yield model.scores[normal[piece]] + s, (normal[piece], *rest)
+            elif n == 1:
+                for s, rest in ways(text[1:]):
+                    yield floor + s, (*[model.bytes[b] for b in piece.encode()], *rest)
+
+    rng = random.Random(31)
+    pool = [*"abcdehinorst", " ", " ", "the", "ing", "é", "漢", "😀", "\u2603", "1", "9", ".", "\n"]
+    for _ in range(250):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 7)))
+        every = list(ways((" " + text).replace(" ", o.MARK)))
+        best = max(s for s, _ in every)
+        near = {ids for s, ids in every if s > best - 1e-6}
+        assert tuple(codec.encode(text)) in near, text
+
+
 def test_sentencepiece_frames(spark, odd_texts):
     import public_tokenizers as P
 
@@ -141,6 +179,34 @@ def test_classifier(spark, odd_texts):
     assert o.score(docs.limit(0), model).count() == 0
 
 
+def test_classifier_against_the_double_sum(spark, odd_texts):
+    """Scored documents, repeated rows and text ids among them, against the machine's formula term by term."""
+    import numpy as np
+
+    from arbora.llm import op03_quality_classifier as o
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("a b c the of BUY $$ 12 é".split()) for _ in range(30)) for _ in range(40)] + odd_texts[:11]
+    rows = [(f"d{i}", t, len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id string, text string, n_chars long")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)] + [("d1", 0)], "doc_id string, quality int")
+    spec = o.MachineSpec(buckets=64, factors=3, epochs=2)
+    model = o.fit(docs, labels, spec)
+    assert sum(len(x) for x in model["v"]) == (64 + len(o.STATISTICS)) * 3
+    got = o.score(docs, model, spec).collect()
+    assert len(got) == len(rows) + 5 and len({(r.doc_id, r.score) for r in got}) == len(rows)
+    features = o._Features(64)
+    for r in got:
+        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        index, value, stats = features(text, len(text or ""))
+        x = {int(i): float(v) for i, v in zip(index, value)}
+        x |= {64 + i: float(np.clip((s - m) / c, -5, 5)) for i, (s, m, c) in enumerate(zip(stats, model["mean"], model["scale"]))}
+        z = model["w0"] + sum(model["w"][i] * v for i, v in x.items())
+        z += sum(float(model["v"][i].astype(float) @ model["v"][j].astype(float)) * x[i] * x[j] for i in x for j in x if i < j)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-3, abs_tol=1e-5)
+        assert r.predicted == int(r.score >= 0.3)
+
+
 def test_pair_identity():
     import numpy as np
 
@@ -170,6 +236,19 @@ def test_token_counts(spark, odd_texts):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 1024)
 
 
+def test_token_counts_columns_and_other_tokenizers(spark):
+    import public_tokenizers as P
+
+    from arbora.llm import op04_token_counts as o
+
+    path = P.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "a b", 5, "x", 7)], "doc_id long, text string, n_tokens int, over_limit string, `odd.name` int")
+    assert o.token_counts(df, path).collect()[0].asDict() == {"doc_id": 1, "odd.name": 7, "n_bytes": 3, "n_tokens": 2, "over_limit": False}
+    assert o.token_counts(df.limit(0), path).count() == 0
+    with pytest.raises(ValueError, match="normalizer"):
+        o.token_counts(df, P.path("word_bpe_49k.json"))
+
+
 # 5 -------------------------------------------------------------------------------
 def test_water_fill_and_flow():
     from arbora.llm import op05_source_mix as o
@@ -178,10 +257,35 @@ def test_water_fill_and_flow():
     assert o.water_fill([100, 100, 100], spec) == [200.0, 500 / 3, 250 / 3]
     assert o.water_fill([], spec) == [] and o.water_fill([0, 0], spec) == [0.0, 0.0]
     # The shared pattern serves both sources; no repetition before every word is used once.
-    sent = o.min_cost_flow([(frozenset({0}), 10), (frozenset({0, 1}), 10), (frozenset({1}), 5)], [15, 10], 2)
-    assert sum(sent) == 25 and sent == [10, 10, 5]
-    sent = o.min_cost_flow([(frozenset({0}), 10), (frozenset({1}), 5)], [18, 30], 2)
-    assert sent == [18, 10]
+    flow = o.min_cost_flow([(frozenset({0}), 10), (frozenset({0, 1}), 10), (frozenset({1}), 5)], [15, 10], 2)
+    assert flow == {(0, 0): 10, (1, 0): 5, (1, 1): 5, (2, 1): 5}
+    assert o.min_cost_flow([(frozenset({0}), 10), (frozenset({1}), 5)], [18, 30], 2) == {(0, 0): 18, (1, 1): 10}
+    assert o.min_cost_flow([], [], 2) == {} and o.min_cost_flow([(frozenset({0}), 0)], [5], 2) == {}
+
+
+def test_flow_against_enumeration():
+    """Every way to carry words from overlapping patterns to quotas: the most words, and of these the fewest repetitions."""
+    from itertools import product
+
+    from arbora.llm import op05_source_mix as o
+
+    rng = random.Random(32)
+    for _ in range(60):
+        m = rng.randint(1, 3)
+        patterns = [(frozenset(rng.sample(range(m), rng.randint(1, m))), rng.randint(0, 3)) for _ in range(rng.randint(1, 3))]
+        quotas, repeats = [rng.randint(0, 5) for _ in range(m)], rng.randint(1, 2)
+        slots = [(p, s) for p, (members, _) in enumerate(patterns) for s in sorted(members)]
+        cost = lambda words, used: sum(r * max(0, min(words, used - r * words)) for r in range(repeats))
+
+        def judged(flow):
+            used = [sum(x for (p, _), x in flow.items() if p == q) for q in range(len(patterns))]
+            if any(u > repeats * w for u, (_, w) in zip(used, patterns)) or any(sum(x for (_, s), x in flow.items() if s == q) > quotas[q] for q in range(m)):
+                return None
+            return sum(used), -sum(cost(w, u) for u, (_, w) in zip(used, patterns))
+
+        best = max(filter(None, (judged(dict(zip(slots, xs))) for xs in product(*(range(min(quotas[s], repeats * patterns[p][1]) + 1) for p, s in slots)))))
+        got = o.min_cost_flow(patterns, quotas, repeats)
+        assert set(got) <= set(slots) and judged(got) == best, (patterns, quotas, repeats, got)
 
 
 def test_mix(spark):
@@ -205,13 +309,32 @@ def test_mix(spark):
 
 
 def test_mix_overlapping(spark):
+    """Documents of two sources: what each pattern gives is what the flow routes, within a document's size."""
     from arbora.llm import op05_source_mix as o
 
     rng = random.Random(6)
-    rows = [(i, words_of(rng, rng.randint(5, 50)), [["a"], ["b"], ["a", "b"]][i % 3]) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, of array<string>")
-    out, found = o.mix(df, sources="of")
-    assert out.count() == 300 and sum(t for _, _, t in found) > 0
+    rows = [(i, words_of(rng, rng.randint(5, 50)), [["a"], ["b"], ["b", "a", "a"], ["c", None]][i % 4], i, i, "x") for i in range(400)]
+    # Columns of the names that the operator uses inside come back as they are.
+    df = spark.createDataFrame(rows, "doc_id long, text string, of array<string>, rest long, _h long, full string")
+    spec = o.MixSpec()
+    out, found = o.mix(df, spec, sources="of")
+    got = out.collect()
+    assert [(r.doc_id, r.rest, r._h, r.full) for r in sorted(got)] == [(r[0], r[3], r[4], r[5]) for r in rows]
+    key = lambda of: tuple(sorted({x or "~" for x in of}))
+    words, taken = Counter(), Counter()
+    for r in got:
+        words[key(r.of)] += r["size"]
+        taken[key(r.of)] += r.taken
+    names = ["a", "b", "c", "~"]
+    held = [sum(n for k, n in words.items() if x in k) for x in names]
+    targets = o.water_fill(held, spec)
+    assert [(s or "~", h) for s, h, _ in found] == list(zip(names, held)) and [t for _, _, t in found] == targets
+    patterns = sorted(words)
+    flow = o.min_cost_flow([(frozenset(names.index(x) for x in k), words[k]) for k in patterns], [round(t) for t in targets], 2)
+    for i, k in enumerate(patterns):
+        assert abs(taken[k] - sum(x for (p, _), x in flow.items() if p == i)) <= 25
+    routed = [sum(x for (_, s), x in flow.items() if s == q) for q in range(4)]
+    assert all(x <= round(t) for x, t in zip(routed, targets)) and sum(routed) == sum(flow.values())
 
 
 # 6 -------------------------------------------------------------------------------
@@ -344,11 +467,15 @@ def test_ngram_chain_without_a_common_hub(spark):
 
 
 # 7 -------------------------------------------------------------------------------
-def test_embeddings(spark):
+@pytest.mark.parametrize("block", [256, 8])
+def test_embeddings(spark, block, monkeypatch):
     import numpy as np
 
     from arbora.llm import op07_embedding_dedup as o
 
+    # With small blocks several levels are grown, and nodes are placed in several tasks.
+    for name, value in (("BLOCK", block), ("SAMPLE", 4 * block), ("PLACE", 6 * block)):
+        monkeypatch.setattr(o, name, value)
     rng = np.random.default_rng(1)
     rows, i = [], 0
     for label in (0, 1, 1, 1):
@@ -358,7 +485,7 @@ def test_embeddings(spark):
                 rows.append((i, [float(np.float32(x)) for x in c + rng.normal(size=8) * rng.choice([0.0, 0.05, 0.2])], label))
                 i += 1
     odd = [(i, None, 1), (i + 1, [0.0] * 8, 1), (i + 2, [1.0, None] + [0.0] * 6, 1), (i + 3, [float("nan")] * 8, 1), (i + 4, rows[0][1], None), (i + 5, rows[0][1][:4], 0), (i + 6, [], 0), (i + 7, rows[30][1], rows[30][2])]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows + odd], "vec_id long, embedding array<float>, label int, node int, h int")
     got = {r.vec_id: r for r in o.near_duplicates(df).collect()}
     ok = rows + [odd[7]]
     x = np.array([r[1] for r in ok], np.float32).astype(float)
@@ -388,8 +515,13 @@ def test_quality_base(spark, odd_texts):
 
     rng = random.Random(11)
     texts = odd_texts + [words_of(rng, rng.randint(0, 90), 9) for _ in range(60)] + ["a\nb\na\n \n \na", "x y z " * 40, "$$ ## <b> | & %" * 9]
-    docs = docs_of(spark, texts).withColumn("kept", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
+    from pyspark.sql import functions as F
+
+    docs = docs_of(spark, texts).withColumns({x: F.lit("clash") for x in ("kept", "_lang", "_w", "_classes", "_ref_hits")})
+    docs = docs.withColumn("lang", F.expr("if(doc_id % 5 = 0, null, lang)"))
     got = {r.doc_id: r for r in o.judge(docs).collect()}
+    assert all((r._lang, r._w, r._classes, r._ref_hits) == ("clash",) * 4 for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {r.doc_id: r.kept for r in o.judge_ids(docs).collect()}
     for i, t in enumerate(texts):
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -406,16 +538,57 @@ def test_quality_base(spark, odd_texts):
 
 
 # 9 -------------------------------------------------------------------------------
-def spans_brute(text):
-    from arbora.llm import op09_secret_scans as o
+ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)"""
+
 
+def spans_brute(text):
     text = text or ""
-    out = [(m.start(), 0, m.end()) for m in re.finditer(o.ASSIGN, text) if len(m[2]) >= 12]
+    out = [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, text) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(out)
 
 
+def linked_brute(text, scope=200):
+    """Base spans and the weak ones beside their complements, every part held against every other."""
+    text = text or ""
+    base = spans_brute(text)
+    found = lambda k, p: [(m.start(), k, m.end()) for m in re.finditer(p, text)]
+    endpoint = found(3, r"(?:https?|ftp|jdbc:[a-z0-9]+|s3|redis|mongodb)://[^\x00-\x20\"'<>]{2,}")
+    ident = [x for x in found(4, r"(?i:user(?:name)?|login|client_id|account_id|access_key_id)[\"']?[ ]*[:=][ ]*[\"']?[A-Za-z0-9@._-]{3,}") if x[0] == 0 or not re.match("[A-Za-z0-9_]", text[x[0] - 1])]
+    weak = [x for x in found(5, r"[A-Za-z0-9+/]+={0,2}") if len(text[x[0]:x[2]].rstrip("=")) >= 32 and all(re.search(c, text[x[0]:x[2]]) for c in ("[A-Z]", "[a-z]", "[0-9]"))
+            and (x[0] == 0 or not re.match("[A-Za-z0-9+/=_-]", text[x[0] - 1]))]
+    near = lambda p, kinds, parts: [q for q in parts if q[1] in kinds and abs(q[0] - p[0]) <= scope]
+    parts = base + endpoint + ident + weak
+    secret = lambda p: near(p, (0, 5), parts) or [q for q in near(p, (2,), parts) if not p[0] <= q[0] < p[2]]
+    out = list(base)
+    out += [p for p in weak if near(p, (1, 4), parts) and not any(q[1] == 0 and q[0] <= p[0] < q[2] for q in base)]
+    out += [p for p in ident if secret(p)]
+    out += [p for p in endpoint if near(p, (1, 4), parts) and secret(p)]
+    return sorted(out)
+
+
+def test_secret_links_against_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from arbora.llm import op09_secret_scans as o
+
+    rng = random.Random(33)
+    weak = lambda: "".join(rng.choice("abcXYZ019") for _ in range(30)) + "aB3" + "=" * rng.randint(0, 2)
+    pieces = [weak, lambda: "user=alice", lambda: 'login: "bob.b"', lambda: "https://db.example.com/x", lambda: "redis://h:1", lambda: "AKIA" + "Q7" * 8, lambda: "token=" + "z9" * 9,
+              lambda: "0123456789abcdef", lambda: "x" * rng.randint(1, 150), lambda: " pad" * rng.randint(1, 45), lambda: "https://h/0123456789abcdef0", lambda: "account_id: deadbeefdeadbeef00", lambda: "é😀" * rng.randint(1, 40)]
+    texts = [" ".join(rng.choice(pieces)() for _ in range(rng.randint(1, 14))) for _ in range(300)] + [None, ""]
+    docs = docs_of(spark, texts).withColumns({"_t": F.lit(1), "_z": F.lit(2), "all_spans": F.lit(3)})
+    got = {r.doc_id: r for r in o.scan(docs).collect()}
+    added = 0
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i].all_spans] == linked_brute(t), t
+        assert (got[i]._t, got[i]._z) == (1, 2)
+        added += len(got[i].all_spans) - len(got[i].base_spans)
+    assert added > 100
+    assert o.scan(docs.limit(0)).count() == 0
+
+
 def test_secret_base_and_links(spark, odd_texts):
     from arbora.llm import op09_secret_scans as o
 
@@ -577,6 +750,17 @@ def test_components(spark):
     assert got == {a: find(a) for a in root}
 
 
+def test_pipeline_stages_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    docs_of(spark, ["x"]).limit(0).withColumns({"odd.name": F.lit(1), "_row": F.lit(2), "_copy": F.lit(3)}).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == p.STAGES[-1][0] or out.columns == docs.columns), name
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
