@@ -55,9 +55,8 @@ def lower_aggregate(rows: Rows, name: str, e, vals: list[Val], ordered: bool = F
         f = F.stddev_samp if how == "stdev" else F.stddev_pop
         return f(x.cast("double")), lambda c: F.coalesce(c, F.lit(0.0))
     if how in ("percentiledisc", "percentilecont"):
-        p = e[3][1]
-        p = p[1] if p[0] == "lit" else rows.params[p[1]] if p[0] == "param" else None
-        if p is None or not 0 <= p <= 1:
+        p = rows.known_value(e[3][1])
+        if isinstance(p, bool) or not isinstance(p, (int, float)) or not 0 <= p <= 1:
             raise CypherError("a percentile lies between 0 and 1")
         if how == "percentilecont":
             return F.expr(f"percentile(cast(`{name}_0` as double), {float(p)!r}D)"), _same
@@ -68,8 +67,8 @@ def lower_aggregate(rows: Rows, name: str, e, vals: list[Val], ordered: bool = F
     if how == "apoc.agg.last":
         return (F.max_by(x, F.when(x.isNotNull(), col(ORDER))) if ordered else F.last(x, ignorenulls=True)), _same
     if how == "apoc.agg.nth":
-        n = e[3][1][1]
-        if n < 0:
+        n = rows.known_value(e[3][1])
+        if not isinstance(n, int) or n < 0:
             raise CypherError("nth needs 0 or more")
         return (_in_order(x) if ordered else F.collect_list(x)), lambda c: F.get(c, F.lit(n))
     if how == "apoc.agg.median":

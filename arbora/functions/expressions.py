@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.functions import temporal
 from arbora.functions.scalars import FUNCTIONS
 from arbora.plans import values as v
-from arbora.plans.lower import AGGREGATES, CypherError, Rows, Val, col
+from arbora.plans.lower import AGGREGATES, CypherError, Rows, Val, col, free_vars, fresh
 
 
 def literal(rows: Rows, x) -> Val:
+    if isinstance(x, DataFrame):
+        # A frame of one column stands for the list of its values.
+        if rows.inside or rows.lambdas:
+            raise CypherError("a list of rows cannot be read inside a list expression")
+        name = fresh("l")
+        rows.start()
+        rows.df = rows.df.crossJoin(x.agg(F.collect_list(x.columns[0]).alias(name)))
+        return Val(col(name), rows)
     if x is None:
         return Val(F.lit(None), rows, kind=T.NullType())
     if isinstance(x, bool):
@@ -323,9 +331,43 @@ def _source(rows: Rows, e) -> Val:
     return x
 
 
+def _has_subquery(e) -> bool:
+    if isinstance(e, dict):
+        return any(map(_has_subquery, e.values()))
+    if isinstance(e, (list, tuple)):
+        return bool(isinstance(e, tuple) and e and e[0] in ("sub", "patcomp", "pattern")) or any(map(_has_subquery, e))
+    return False
+
+
+def _unrolled(rows: Rows, var: str, x: Val, where, body) -> Val:
+    """A list comprehension that holds subqueries: a row for each item of each row's list, computed
+    together and gathered again."""
+    if rows.inside or rows.lambdas:
+        raise CypherError("a subquery cannot stand two lists deep")
+    from arbora.operators.staging import staged
+
+    # Rows are numbered and staged, as a list that is collected anew may come in another order.
+    number, items, place, out = fresh("k"), fresh("x"), fresh("i"), fresh("l")
+    rows.df = rows.df.select(*[(col(f.name).cast("string") if v.is_null(f.dataType) else col(f.name)).alias(f.name) for f in rows.df.schema], x.col.alias(items), F.monotonically_increasing_id().alias(number))
+    rows.df = staged(rows.df, rows.graph.spark)
+    shared = [s for s in rows.scope if s != var and s in free_vars((where, body))]
+    each = rows.df.select(number, *[col(s) for s in shared], F.posexplode(items).alias(place, var))
+    inner = rows.child(each, [*shared, var], [number, place])
+    if where is not None:
+        inner.filter(where)
+    value = inner.compile(body if body is not None else ("var", var))
+    kind = T.ArrayType(value.type)
+    got = inner.df.select(F.col(number).alias(place + "n"), F.struct(col(place).alias("i"), value.col.alias("x")).alias(place)).groupBy(place + "n").agg(
+        F.transform(F.array_sort(F.collect_list(place), lambda a, b: a["i"] - b["i"]), lambda p: p["x"]).alias(out))
+    rows.df = rows.df.join(got, F.col(number) == F.col(place + "n"), "left").drop(place + "n", number)
+    return Val(F.when(col(items).isNotNull(), F.coalesce(col(out), F.array().cast(kind))), rows, kind=kind)
+
+
 def _lcomp(rows, e):
     _, var, source, where, body = e
     x = _source(rows, source)
+    if _has_subquery((where, body)):
+        return _unrolled(rows, var, x, where, body)
     elem = x.type.elementType
     out = x.col
     if where is not None:
@@ -341,8 +383,12 @@ def _quant(rows, e):
     _, how, var, source, where = e
     x = _source(rows, source)
     elem = x.type.elementType
-    _typed(rows, {var: elem}, [where])
-    test = lambda y: _within(rows, {var: (y, elem)}, where).cast("boolean")
+    if _has_subquery(where):
+        x = _unrolled(rows, var, x, None, where)
+        test = lambda y: y.cast("boolean")
+    else:
+        _typed(rows, {var: elem}, [where])
+        test = lambda y: _within(rows, {var: (y, elem)}, where).cast("boolean")
     if how == "any":
         out = F.exists(x.col, test)
     elif how == "all":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from arbora.plans import values as v
 from arbora.plans.lower import CypherError, Rows, Val, col
+from arbora.sources.graph import widened
 
 LONG, DOUBLE, STRING, BOOL = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 FUNCTIONS: dict = {}
@@ -546,8 +548,30 @@ def _tojson(rows, a):
     return Val(F.coalesce(a[0].col.cast("string"), F.lit("null")), rows, kind=STRING)
 
 
-simple("apoc.convert.fromjsonmap", lambda s: F.from_json(s, "map<string,string>"), T.MapType(STRING, STRING))
-simple("apoc.convert.fromjsonlist", lambda s: F.from_json(s, "array<string>"), T.ArrayType(STRING))
+def _from_json(kind: str, what: type):
+    """A text that is written out has the types of its values; others come as texts, as no plan knows their types."""
+    def f(rows, a):
+        try:
+            text = constant(a[0])
+        except CypherError:
+            return Val(F.from_json(a[0].col, kind), rows)
+        if text is None:
+            return _null(rows)
+        from arbora.functions.expressions import literal
+
+        try:
+            got = json.loads(text)
+        except ValueError as e:
+            raise CypherError(f"this is no JSON: {e}") from None
+        if not isinstance(got, what):
+            raise CypherError(f"the JSON text holds no {what.__name__}")
+        return literal(rows, got)
+
+    return f
+
+
+FUNCTIONS["apoc.convert.fromjsonmap"] = _from_json("map<string,string>", dict)
+FUNCTIONS["apoc.convert.fromjsonlist"] = _from_json("array<string>", list)
 
 
 @function("apoc.number.parseint")
@@ -628,18 +652,41 @@ FUNCTIONS["apoc.path.combine"] = lambda rows, a: Val(
 
 @function("apoc.path.create")
 def _create(rows, a):
+    """A path from a node along relationships; the nodes on the way are looked up once for all rows."""
     from arbora.operators.patterns import recast, uniform_type
+    from arbora.plans.lower import fresh
 
+    if rows.inside:
+        raise CypherError("a path cannot be made inside a list expression")
     kinds = rows.graph.property_types("node"), rows.graph.property_types("rel")
-    elem = a[1].type.elementType
-    rs = F.transform(a[1].col, lambda x: recast(x, elem, kinds[1], True))
     first = recast(a[0].col, a[0].type, kinds[0], False)
-    empty = F.array().cast(T.ArrayType(uniform_type(kinds[0], False)))
-    return _path(rows, F.concat(F.array(first), empty), rs)
+    if len(a) < 2 or v.is_null(a[1].type) or not v.is_rel(a[1].type.elementType):
+        return _path(rows, F.array(first), F.array().cast(T.ArrayType(uniform_type(kinds[1], True))))
+    elem, ids = a[1].type.elementType, fresh("p")
+    way = F.aggregate(a[1].col, F.array(a[0].col["_id"]), lambda acc, x: F.array_append(acc, F.when(F.element_at(acc, -1) == x["_src"], x["_dst"]).otherwise(x["_src"])))
+    rows.with_column(ids, way)
+    rels, start = fresh("p"), fresh("p")
+    rows.with_column(rels, F.transform(a[1].col, lambda x: recast(x, elem, kinds[1], True)))
+    rows.with_column(start, first)
+    nodes, found = rows.graph.scan_nodes([], "__m", None), fresh("p")
+    nodes = nodes.select(recast(F.col("__m"), nodes.schema["__m"].dataType, kinds[0], False).alias("__m"))
+    at = rows.df.select(F.col(ids).alias("__k")).distinct().select("__k", F.posexplode("__k").alias("__i", "__id")).join(nodes, F.col("__id") == F.col("__m._id"))
+    listed = at.groupBy("__k").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m")), lambda x, y: x["__i"] - y["__i"]), lambda x: x["__m"]).alias(found))
+    rows.df = rows.df.join(listed, F.col(ids) == F.col("__k"), "left").drop("__k")
+    return _path(rows, F.coalesce(F.col(found), F.array(F.col(start))), F.coalesce(F.col(rels), F.array().cast(T.ArrayType(uniform_type(kinds[1], True)))))
 
 
 @function("apoc.path.elements")
 def _elements(rows, a):
+    """Nodes and relationships in turn, in one shape; a node has no ``_type`` and a relationship no labels."""
+    kinds = rows.graph.property_types("node"), rows.graph.property_types("rel")
+    nk, rk = (a[0].type[x].dataType.elementType for x in ("_nodes", "_rels"))
+    props = dict(kinds[0])
+    for k, t in kinds[1].items():
+        props[k] = t if k not in props or props[k] == t else widened(props[k], t)
+    base = {"_id": LONG, "_labels": T.ArrayType(STRING), "_type": STRING, "_src": LONG, "_dst": LONG} | dict(sorted(props.items()))
+    shaped = lambda x, kind: F.struct(*[(x[n] if n in kind.names else F.lit(None)).cast(t).alias(n) for n, t in base.items()])
     n, r = a[0].col["_nodes"], a[0].col["_rels"]
-    ids = F.flatten(F.transform(F.sequence(F.lit(0), F.size(n) - 1), lambda i: F.array_compact(F.array(F.get(n, i)["_id"], F.get(r, i)["_id"]))))
-    return Val(ids, rows, kind=T.ArrayType(LONG))
+    ns, rs = F.transform(n, lambda x: shaped(x, nk)), F.transform(r, lambda x: shaped(x, rk))
+    steps = F.flatten(F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.array(F.get(rs, i), F.get(ns, i + 1))))
+    return Val(F.when(F.size(r) == 0, F.slice(ns, 1, 1)).otherwise(F.concat(F.slice(ns, 1, 1), steps)), rows)

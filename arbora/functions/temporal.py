@@ -152,7 +152,8 @@ def _construct(kind: str):
             return Val(x.col.cast({"date": "date", "datetime": "timestamp", "localdatetime": "timestamp_ntz"}[kind]), rows)
         if v.is_instant(t) or v.is_time(t):
             if kind in ("time", "localtime"):
-                return Val(F.when(x.col.isNotNull(), F.struct(*_time_fields(_nanos_of(x.col, t), kind))), rows)
+                offset = x.col["offset_s"] if v.is_time(t) and "offset_s" in t.names else 0
+                return Val(F.when(x.col.isNotNull(), F.struct(*_time_fields(_nanos_of(x.col, t), kind, offset))), rows)
             return Val(x.col.cast({"date": "date", "datetime": "timestamp", "localdatetime": "timestamp_ntz"}[kind]), rows)
         if isinstance(t, T.StructType):
             fields = t.fieldNames()
@@ -165,7 +166,8 @@ def _construct(kind: str):
                 return Val(F.timestamp_millis(ms), rows)
             parts = [x.col[n] for n in fields if n != "timezone"]
             if kind in ("time", "localtime"):
-                return Val(_when_all(parts, F.struct(*_time_fields(nanos, kind))), rows)
+                offset = offset_of(x.col["timezone"]) if "timezone" in fields else x.col[clock]["offset_s"] if clock and "offset_s" in (t[clock].dataType.names if v.is_time(t[clock].dataType) else ()) else 0
+                return Val(_when_all(parts, F.struct(*_time_fields(nanos, kind, offset))), rows)
             date = _map_date(x.col, fields, day_of)
             if kind == "date":
                 return Val(date, rows)
@@ -178,9 +180,18 @@ def _construct(kind: str):
     return f
 
 
-def _time_fields(nanos: Column, kind: str, offset: int = 0) -> list[Column]:
+def _time_fields(nanos: Column, kind: str, offset: int | Column = 0) -> list[Column]:
     out = [nanos.cast("long").alias("nano_of_day")]
-    return out if kind == "localtime" else [*out, F.lit(offset).cast("int").alias("offset_s")]
+    return out if kind == "localtime" else [*out, (offset if isinstance(offset, Column) else F.lit(offset)).cast("int").alias("offset_s")]
+
+
+def offset_of(zone: Column) -> Column:
+    """Seconds of an offset that is given as text; a zone's name has no offset without a day."""
+    form = r"^([+-])(\d{2}):?(\d{2})(?::?(\d{2}))?$"
+    part = lambda i: F.coalesce(F.regexp_extract(zone, form, i).try_cast("int"), F.lit(0))
+    far = part(2) * 3600 + part(3) * 60 + part(4)
+    wrong = F.raise_error(F.concat(F.lit("a time needs an offset like +01:00, not "), zone)).cast("int")
+    return F.when(F.upper(zone) == "Z", F.lit(0)).when(zone.rlike(form), F.when(F.regexp_extract(zone, form, 1) == "-", -far).otherwise(far)).when(zone.isNotNull(), wrong)
 
 
 def _literal(kind: str, s: str) -> Column:
@@ -243,6 +254,14 @@ FUNCTIONS["duration"] = _duration
 
 
 # text -----------------------------------------------------------------------------------
+def offset_text(seconds: Column) -> Column:
+    """An offset as Z, ±HH:MM or ±HH:MM:SS."""
+    far = F.abs(seconds)
+    part = lambda k, n: F.floor(far / k).cast("int") % n
+    out = F.concat(F.when(seconds < 0, F.lit("-")).otherwise(F.lit("+")), F.format_string("%02d:%02d", part(3600, 100), part(60, 60)), F.when(far % 60 != 0, F.format_string(":%02d", part(1, 60))).otherwise(F.lit("")))
+    return F.when(seconds == 0, F.lit("Z")).otherwise(out)
+
+
 def text(x: Val) -> Column:
     c, t = x.col, x.type
     if isinstance(t, T.DateType):
@@ -257,7 +276,7 @@ def text(x: Val) -> Column:
         hms = F.format_string("%02d:%02d", div(n, 3600 * NANO), div(n, 60 * NANO) % 60)
         sec, frac = div(n, NANO) % 60, n % NANO
         out = F.concat(hms, F.when((sec > 0) | (frac > 0), F.format_string(":%02d", sec)).otherwise(F.lit("")), F.when(frac > 0, F.regexp_replace(F.format_string(".%09d", frac), "0+$", "")).otherwise(F.lit("")))
-        return F.concat(out, F.lit("Z")) if "offset_s" in t.fieldNames() else out
+        return F.concat(out, offset_text(c["offset_s"])) if "offset_s" in t.fieldNames() else out
     months, days, s, nanos = (c[k] for k in ("months", "days", "seconds", "nanos"))
     div = lambda a, k: F.call_function("div", a, F.lit(k).cast("long"))
     some = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), F.lit(unit))).otherwise(F.lit(""))
@@ -309,10 +328,12 @@ def accessor(rows: Rows, x: Val, key: str) -> Val:
             if key in table:
                 return long(table[key])
             zoned = isinstance(t, T.TimestampType) or (v.is_time(t) and "offset_s" in t.fieldNames())
-            if zoned and key in ("timezone", "offset"):
-                return Val(F.when(c.isNotNull(), F.lit("Z")), rows, kind=T.StringType())
-            if zoned and key in ("offsetMinutes", "offsetSeconds"):
-                return long(F.when(c.isNotNull(), F.lit(0)))
+            if zoned:
+                far = c["offset_s"] if v.is_time(t) else F.when(c.isNotNull(), F.lit(0))
+                if key in ("timezone", "offset"):
+                    return Val(F.when(c.isNotNull(), offset_text(far)), rows, kind=T.StringType())
+                if key in ("offsetMinutes", "offsetSeconds"):
+                    return long(F.call_function("div", far, F.lit(60)) if key == "offsetMinutes" else far)
     raise CypherError(f"there is no part {key} of this value")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -50,6 +51,11 @@ def call_procedure(rows: Rows, c: dict) -> None:
             df = df.select(col(key[1]).alias(k), *picked)
             rows.df = rows.df.join(df, key[0] == col(k)).drop(k)
     rows.start()
+    if df is None:
+        # The procedure put its columns into the rows itself.
+        named = dict(wanted)
+        rows.df = rows.df.withColumnsRenamed({x: a for x, a in wanted if x != a})
+        rows.scope = [named.get(s, s) if s in columns else s for s in rows.scope]
     rows.scope += [alias for _, alias in wanted if df is not None and alias not in rows.scope]
     if c["where"] is not None:
         rows.filter(c["where"])
@@ -410,10 +416,14 @@ def _run(writes: bool):
         from arbora.plans.parser import parse
 
         tree = parse(value_of(rows, args[0]))
-        params = value_of(rows, args[1]) if len(args) > 1 else {}
         kinds = {c["kind"] for p in tree.get("parts", []) for c in p}
         if not writes and kinds & {"create", "merge", "set", "remove", "delete", "foreach"}:
             raise CypherError("apoc.cypher.run only reads; use doIt")
+        given = args[1] if len(args) > 1 else ("map", {})
+        try:
+            params = value_of(rows, given)
+        except CypherError:
+            return _run_by_row(rows, tree, given, writes)
         inner = run_statement(rows.graph, tree, params or {})
         rows.wrote = rows.wrote or inner.wrote
         df = inner.result() if inner.scope else rows.graph.spark.createDataFrame([], "x int")
@@ -422,6 +432,41 @@ def _run(writes: bool):
     return f
 
 
+def _run_by_row(rows: Rows, tree: dict, given, writes: bool):
+    """A statement whose parameters come from the rows: it is run once for all of them, keyed by the
+    parameters where it only reads and by the row where it writes."""
+    from arbora.plans.lower import read_by, substituted, united
+
+    if given[0] != "map":
+        raise CypherError("parameters that depend on the rows must be written out as a map")
+    rows.start()
+    names = {k: fresh("v") for k in given[1]}
+    for k, e in given[1].items():
+        rows.with_column(names[k], rows.compile(e).col)
+    key = fresh("k")
+    if writes:
+        rows.with_column(key, F.monotonically_increasing_id().cast("string"))
+        rows.df = staged(rows.df, rows.graph.spark)
+        ident = col(key)
+    else:
+        ident = F.to_json(F.struct(*[col(n) for n in names.values()]), {"ignoreNullFields": "false"})
+    seeds = rows.df.select(*[col(n) for n in names.values()], ident.alias(key)).dropDuplicates([key])
+    tree = substituted(tree, [(("param", k), ("var", n)) for k, n in names.items()])
+    out = None
+    for part in tree["parts"]:
+        inner = Rows(rows.graph, {}, read_by(tree), seeds, list(names.values()), [key])
+        inner.seeds = seeds
+        inner.run(part)
+        rows.wrote = rows.wrote or inner.wrote
+        shown = inner.scope if part[-1]["kind"] == "return" else []
+        df = inner.df.select(col(key), *[col(s) for s in shown])
+        out = df if out is None else united(out, df)
+    if not tree.get("all", True) and len(tree["parts"]) > 1:
+        out = out.distinct()
+    fields = [col(c) for c in out.columns if c != key]
+    return out.select(col(key), (F.struct(*fields) if fields else F.struct(F.lit(None).alias("x"))).alias("value")), ["value"], (ident, key)
+
+
 PROCEDURES["apoc.cypher.run"] = (_run(False), ("statement", "params"))
 PROCEDURES["apoc.cypher.doit"] = (_run(True), ("statement", "params"))
 
@@ -443,6 +488,7 @@ def _iterate(rows, args):
     total = source.df.count()
     action = parse(value_of(rows, args[1]))["parts"][0]
     done = failed = batches = 0
+    begun = time.monotonic()
     messages: dict[str, int] = {}
     for first in range(0, total, size):
         batches += 1
@@ -457,9 +503,14 @@ def _iterate(rows, args):
             failed += rows_in
             messages[str(e)[:200]] = messages.get(str(e)[:200], 0) + 1
     rows.wrote = True
-    schema = "batches long, total long, timeTaken long, committedOperations long, failedOperations long, failedBatches long, retries long, errorMessages map<string,long>, wasTerminated boolean"
-    row = (batches, total, 0, done, failed, sum(messages.values()), 0, messages, False)
-    return g.spark.createDataFrame([row], schema), [x.split()[0] for x in schema.split(", ")], None
+    broken = sum(messages.values())
+    counts = "struct<total: long, committed: long, failed: long, errors: map<string,long>>"
+    schema = (f"batches long, total long, timeTaken long, committedOperations long, failedOperations long, failedBatches long, retries long, errorMessages map<string,long>, "
+              f"batch {counts}, operations {counts}, wasTerminated boolean, failedParams map<string,string>, updateStatistics map<string,long>")
+    row = (batches, total, int(time.monotonic() - begun), done, failed, broken, 0, messages,
+           (batches, batches - broken, broken, messages), (total, done, failed, messages), False, {}, {})
+    out = g.spark.createDataFrame([row], schema)
+    return out, out.columns, None
 
 
 # files ---------------------------------------------------------------------------------
@@ -503,22 +554,84 @@ def _trigger_rows(g, names=None):
     return g.spark.createDataFrame(found, "name string, query string, phase string, paused boolean"), ["name", "query", "phase", "paused"], None
 
 
+PHASES = ("before", "after", "afterAsync", "rollback")
+#: Lists that a trigger's statement may ask for, each with the kind of element that it is about.
+TRIGGER_LISTS = {
+    "createdNodes": "node", "createdRelationships": "relationship", "deletedNodes": "node", "deletedRelationships": "relationship", "assignedNodeProperties": "node", "removedNodeProperties": "node",
+    "assignedRelationshipProperties": "relationship", "removedRelationshipProperties": "relationship", "assignedLabels": "node", "removedLabels": "node",
+}
+
+
+def trigger_list(g, before: tuple, delta: dict, name: str) -> DataFrame:
+    """One column ``item``: the elements or changes that a commit brought; empty where it brought none."""
+    from dataclasses import replace
+
+    from arbora.plans.lower import united
+
+    kind = TRIGGER_LISTS[name]
+    old = replace(g, nodes=before[0], rels=before[1])
+
+    def elements(graph) -> DataFrame:
+        if kind == "node":
+            return graph.scan_nodes([], "item", None)
+        return graph.scan_rels([], "item", None, "out").select("item")
+
+    def of(graph, ids) -> DataFrame:
+        if ids is None:
+            return elements(graph).where(F.lit(False))
+        return elements(graph).join(ids.select(F.col("id").alias("__id")).distinct(), F.col("item._id") == F.col("__id"), "left_semi")
+
+    if name.startswith(("created", "deleted")):
+        return of(g if name.startswith("created") else old, delta.get(name))
+    if name.endswith("Labels"):
+        ids, add, remove = delta.get("labels") or (None, [], [])
+        which, mine = (add, g) if name.startswith("assigned") else (remove, old)
+        other = of(old if mine is g else g, ids).select(F.col("item._id").alias("__oid"), F.col("item._labels").alias("__had"))
+        now = of(mine, ids).join(other, F.col("item._id") == F.col("__oid")) if which else None
+        if now is None:
+            return of(g, None).select(F.struct(F.lit("").alias("label"), F.col("item").alias("node")).alias("item"))
+        now = now.withColumn("label", F.explode(F.array(*[F.lit(x) for x in which]))).where("array_contains(item._labels, label) and not array_contains(__had, label)")
+        return now.select(F.struct("label", F.col("item").alias("node")).alias("item"))
+    change = delta.get("assigned" + name.removeprefix("assigned").removeprefix("removed"))
+    element = lambda x: F.struct("key", "old", "new", x.alias(kind)).alias("item")
+    out = None
+    for key in [c for c in change.columns if c != "id"] if change is not None else []:
+        had = elements(old).select(F.col("item._id").alias("__oid"), *([F.col(f"item.`{key}`").alias("old")] if key in elements(old).schema["item"].dataType.names else [F.lit(None).cast("string").alias("old")]))
+        one = change.select(F.col("id").alias("__id"), F.lit(key).alias("key"), F.col(f"`{key}`").alias("new")).join(had, F.col("__id") == F.col("__oid"))
+        one = one.where("new is not null" if name.startswith("assigned") else "new is null and old is not null")
+        one = one.join(elements(g), F.col("item._id") == F.col("__id")).select("key", "old", "new", "item")
+        out = one if out is None else united(out, one)
+    if out is None:
+        none = F.lit(None).cast("string")
+        out = of(g, None).select(F.lit("").alias("key"), none.alias("old"), none.alias("new"), "item")
+    return out.select(element(F.col("item")))
+
+
 @procedure("apoc.trigger.install", "name", "statement", "selector")
 def _install(rows, args):
-    """Run a statement at every commit: before it (an error undoes it), after it, or after an undo."""
+    """Run a statement at every commit: before it (an error undoes it), after it, or after an undo.
+
+    The statement's ``$createdNodes`` and the like are frames: UNWIND reads them
+    row by row, and anything else sees them as lists.
+    """
     name, statement = value_of(rows, args[0]), value_of(rows, args[1])
-    if lists := sorted(set(re.findall(r"\$`?((?:created|deleted|assigned|removed)(?:Nodes|Relationships|NodeProperties|RelationshipProperties|Labels))\b", statement))):
-        raise CypherError(f"triggers get createdCount only, not {', '.join(lists)}")
-    phase = (value_of(rows, args[2]) if len(args) > 2 else {}).get("phase", "before")
+    wanted = [x for x in TRIGGER_LISTS if re.search(rf"\$`?{x}\b", statement)]
+    config = value_of(rows, args[2]) if len(args) > 2 else {}
+    phase, extra = (config or {}).get("phase", "before"), (config or {}).get("params", {})
+    if phase not in PHASES:
+        raise CypherError(f"unknown phase {phase}; there are {', '.join(PHASES)}")
     busy = []
 
-    def run(graph, delta):
+    def run(graph, before, delta):
         if busy:  # what a trigger writes sets off no trigger
             return
         busy.append(1)
         try:
-            made = delta.get("createdNodes")
-            graph.cypher(statement, createdCount=made.count() if made is not None else 0)
+            given = {x: trigger_list(graph, before, delta, x) for x in wanted}
+            if "$createdCount" in statement:
+                made = delta.get("createdNodes")
+                given["createdCount"] = made.count() if made is not None else 0
+            graph.cypher(statement, **(extra | given))
         finally:
             busy.clear()
 

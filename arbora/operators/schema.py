@@ -10,9 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.plans import values as v
 from arbora.plans.lower import CypherError
 
 
+# Names of property types and the data types that hold them.
+PROPERTY_TYPES = {
+    "STRING": ("string",), "INTEGER": ("bigint", "int", "smallint", "tinyint"), "INT": ("bigint", "int", "smallint", "tinyint"), "FLOAT": ("double", "float"),
+    "BOOLEAN": ("boolean",), "BOOL": ("boolean",), "DATE": ("date",), "ZONED DATETIME": ("timestamp",), "DATETIME": ("timestamp",), "LOCAL DATETIME": ("timestamp_ntz",),
+    "LOCALDATETIME": ("timestamp_ntz",), "ZONED TIME": (v.TIME.simpleString(),), "TIME": (v.TIME.simpleString(),), "LOCAL TIME": (v.LOCAL_TIME.simpleString(),),
+    "LOCALTIME": (v.LOCAL_TIME.simpleString(),), "DURATION": (v.DURATION.simpleString(),), "POINT": (v.POINT.simpleString(),),
+}
+
+
 class ConstraintViolation(CypherError):
     """A write, or the data at the time a constraint is created, breaks it."""
 
@@ -25,7 +35,9 @@ def check(graph, c: dict) -> None:
         if c["type"] in ("NOT NULL", "NODE KEY") and not df.where(" or ".join(f"`{p}` is null" for p in props)).isEmpty():
             raise ConstraintViolation(f"{c['name']}: a value is missing")
         if c["type"].startswith("IS ::"):
-            want = {"STRING": {"string"}, "INTEGER": {"bigint", "int"}, "FLOAT": {"double", "float"}, "BOOLEAN": {"boolean"}}[c["type"][6:]]
+            want = PROPERTY_TYPES.get(c["type"][6:].upper())
+            if want is None:
+                raise CypherError(f"unknown property type {c['type'][6:]}; there are {', '.join(PROPERTY_TYPES)}")
             for p in props:
                 if dict(df.dtypes)[p] not in want and not df.where(f"`{p}` is not null").isEmpty():
                     raise ConstraintViolation(f"{c['name']}: {p} has another type")

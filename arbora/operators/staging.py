@@ -8,12 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Write to the folder that ``spark.checkpoint.dir`` names and read back; survives lost executors."""
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that ``spark.checkpoint.dir`` names; a temporary one in a session of one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='arbora-graph-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Write to the shared folder and read back; survives lost executors."""
+    path = folder(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ the end of the clause, checked against the constraints first.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +28,12 @@ def settle(rows: Rows) -> None:
 
 
 def next_id(graph) -> int:
-    top = 0
+    """The first id that no element has; each table is looked through once, and those that writes made not at all."""
     for t in [*graph.nodes, *graph.rels]:
-        m = t.df.agg(F.max("id")).first()[0]
-        top = max(top, m or 0)
-    return top + 1
+        if id(t) not in graph.seen_tables:
+            graph.top_id = max(graph.top_id, t.df.agg(F.max("id")).first()[0] or 0)
+            graph.seen_tables[id(t)] = t
+    return graph.top_id + 1
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -46,23 +49,38 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
 def commit(graph, tables_n: list[NodeTable], tables_r: list[RelTable], added: dict) -> None:
     before = graph.nodes, graph.rels
     graph.nodes, graph.rels = tables_n, tables_r
+
+    def fire(phases: tuple[str, ...]):
+        for name, t in list(graph.triggers.items()):
+            if t["phase"] in phases and not t["paused"]:
+                yield name, t, lambda t=t: t["run"](graph, before, added)
+
     try:
         check_all(graph)
-        for name, t in list(graph.triggers.items()):
-            if t["phase"] == "before" and not t["paused"]:
-                t["run"](graph, added)
+        for _, _, run in fire(("before",)):
+            run()
     except Exception:
         graph.nodes, graph.rels = before
-        for t in graph.triggers.values():
-            if t["phase"] == "rollback" and not t["paused"]:
-                t["run"](graph, added)
+        for _, _, run in fire(("rollback",)):
+            run()
         raise
-    for name, t in list(graph.triggers.items()):
-        if t["phase"].startswith("after") and not t["paused"]:
-            try:
-                t["run"](graph, added)
-            except Exception as e:  # a trigger after the commit only reports
-                t["error"] = repr(e)
+    if all(id(t) in graph.seen_tables for t in (*before[0], *before[1])):
+        # Ids come from next_id alone, so tables that a write made hold none above it.
+        graph.seen_tables = {id(t): t for t in (*tables_n, *tables_r)}
+    for name, t, run in fire(("after", "afterAsync")):
+        try:
+            run()
+        except Exception as e:  # the commit stands, so a failing trigger can only be reported
+            t["error"] = repr(e)
+            warnings.warn(f"trigger {name} failed after the commit: {e}", stacklevel=2)
+
+
+def touched(tables: list, ids: DataFrame, *columns: str) -> set[int]:
+    """Numbers of the tables with a row whose ``columns`` hold one of the ids: one job over the id columns."""
+    keys = [t.df.select(F.lit(i).alias("table"), F.explode(F.array(*columns)).alias("id")) for i, t in enumerate(tables)]
+    if not keys:
+        return set()
+    return {r.table for r in _union(keys).join(ids.select("id").distinct(), "id", "left_semi").select("table").distinct().collect()}
 
 
 def add_nodes(graph, labels: tuple[str, ...], df: DataFrame) -> list[NodeTable]:
@@ -114,13 +132,16 @@ def numbered(rows: Rows, name: str, start: int) -> int:
     counts = {r.p: r.n for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], start
     for p in sorted(counts):
-        offsets.append(F.struct(F.lit(p).cast("long"), F.lit(total).cast("long")))
+        offsets.append((p, total))
         total += counts[p]
+    rows.graph.top_id = max(rows.graph.top_id, total - 1)
     if not offsets:
         rows.df = df.withColumn(name, F.lit(None).cast("long")).drop("__m")
         return start
-    base = F.map_from_entries(F.array(*offsets))[part]
-    rows.df = staged(df.withColumn(name, base + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m"), spark)
+    # One row for each partition, so this side may be broadcast.
+    base = F.broadcast(spark.createDataFrame(offsets, "__p long, __base long"))
+    df = df.join(base, part == F.col("__p")).withColumn(name, F.col("__base") + F.col("__m").bitwiseAND((1 << 33) - 1))
+    rows.df = staged(df.drop("__m", "__p", "__base"), spark)
     return total
 
 
@@ -226,6 +247,7 @@ def merge_clause(rows: Rows, c: dict) -> None:
 
 def refresh(rows: Rows) -> None:
     """Read the elements in scope again, as a write has changed them."""
+    rows.scope = [s for s in rows.scope if s in rows.df.columns]
     for s in rows.scope:
         kind = rows.schema_type(s)
         if v.is_node(kind):
@@ -279,9 +301,11 @@ def apply_sets(rows: Rows, items: list[tuple]) -> None:
         if how == "labels":
             relabel(graph, delta, add=what)
         elif v.is_rel(kind):
-            commit(graph, graph.nodes, [RelTable(t.type, overlay(t.df, delta, list(what), replace), t.src_labels, t.dst_labels) for t in graph.rels], {"assignedRelationshipProperties": delta})
+            some = touched(graph.rels, delta, "id")
+            commit(graph, graph.nodes, [RelTable(t.type, overlay(t.df, delta, list(what), replace), t.src_labels, t.dst_labels) if i in some else t for i, t in enumerate(graph.rels)], {"assignedRelationshipProperties": delta})
         else:
-            commit(graph, [NodeTable(t.labels, overlay(t.df, delta, list(what), replace)) for t in graph.nodes], graph.rels, {"assignedNodeProperties": delta})
+            some = touched(graph.nodes, delta, "id")
+            commit(graph, [NodeTable(t.labels, overlay(t.df, delta, list(what), replace)) if i in some else t for i, t in enumerate(graph.nodes)], graph.rels, {"assignedNodeProperties": delta})
 
 
 def overlay(df: DataFrame, delta: DataFrame, names: list[str], replace: bool | None) -> DataFrame:
@@ -306,22 +330,21 @@ def overlay(df: DataFrame, delta: DataFrame, names: list[str], replace: bool | N
 
 def relabel(graph, ids: DataFrame, add: list[str] = (), remove: list[str] = ()) -> None:
     """Move nodes between label sets."""
-    kept, moved = [], []
-    for t in graph.nodes:
+    kept, moved, some = [], [], touched(graph.nodes, ids, "id")
+    for i, t in enumerate(graph.nodes):
         want = tuple(sorted((set(t.labels) | set(add)) - set(remove)))
-        if want == tuple(sorted(t.labels)):
+        if want == tuple(sorted(t.labels)) or i not in some:
             kept.append(t)
             continue
         kept.append(NodeTable(t.labels, staged(t.df.join(ids, "id", "left_anti"), graph.spark)))
-        moved.append((want, staged(t.df.join(ids, "id", "left_semi"), graph.spark)))
+        moved.append((want, t.df.join(ids, "id", "left_semi")))
     before = graph.nodes
     graph.nodes = kept
     for want, df in moved:
-        if not df.isEmpty():
-            graph.nodes = add_nodes(graph, want, df)
+        graph.nodes = add_nodes(graph, want, df)
     after, graph.nodes = graph.nodes, before
     # Ends declared for relationships may no longer hold.
-    commit(graph, after, [RelTable(t.type, t.df) for t in graph.rels], {"labels": ids})
+    commit(graph, after, [RelTable(t.type, t.df) for t in graph.rels], {"labels": (ids, list(add), list(remove))})
 
 
 def remove_clause(rows: Rows, c: dict) -> None:
@@ -353,19 +376,24 @@ def delete_clause(rows: Rows, c: dict) -> None:
             raise CypherError("only nodes, relationships and paths can be deleted")
     both = lambda frames: staged(_union(frames).where("id is not null").distinct(), graph.spark) if frames else None
     gone_n, gone_r = both(nodes), both(rels)
-    new_rels = [RelTable(t.type, t.df.join(gone_r, "id", "left_anti") if gone_r is not None else t.df, t.src_labels, t.dst_labels) for t in graph.rels]
-    if gone_n is not None:
-        for t in new_rels:
-            touched = t.df.join(gone_n.select(F.col("id").alias("__g")), (F.col("src") == F.col("__g")) | (F.col("dst") == F.col("__g")), "left_semi") if not c["detach"] else None
-            if touched is not None and not touched.isEmpty():
-                raise CypherError("a node that still has relationships cannot be deleted without DETACH")
-        if c["detach"]:
-            for t in new_rels:
-                for end in ("src", "dst"):
-                    t.df = t.df.join(gone_n.select(F.col("id").alias(end)), end, "left_anti")
-                t.df = t.df.select(*[col(x) for x in ["id", "src", "dst"] + [y for y in t.df.columns if y not in _RESERVED]])
-    new_rels = [RelTable(t.type, staged(t.df, graph.spark), t.src_labels, t.dst_labels) for t in new_rels]
-    new_nodes = [NodeTable(t.labels, staged(t.df.join(gone_n, "id", "left_anti"), graph.spark)) for t in graph.nodes] if gone_n is not None else graph.nodes
+    hit_r = touched(graph.rels, gone_r, "id") if gone_r is not None else set()
+    hit_ends = touched(graph.rels, gone_n, "src", "dst") if gone_n is not None else set()
+    new_rels = []
+    for i, t in enumerate(graph.rels):
+        df = t.df.join(gone_r, "id", "left_anti") if i in hit_r else t.df
+        if i in hit_ends and not c["detach"]:
+            for end in ("src", "dst"):
+                if not df.join(gone_n.select(F.col("id").alias(end)), end, "left_semi").isEmpty():
+                    raise CypherError("a node that still has relationships cannot be deleted without DETACH")
+        if i in hit_ends and c["detach"]:
+            for end in ("src", "dst"):
+                df = df.join(gone_n.select(F.col("id").alias(end)), end, "left_anti")
+        if df is not t.df:
+            df = df.select(*[col(x) for x in ["id", "src", "dst"] + [y for y in df.columns if y not in _RESERVED]])
+            t = RelTable(t.type, staged(df, graph.spark), t.src_labels, t.dst_labels)
+        new_rels.append(t)
+    hit_n = touched(graph.nodes, gone_n, "id") if gone_n is not None else set()
+    new_nodes = [NodeTable(t.labels, staged(t.df.join(gone_n, "id", "left_anti"), graph.spark)) if i in hit_n else t for i, t in enumerate(graph.nodes)]
     commit(graph, new_nodes, new_rels, {"deletedNodes": gone_n, "deletedRelationships": gone_r})
 
 

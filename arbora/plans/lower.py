@@ -42,6 +42,36 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def united(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two frames with the same columns; where the types differ both take a common one."""
+    from arbora.operators.patterns import recast
+    from arbora.sources.graph import widened
+
+    def common(x, y):
+        if x == y:
+            return x
+        if v.is_list(x) and v.is_list(y):
+            return T.ArrayType(common(x.elementType, y.elementType))
+        return widened(x, y)
+
+    left, right = [], []
+    for name in a.columns:
+        x, y = a.schema[name].dataType, b.schema[name].dataType
+        if x != y and v.is_element(x) and v.is_element(y) and v.is_rel(x) == v.is_rel(y):
+            props: dict = {}
+            for f in (*x, *y):
+                if not f.name.startswith("_"):
+                    props[f.name] = f.dataType if f.name not in props else common(props[f.name], f.dataType)
+            left.append(recast(col(name), x, props, v.is_rel(x)).alias(name))
+            right.append(recast(col(name), y, props, v.is_rel(x)).alias(name))
+        else:
+            to = common(x, y)
+            cast = lambda kind, to=to, name=name: (F.to_json(col(name)) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) and isinstance(to, T.StringType) else col(name).cast(to)).alias(name)
+            left.append(cast(x) if x != to else col(name))
+            right.append(cast(y) if y != to else col(name))
+    return a.select(*left).union(b.select(*right))
+
+
 # what a query reads -----------------------------------------------------------
 @dataclass
 class Needs:
@@ -338,7 +368,7 @@ class Rows:
             outs.append(self._selected(inner, select))
         df = outs[0]
         for other in outs[1:]:
-            df = df.unionByName(other)
+            df = united(df, other)
         if union is not None and len(outs) > 1 and not union["all"]:
             df = df.distinct()
         return df, keys
@@ -418,6 +448,11 @@ class Rows:
 
     def do_unwind(self, c: dict) -> None:
         self.start()
+        if c["expr"][0] == "param" and isinstance(given := self.params.get(c["expr"][1]), DataFrame):
+            # The rows of a frame are no list: they are joined as they are.
+            self.df = self.df.drop(c["var"]).crossJoin(given.select(col(given.columns[0]).alias(c["var"])))
+            self.scope = [s for s in self.scope if s != c["var"]] + [c["var"]]
+            return
         e = self.compile(c["expr"])
         if v.is_null(e.type):
             self.df = self.df.where(F.lit(False)).withColumn(c["var"], F.lit(None).cast("string"))
@@ -519,18 +554,20 @@ class Rows:
     def count_of(self, e, what: str) -> int | None:
         if e is None:
             return None
-        if e[0] == "lit":
-            n = e[1]
-        elif e[0] == "param":
-            n = self.params.get(e[1])
-        else:
-            row = self.graph.spark.range(1).select(Rows(self.graph, self.params, self.needs).compile(e).col.alias("n")).first()
-            n = row.n
+        n = self.known_value(e)
         n = 0 if n is None else n
         if not isinstance(n, int) or n < 0:
             raise CypherError(f"{what} needs an integer of 0 or more")
         return n
 
+    def known_value(self, e):
+        """What an expression without variables comes to."""
+        if e[0] == "lit":
+            return e[1]
+        if e[0] == "param":
+            return self.params.get(e[1])
+        return self.graph.spark.range(1).select(Rows(self.graph, self.params, self.needs).compile(e).col.alias("n")).first().n
+
     def aggregate(self, named: list, c: dict) -> None:
         from arbora.functions.aggregates import lower_aggregate
 
@@ -607,24 +644,28 @@ class Rows:
 
             in_transactions(self, c)
             return
-        parts = []
+        parts, own = [], []
         for clauses in c["body"]["parts"]:
-            imports = []
-            if clauses[0]["kind"] == "with" and self.scope:
-                first = clauses[0]
-                imports = [s for s in self.scope if first["star"] or any(e == ("var", s) for e, _, _ in first["items"])]
+            first = clauses[0]
+            own.append([s for s in self.scope if first["star"] or any(e == ("var", s) for e, _, _ in first["items"])] if first["kind"] == "with" and self.scope else [])
+        # All parts of a UNION are keyed by what any of them imports.
+        imports = [s for s in self.scope if any(s in x for x in own)]
+        keys = [fresh("c") for _ in imports]
+        ids = [(col(s)["_id"] if v.is_element(self.schema_type(s)) else col(s)) for s in imports]
+        if imports:
+            seeds = self.df.select(*[col(s) for s in imports], *[i.alias(k) for i, k in zip(ids, keys, strict=True)]).dropDuplicates(keys)
+        for clauses, mine in zip(c["body"]["parts"], own, strict=True):
             if not imports:
                 inner = self.child()
                 inner.run(clauses)
                 parts.append((inner, []))
                 continue
-            keys = [fresh("c") for _ in imports]
-            ids = [(col(s)["_id"] if v.is_element(self.schema_type(s)) else col(s)) for s in imports]
-            seeds = self.df.select(*[col(s) for s in imports], *[i.alias(k) for i, k in zip(ids, keys, strict=True)]).dropDuplicates(keys)
-            inner = self.child(seeds, imports, keys)
-            inner.seeds = seeds
+            seed = seeds.select(*[col(s) for s in mine], *keys)
+            inner = self.child(seed, mine, keys)
+            inner.seeds = seed
             inner.run(clauses)
-            inner.df = inner.df.select(*[F.struct(*[col(k) for k in keys]).alias("__key")], *[col(s) for s in inner.scope])
+            if inner.scope:
+                inner.df = inner.df.select(F.struct(*[col(k) for k in keys]).alias("__key"), *[col(s) for s in inner.scope])
             parts.append((inner, list(zip(ids, keys, strict=True))))
         if parts[0][0].wrote or not parts[0][0].scope:
             self.start()
@@ -632,7 +673,10 @@ class Rows:
         df, keys = parts[0][0].df, parts[0][1]
         names = parts[0][0].scope
         for inner, _ in parts[1:]:
-            df = df.unionByName(inner.df) if keys else df.select(*[col(s) for s in names]).unionByName(inner.df.select(*[col(s) for s in names]))
+            if inner.scope != names:
+                raise CypherError("the parts of a UNION must return the same columns")
+            some = (["__key"] if keys else []) + names
+            df = united(df.select(*[col(s) for s in some]), inner.df.select(*[col(s) for s in some]))
         if len(parts) > 1 and not c["body"]["all"]:
             df = df.distinct()
         new = [s for s in names if s not in self.scope]
@@ -696,7 +740,7 @@ def run_statement(graph, tree: dict, params: dict) -> Rows:
     for other in outs[1:]:
         if other.scope != first.scope:
             raise CypherError("the parts of a UNION must return the same columns")
-        first.df = first.df.select(*[col(s) for s in first.scope]).unionByName(other.df.select(*[col(s) for s in other.scope]))
+        first.df = united(first.df.select(*[col(s) for s in first.scope]), other.df.select(*[col(s) for s in other.scope]))
     if len(outs) > 1 and not tree["all"]:
         first.distinct()
     return first

@@ -68,6 +68,9 @@ class Graph:
     import_root: str | None = None
     triggers: dict = field(default_factory=dict)
     procedures: dict = field(default_factory=dict)
+    #: The largest id so far and the tables that it covers.
+    top_id: int = 0
+    seen_tables: dict = field(default_factory=dict)
 
     def cypher(self, text: str, **params) -> DataFrame:
         from arbora.plans.lower import run

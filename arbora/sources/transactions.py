@@ -11,11 +11,12 @@ from arbora.sources.graph import Graph
 @contextmanager
 def transaction(graph: Graph):
     """Statements inside see their own writes; an error, or ``rollback``, leaves the graph as it was."""
-    inside = replace(graph, nodes=list(graph.nodes), rels=list(graph.rels), indexes=list(graph.indexes), constraints=list(graph.constraints))
+    inside = replace(graph, nodes=list(graph.nodes), rels=list(graph.rels), indexes=list(graph.indexes), constraints=list(graph.constraints), triggers=dict(graph.triggers))
     inside.rolled_back = False
     yield inside
     if not inside.rolled_back:
-        graph.nodes, graph.rels, graph.indexes, graph.constraints = inside.nodes, inside.rels, inside.indexes, inside.constraints
+        for kept in ("nodes", "rels", "indexes", "constraints", "triggers"):
+            setattr(graph, kept, getattr(inside, kept))
 
 
 def rollback(inside: Graph) -> None:

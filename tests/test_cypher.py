@@ -225,8 +225,46 @@ def test_json_pointer_and_trigger_lists(social, tmp_path):
             load(f, p)
     with pytest.raises(Exception, match="leads nowhere"):
         load("o.json", "/a~1b/2", "value.x")
-    with pytest.raises(CypherError):
-        rows(social, "CALL apoc.trigger.install('t', 'UNWIND $createdNodes AS n SET n.seen = true', {phase: 'before'})")
+    with pytest.raises(CypherError, match="phase"):
+        rows(social, "CALL apoc.trigger.install('t', 'RETURN 1', {phase: 'whenever'})")
+
+
+def test_trigger_lists(social):
+    rows(social, "CALL apoc.trigger.install('t', 'UNWIND $createdNodes AS n WITH n WHERE n:Person SET n.seen = size($createdNodes)', {phase: 'before'})")
+    rows(social, "UNWIND [1, 2] AS i CREATE (:Person {name: 'N' + toString(i)})")
+    assert rows(social, "MATCH (p:Person) RETURN p.name AS n, p.seen AS s ORDER BY n") == [("Ada", None), ("Alan", None), ("Grace", None), ("N1", 2), ("N2", 2)]
+    rows(social, "CALL apoc.trigger.install('t', 'UNWIND $removedNodeProperties AS c CREATE (:Log {key: c.key, old: toString(c.old), of: c.node.name})', {phase: 'after'})")
+    rows(social, "CALL apoc.trigger.install('u', 'UNWIND $assignedLabels AS c CREATE (:Log {key: c.label, of: c.node.name})', {phase: 'after'})")
+    rows(social, "MATCH (p:Person {name: 'Ada'}) REMOVE p.age SET p:Hero")
+    rows(social, "CALL apoc.trigger.install('t', 'UNWIND $deletedRelationships AS c CREATE (:Log {key: type(c)})', {phase: 'afterAsync'})")
+    rows(social, "MATCH ()-[r:LIKES]->() DELETE r")
+    assert rows(social, "MATCH (l:Log) RETURN l.key AS k, l.old AS o, l.of AS f ORDER BY k") == [("Hero", None, "Ada"), ("LIKES", None, None), ("age", "37", "Ada")]
+    rows(social, "CALL apoc.trigger.install('t', 'CREATE (:Log {bad: 1 / 0})', {phase: 'after'})")
+    with pytest.warns(UserWarning, match="trigger t failed"):
+        rows(social, "CREATE (:Person {name: 'late'})")
+    assert rows(social, "MATCH (p:Person {name: 'late'}) RETURN count(*) AS n") == [(1,)]
+
+
+def test_unions_of_kinds(social):
+    assert rows(social, "MATCH (a:Person) CALL { WITH a MATCH (a)-[:KNOWS]->(b) RETURN b.name AS x UNION ALL WITH a MATCH (a)-[:LIKES]->(b) RETURN b.name AS x } RETURN a.name AS a, x ORDER BY a, x") == [("Ada", "Alan"), ("Alan", "Ada"), ("Alan", "Grace")]
+    assert rows(social, "MATCH (a:Person {name: 'Ada'}) CALL { WITH a RETURN a.age AS x UNION MATCH (c:Company) RETURN c.name AS x } RETURN x ORDER BY x") == [("37",), ("Analytics",)]
+    assert sorted(rows(social, "MATCH (n:Company) RETURN n.name AS x UNION RETURN 1 AS x")) == [("1",), ("Analytics",)]
+    assert rows(social, "CALL { MATCH (x:Company) RETURN x UNION ALL MATCH (x:Person) RETURN x } RETURN x.name AS n, x.age AS a ORDER BY n") == [("Ada", 37), ("Alan", 41), ("Analytics", None), ("Grace", 85)]
+
+
+def test_subqueries_in_lists(social):
+    assert rows(social, "MATCH (a:Person) RETURN a.name AS n, [x IN [1, 2] | size([(a)-[:KNOWS]->(m) | m.name]) + x] AS l ORDER BY n") == [("Ada", [2, 3]), ("Alan", [2, 3]), ("Grace", [1, 2])]
+    assert rows(social, "MATCH (a:Person) WITH collect(a) AS l RETURN [x IN l WHERE (x)-[:LIKES]->() | x.name] AS l, all(x IN l WHERE (x)--()) AS b, any(x IN l WHERE COUNT { (x)-[:KNOWS]->() } > 1) AS c") == [(["Alan"], True, False)]
+    assert rows(social, "MATCH (n:Person) CALL apoc.cypher.run('MATCH (m {name: $x})-[:KNOWS]->(o) RETURN o.name AS o', {x: n.name}) YIELD value RETURN n.name AS n, value.o AS o ORDER BY n") == [("Ada", "Alan"), ("Alan", "Grace")]
+
+
+def test_paths_and_types(social):
+    assert rows(social, "MATCH p = (a:Person {name: 'Ada'})-[:KNOWS]->(b)-[:KNOWS]->(c) RETURN [x IN apoc.path.elements(p) | coalesce(x.name, type(x))] AS l") == [(["Ada", "KNOWS", "Alan", "KNOWS", "Grace"],)]
+    assert rows(social, "MATCH (a:Person {name: 'Ada'})-[r:KNOWS]->(b)-[s:KNOWS]->(c) RETURN [n IN nodes(apoc.path.create(a, [r, s])) | n.name] AS l, nodes(apoc.path.create(c, []))[0].name AS m") == [(["Ada", "Alan", "Grace"], "Grace")]
+    assert rows(social, "CALL apoc.create.node(['Temp'], {k: 1}) YIELD node AS t RETURN t.k AS k") == [(1,)]
+    with pytest.raises(ConstraintViolation):
+        rows(social, "CREATE CONSTRAINT FOR (p:Person) REQUIRE p.age IS :: DATE")
+    rows(social, "CREATE CONSTRAINT FOR (p:Person) REQUIRE p.age IS :: INTEGER")
 
 
 def test_stream(spark, social, tmp_path):
@@ -252,7 +290,8 @@ EXPRESSIONS = [
     ("toString(date('2020-W10-1'))", "2020-03-02"), ("toString(date('2020060'))", "2020-02-29"), ("toString(date({year: 2020, month: 2}))", "2020-02-01"), ("date('2020-05-05').dayOfQuarter", 35), ("date('2021-01-03').weekYear", 2020),
     ("toString(date('2020-01-31') + duration('P1M'))", "2020-02-29"), ("toString(duration('P1Y2M3DT4H5.5S'))", "P1Y2M3DT4H5.5S"), ("toString(duration({days: 1.5}))", "P1DT12H"), ("duration({hours: 25, minutes: 61}).hours", 26),
     ("toString(duration.between(date('2020-01-31'), date('2021-03-01')))", "P1Y1M1D"), ("duration.inDays(date('2020-01-01'), date('2020-03-01')).days", 60), ("toString(datetime('2020-01-01T10:00:00+02:00'))", "2020-01-01T08:00Z"),
-    ("toString(localdatetime('2020-01-01T10:00:01.5'))", "2020-01-01T10:00:01.5"), ("localtime('10:20:30').minute", 20), ("toString(time('10:20:30Z'))", "10:20:30Z"), ("toString(date.truncate('decade', date('2027-05-05')))", "2020-01-01"),
+    ("toString(localdatetime('2020-01-01T10:00:01.5'))", "2020-01-01T10:00:01.5"), ("localtime('10:20:30').minute", 20), ("toString(time('10:20:30Z'))", "10:20:30Z"), ("toString(time('10:00+01:00') + duration('PT2H'))", "12:00+01:00"), ("time('10:00-02:30').offsetMinutes", -150), ("toString(time({hour: 3, timezone: '-02:30'}))", "03:00-02:30"),
+    ("apoc.convert.fromJsonList('[1, 2]')", [1, 2]), ("apoc.convert.fromJsonMap('{\"a\": [true]}').a", [True]), ("toString(date.truncate('decade', date('2027-05-05')))", "2020-01-01"),
     ("toString(localdatetime.truncate('hour', localdatetime('2020-01-01T10:20')))", "2020-01-01T10:00"), ("toString(date.truncate('week', date('2020-01-01')))", "2019-12-30"),
     ("apoc.text.camelCase('foo bar_baz')", "fooBarBaz"), ("apoc.text.snakeCase('fooBar baz')", "foo_bar_baz"), ("apoc.text.join(['a', null, 'b'], '-')", "a--b"), ("apoc.text.lpad('abc', 5, '.')", "..abc"), ("apoc.text.lpad('abc', 2, '.')", "abc"),
     ("apoc.text.indexOf('hello', 'l')", 2), ("apoc.text.regexGroups('ab12', '([a-z]+)(\\\\d+)')", [["ab12", "ab", "12"]]), ("apoc.text.urlencode('a b*')", "a%20b%2A"), ("apoc.text.swapCase('aB')", "Ab"), ("apoc.text.base64Decode(apoc.text.base64Encode('x'))", "x"),
