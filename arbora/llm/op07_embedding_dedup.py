@@ -37,16 +37,16 @@ from pyspark.sql import functions as F
 from arbora.llm.common import connected_components, staged, table
 
 #: Classes of a block, children of a node, and classes of a node that its children are fitted on (about).
-BLOCK = 256
+BLOCK = 1024
 FAN = 64
-SAMPLE = 512
+SAMPLE = 1024
 #: Levels that are grown across tasks; a node's number has DIGIT bits for each below those of its label.
 DEPTH = 5
 DIGIT = 7
 #: Classes of a node that are placed in one task.
 PLACE = 8192
 #: Nodes of so many vectors or fewer are compared whole.
-LEAF = 32
+LEAF = 512
 
 
 class _Node:
@@ -172,6 +172,13 @@ def _units(vectors):
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _matrix(column):
+    """Vectors of one length, as an Arrow list column, as rows of doubles."""
+    import numpy as np
+
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
 def _centers(x, k: int):
     """Rows of up to ``k`` centres of a nested cover of unit vectors: those of a level come before the finer ones."""
     import numpy as np
@@ -220,7 +227,7 @@ def _placed(members: DataFrame, nodes: DataFrame, centers: DataFrame, depth: int
     all_of = centers.join(places, "node").select(
         "node", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("at"), (F.col("child") - FAN - 1).alias("child"), F.lit(0).cast("long").alias("cid"), F.lit(0).cast("long").alias("w"),
         F.lit(None).cast(kind).alias("embedding"), "center")
-    units, shift = _units, DIGIT * (DEPTH - 1 - depth)
+    units, matrix, shift = _units, _matrix, DIGIT * (DEPTH - 1 - depth)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -243,7 +250,7 @@ def _placed(members: DataFrame, nodes: DataFrame, centers: DataFrame, depth: int
                 if key != (node[a], at[a]):
                     raise RuntimeError("the centres of a node are missing")
                 vectors = batch.column("embedding").slice(a, b - a)
-                cos = units(vectors.to_pylist()) @ np.array(center).T
+                cos = units(matrix(vectors)) @ np.array(center).T
                 best = cos.argmax(1)
                 far = np.sqrt(np.maximum(0.0, 2 - 2 * cos[np.arange(b - a), best]))
                 yield pa.RecordBatch.from_arrays([pa.array(cid[a:b]), pa.array(w[a:b]), vectors, pa.array(node[a:b] | (best.astype(np.int64) + 1) << shift), pa.array(far)], names)
@@ -321,7 +328,7 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98) -> DataFrame:
     meet = meet.select(F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), (mine > theirs).alias("second"), "cid", "w", "embedding")
     keys = ["i1", "i2", "j1", "j2"]
     meet = meet.select(F.col("i.node").alias("i1"), F.col("i.block").alias("i2"), F.col("j.node").alias("j1"), F.col("j.block").alias("j2"), "second", "cid", "w", "embedding")
-    counts, units = dual_counts, _units
+    counts, units, matrix = dual_counts, _units, _matrix
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -331,32 +338,37 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98) -> DataFrame:
 
         def close(key, group):
             same = key[:2] == key[2:]
-            sides = [group] if same else [[r for r in group if r[0] == side] for side in (False, True)]
-            if not all(sides):
+            second, ids, w, x = (np.concatenate(c) for c in zip(*group, strict=True))
+            sides = [np.arange(len(ids))] if same else [np.flatnonzero(~second), np.flatnonzero(second)]
+            if not all(map(len, sides)):
                 return None
-            x = [units([r[3] for r in s]) for s in sides]
-            w = [np.array([r[2] for r in s], np.int64) for s in sides]
-            na, nb, forest = counts(x[0], w[0], x[-1], w[-1], t, same)
-            ids = [[r[1] for r in s] for s in sides]
-            got = [(c, int(n)) for c, n in zip(ids[0], na, strict=True) if n]
-            if not same:
-                got += [(c, int(n)) for c, n in zip(ids[1], nb, strict=True) if n]
-            if not got:
+            x = units(x)
+            p, q = sides[0], sides[-1]
+            na, nb, forest = counts(x[p], w[p], x[q], w[q], t, same)
+            cid, n = (ids[p], na) if same else (np.concatenate([ids[p], ids[q]]), np.concatenate([na, nb]))
+            if not n.any():
                 return None
-            a, b = pa.array([c for c, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())
-            u, v = pa.array([ids[0][i] for i, _ in forest], pa.int64()), pa.array([ids[-1][j] for _, j in forest], pa.int64())
+            a, b = pa.array(cid[n > 0]), pa.array(n[n > 0])
+            u, v = pa.array([ids[p[i]] for i, _ in forest], pa.int64()), pa.array([ids[q[j]] for _, j in forest], pa.int64())
             none = lambda n: pa.nulls(n, pa.int64())
             return pa.Table.from_arrays([
                 pa.chunked_array([a, none(len(u))]), pa.chunked_array([b, none(len(u))]), pa.chunked_array([none(len(a)), u]), pa.chunked_array([none(len(a)), v])], names).combine_chunks().to_batches()
 
         key, group = None, []
         for batch in batches:
-            for *now, second, cid, w, vector in zip(*(batch.column(c).to_pylist() for c in (*keys, "second", "cid", "w", "embedding")), strict=True):
+            if not batch.num_rows:
+                continue
+            names_of = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in names_of], axis=0)) + 1
+            ends = [0, *cut.tolist(), batch.num_rows]
+            for a, b in zip(ends, ends[1:]):
+                now = [int(c[a]) for c in names_of]
                 if now != key:
                     if key is not None and (out := close(key, group)):
                         yield from out
                     key, group = now, []
-                group.append((second, cid, w, vector))
+                part = [batch.column(c).slice(a, b - a) for c in ("second", "cid", "w", "embedding")]
+                group.append((*(c.to_numpy(zero_copy_only=False) for c in part[:3]), matrix(part[3])))
         if key is not None and (out := close(key, group)):
             yield from out
 
