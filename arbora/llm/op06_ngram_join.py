@@ -62,7 +62,7 @@ ROWS = 512
 BLOCK_ROWS = 128
 BLOCK_BYTES = 8 << 20
 PARTNERS = 512
-HUB_ROUNDS = 2
+HUB_ROUNDS = 4
 SUFFIX_DEPTH = 2
 
 
@@ -358,7 +358,8 @@ def prefixes(texts: DataFrame, classes: Handover, counts: Handover, spec: JoinSp
                     if own >= m:
                         continue
                     order = np.lexsort((s, c))[own:m]
-                    for column, x in zip(out, (s[order].view(np.int64), np.full(m - own, cid), np.full(m - own, len(s)), np.arange(own, m), c[order], np.full(m - own, own)), strict=True):
+                    # The sign bit is turned, so tokens order as signed integers the way shingles do.
+                    for column, x in zip(out, ((s[order] ^ np.uint64(1 << 63)).view(np.int64), np.full(m - own, cid), np.full(m - own, len(s)), np.arange(own, m), c[order], np.full(m - own, own)), strict=True):
                         column.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64 if i != 4 else np.int32)) for i, x in enumerate(out)], names)
@@ -473,6 +474,22 @@ def postings(pre: DataFrame) -> DataFrame:
     return pre.join(kept, "token")
 
 
+def _with_partners(lists: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Rows that the positional filter leaves a partner in their list, by the sizes there.
+
+    Under a pair's first common shingle at most what follows in either set is
+    shared, so the sizes together are bounded by both: ``most`` is the largest
+    size that a row's partner can have.
+    """
+    most = f"cast(floor((n - pos) * {spec.num + spec.den} / {spec.num}) - n as long)"
+    now = lists.withColumn("most", F.expr(most)) if spec.num else lists.withColumn("most", F.lit(1 << 62))
+    for _ in range(2):
+        bounds = now.groupBy("token").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        now = now.join(bounds, "token").where("most >= low and n <= high").drop("low", "high")
+    alone = now.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    return now.join(alone, "token")
+
+
 def _held_against(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """(u, v) of the pairs (cid, hub) that are linked; a hub of many partners meets them in several places."""
     k, shingler = spec.k, _Shingler
@@ -510,18 +527,26 @@ def _rest(now: DataFrame, pairs: DataFrame, texts: DataFrame, spec: JoinSpec) ->
     k, shingler = spec.k, _Shingler
     join = lambda sets, skip: local_links(sets, skip, spec)
     open_ = now.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    now = staged(now.join(open_, "token").select("token", "cid", "n", "code", "band", "root"), "ngram-open")
+    now = staged(now.join(open_, "token").select("token", "cid", "n", "most", "code", "band", "root"), "ngram-open")
     # Both lists are bounded by the prefix of their class.
     order = now.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("code", "token"))).alias("order"))
     met = pairs.groupBy("cid").agg(F.collect_list("hub").alias("met"))
     own = order.join(met, "cid", "left").join(texts, "cid")
-    sizes = now.groupBy("token", "band").agg(F.expr(f"cast(ceil(count(*) / {BLOCK_ROWS}) as int)").alias("rows"), F.sum("n").alias("shingles"))
-    sizes = sizes.select("token", "band", F.expr(f"greatest(rows, cast(ceil(8 * shingles / {BLOCK_BYTES}) as int))").alias("blocks"))
-    placed = now.join(sizes, ["token", "band"])
-    placed = placed.withColumn("mine", F.expr(f"band * {1 << 32}L + pmod(xxhash64(cid), blocks)")).drop("blocks")
-    placed = placed.withColumn("beside", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
-    placed = placed.join(sizes.withColumnRenamed("band", "beside"), ["token", "beside"])
-    placed = placed.withColumn("theirs", F.expr(f"explode(transform(sequence(0, blocks - 1), x -> beside * {1 << 32}L + x))"))
+    # Classes of a component that fills blocks of its own are kept apart from the others,
+    # so blocks that are connected inside and with each other never meet.
+    where = ["token", "band", "pool"]
+    pools = now.groupBy("token", "band", "root").agg(F.count(F.lit(1)).alias("c")).where(f"c > {BLOCK_ROWS}").select("token", "band", "root", F.col("root").alias("pool"))
+    now = now.join(pools, ["token", "band", "root"], "left").withColumn("pool", F.coalesce("pool", F.lit(-1).cast("long")))
+    sizes = now.groupBy(*where).agg(F.expr(f"cast(ceil(count(*) / {BLOCK_ROWS}) as int)").alias("rows"), F.sum("n").alias("shingles"))
+    sizes = staged(sizes.select(*where, F.expr(f"greatest(rows, cast(ceil(8 * shingles / {BLOCK_BYTES}) as int))").alias("blocks")), "ngram-blocks")
+    sizes = sizes.join(now.groupBy(*where).agg(F.min("n").alias("low"), F.max("most").alias("high")), where)
+    other = sizes.select("token", F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("band").alias("band2"), F.col("pool").alias("pool2"), F.col("blocks").alias("blocks2"))
+    # What a row cannot meet by sizes and places goes no further.
+    meets = sizes.join(other, "token").where("abs(band - band2) <= 1 and (pool = -1 or pool <> pool2) and low <= high2 and low2 <= high")
+    # Blocks are named by a hash of where they are and their number there.
+    name = lambda band, pool, at: f"xxhash64({band}, {pool}) - pmod(xxhash64({band}, {pool}), 65536L) + {at}"
+    placed = now.join(meets, where).where("n <= high2 and low2 <= most").withColumn("mine", F.expr(name("band", "pool", "pmod(xxhash64(cid), blocks)")))
+    placed = placed.withColumn("theirs", F.expr(f"explode(transform(sequence(0L, blocks2 - 1L), x -> {name('band2', 'pool2', 'x')}))"))
     # A block pair of which only one side is there, or that is connected already, needs no texts.
     placed = placed.select("token", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "mine", "cid", "root")
     useful = placed.groupBy("token", "i", "j").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("mine").alias("p"), F.max("mine").alias("q"))
@@ -585,14 +610,15 @@ def linked_classes(lists: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFr
         # The first hubs are those nearest to what the list has in common, later ones are taken by hash.
         rank = "struct(own, cid)" if turn == 0 else f"struct(xxhash64({turn}, cid), cid)"
         part = of_root().join(large, "token")
-        hub = part.groupBy("token", "band").agg(F.expr(f"min_by(struct(cid, n, pos, root), {rank})").alias("h"))
+        hub = part.groupBy("token", "band").agg(F.expr(f"min_by(struct(cid, n, most, root), {rank})").alias("h"))
         pairs = part.join(hub, ["token", "band"]).where("cid <> h.cid and root <> h.root")
-        # Under a pair's first common shingle no more than what follows in either set can be shared.
-        pairs = pairs.where(F.expr(f"least(n - pos, h.n - h.pos) * {spec.num + spec.den} >= {spec.num} * (n + h.n)"))
+        pairs = pairs.where("h.n <= most and n <= h.most")
         pairs = pairs.select("cid", F.col("h.cid").alias("hub")).distinct()
         if turn:
             pairs = pairs.join(held, ["cid", "hub"], "left_anti").join(held.select(F.col("cid").alias("hub"), F.col("hub").alias("cid")), ["cid", "hub"], "left_anti")
-        pairs = staged(pairs, "ngram-pairs")
+        pairs, seen = staged_and_counted(pairs, "ngram-pairs", F.count(F.lit(1)).alias("n"))
+        if not seen["n"]:
+            break
         held = held.union(pairs)
         roots = _connected(roots, staged(_held_against(pairs, texts, spec), "ngram-links"))
     return _connected(roots, staged(_rest(of_root(), held, texts, spec), "ngram-links"))
@@ -615,7 +641,7 @@ def _components(texts: DataFrame, spec: JoinSpec) -> DataFrame:
     pre = staged(prefixes(texts, handed, shared_shingles(texts, handed, total, slices, spec), spec), "ngram-prefixes")
     # Sets of one band differ in size by less than the threshold allows; linked ones are in the same or in neighbouring bands.
     band = "n" if spec.num >= spec.den else f"cast(floor(ln(n) / ln({spec.den}D / {spec.num}D) + 1e-9) as long)"
-    lists = staged(postings(pre).withColumn("band", F.expr(band)), "ngram-lists")
+    lists = staged(_with_partners(postings(pre), spec).withColumn("band", F.expr(band)), "ngram-lists")
     wanted = lists.select("cid").distinct().join(stand, "cid")
     found = staged(_fetched(texts, hand_over(wanted, "ngram-wanted", slices)), "ngram-texts")
     linked = linked_classes(lists, found, spec)
