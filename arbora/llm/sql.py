@@ -1,8 +1,7 @@
 """DuckDB SQL for the rows of the corpus queries that SQL can express.
 
-There is none for op2 to op5 and op10 (Viterbi, training, a tokenizer's merges, a
-flow with a seeded order, bytes cut out of texts) nor for op9, whose linked spans
-need look-around; these are held against brute force in the tests.
+There is none for op2 to op5 (Viterbi, training, a tokenizer's merges, a flow with
+a seeded order); these are held against brute force in the tests.
 """
 
 from arbora.llm.op08_quality_rules import CLASS_PATTERNS, COMMON_WORDS, SYMBOLS, QualityRules
@@ -73,9 +72,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT (cd > {rules.max_class_distance} OR hd > {rules.max_common_distance}) AS kept FROM b"""
 
 
+def _secrets() -> str:
+    """Places come from the pieces between matches; what stands before a match is looked at apart, as there is no look-around."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    # The kinds in their order, their patterns, and what a match must fulfil besides.
+    value = r"""["']?\x20*[:=]\x20*["']?"""
+    patterns = [
+        ("assign", rf"(?i:password|passwd|secret|token|api_?key){value}[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(x.m, {quote(f'^(?i:password|passwd|secret|token|api_?key){value}(.*)$')}, 1, 's')) >= 12"),
+        ("access", "AKIA[A-Z0-9]{14,}", "true"),
+        ("hex", "[0-9a-f]{16,}", "true"),
+        ("endpoint", r"""(?:https?|ftp|jdbc:[a-z0-9]+|s3|redis|mongodb)://[^\x00-\x20"'<>]{2,}""", "true"),
+        ("identifier", rf"(?i:user(?:name)?|login|client_id|account_id|access_key_id){value}[A-Za-z0-9@._-]{{3,}}", "x.s = 0 OR NOT regexp_matches(substr(t, x.s, 1), '[A-Za-z0-9_]')"),
+        ("weak", "[A-Za-z0-9+/]{32,}={0,2}", "regexp_matches(x.m, '[A-Z]') AND regexp_matches(x.m, '[a-z]') AND regexp_matches(x.m, '[0-9]') AND (x.s = 0 OR NOT regexp_matches(substr(t, x.s, 1), '[A-Za-z0-9+/=_-]'))"),
+    ]
+
+    def found(k: int) -> str:
+        name, pattern, holds = patterns[k]
+        upto = lambda n: f"CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + list_sum(list_transform(list_prepend('', m[1:{n}]), lambda y: length(y))) AS INTEGER)"
+        spans = f"list_transform(range(1, len(m) + 1), lambda i: {{'s': {upto('i - 1')}, 'e': {upto('i')}, 'm': m[i]}})"
+        cut = f"SELECT i, t, regexp_extract_all(t, {quote(pattern)}) AS m, regexp_split_to_array(t, {quote(pattern)}) AS g FROM d"
+        return f"SELECT i, x.s AS s, {k} AS k, x.e AS e, '{name}:' || x.s || ':' || x.e AS shown FROM (SELECT i, t, unnest({spans}) AS x FROM ({cut})) WHERE {holds}"
+
+    near = lambda kinds, more="true": f"EXISTS (SELECT 1 FROM p b WHERE b.i = a.i AND b.k IN ({kinds}) AND abs(b.s - a.s) <= 200 AND {more})"
+    secret = f"({near('0, 5')} OR {near('2', '(b.s < a.s OR b.s >= a.e)')})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents),
+p AS MATERIALIZED ({' UNION ALL '.join(map(found, range(len(patterns))))}),
+l AS (SELECT * FROM p a WHERE k < 3 OR (k = 3 AND {near('1, 4')} AND {secret}) OR (k = 4 AND {secret})
+  OR (k = 5 AND {near('1, 4')} AND NOT EXISTS (SELECT 1 FROM p b WHERE b.i = a.i AND b.k = 0 AND b.s <= a.s AND a.s < b.e))),
+o AS (SELECT i, CAST(sum((k = 0)::INT) AS BIGINT) AS x, CAST(sum((k = 1)::INT) AS BIGINT) AS y, CAST(sum((k = 2)::INT) AS BIGINT) AS z,
+  string_agg(shown, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(shown, ',' ORDER BY s, k) AS spans FROM l GROUP BY i)
+SELECT doc_id, coalesce(x, 0) AS n_assign, coalesce(y, 0) AS n_access, coalesce(z, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (i)"""
+
+
+#: Windows as hex text; runs of repeated windows become spans, and what lies between them stays.
+_OP10 = """
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT i, p, md5(substr(h, 2 * p + 1, 400)) AS m FROM (SELECT i, h, unnest(range(0, n - 199)) AS p FROM d)),
+s AS (SELECT i, p FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT i, p, CASE WHEN p <= lag(p) OVER (PARTITION BY i ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM s),
+r AS (SELECT i, p, sum(fresh) OVER (PARTITION BY i ORDER BY p) AS k FROM g),
+runs AS (SELECT i, min(p) AS a, max(p) + 200 AS z FROM r GROUP BY i, k),
+e AS (SELECT i, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops, sum(z - a) AS gone, count(*) AS spans FROM runs GROUP BY i),
+f AS (SELECT d.*, list_append(coalesce(starts, []), n) AS starts, list_prepend(0, coalesce(stops, [])) AS stops, coalesce(gone, 0) AS gone, coalesce(spans, 0) AS spans FROM d LEFT JOIN e USING (i))
+SELECT doc_id, n AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, spans + 2), lambda j: substr(h, 2 * stops[j] + 1, 2 * (starts[j] - stops[j]))), ''))) AS kept_sha256 FROM f"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": _OP1,
     "op6_ngram_join": _OP6,
     "op7_embedding_dedup": _OP7,
     "op8_quality_rules": _quality(),
+    "op9_secret_scans": _secrets(),
+    "op10_suffix_dedup": _OP10,
 }
