@@ -69,8 +69,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Names of the columns that say where a row is.
 FILE, ROW = "__file", "__row"
 #: Rows of a file, as a power of two, whose handed-over rows stay together, and the most slices of a handover.
-CHUNK = 20
-MAX_SLICES = 4096
+CHUNK = 14
+MAX_SLICES = 1 << 16
 
 
 def quoted(names) -> list:

@@ -750,6 +750,31 @@ def test_components(spark):
     assert got == {a: find(a) for a in root}
 
 
+def test_handover_across_chunks(spark, tmp_path):
+    """Rows of files with several chunks find what was written for their places, whatever the batches are."""
+    from arbora.llm import common as c
+
+    spark.range(60_000).repartition(2).write.parquet(str(tmp_path / "r"))
+    placed = c.located(spark.read.parquet(str(tmp_path / "r")), "r")
+    slices = c.slices_of(placed)
+    handed = c.hand_over(placed.where("id % 7 = 0").withColumnRenamed("id", "want"), "r", slices)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, a, b in c.segments(batch):
+                place, ids = (batch.column(x).to_pylist()[a:b] for x in (c.ROW, "id"))
+                at = dict(zip(place, ids))
+                if (mine := handed.rows(file, place[0], place[-1])) is not None:
+                    rows = mine.column(c.ROW).to_pylist()
+                    assert rows == sorted(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([at[r] for r in rows]), mine.column("want").combine_chunks()], ["id", "want"])
+
+    got = placed.mapInArrow(run, "id long, want long").collect()
+    assert slices >= 4 and sorted(r.id for r in got) == list(range(0, 60_000, 7)) and all(r.id == r.want for r in got)
+
+
 def test_pipeline_stages_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as p
     from pyspark.sql import functions as F
