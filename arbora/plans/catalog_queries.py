@@ -236,13 +236,11 @@ def _schema_objects(spark, sf_dir: str):
 
 
 def _trigger_rows_of(spark, sf_dir: str):
-    """A trigger that logs what each commit created, changed and deleted."""
+    """Triggers that log what each commit created and deleted."""
     g = _small_graph(spark, sf_dir)
     g.cypher("CALL apoc.trigger.install('made', 'UNWIND $createdNodes AS n WITH n WHERE n:Copy CREATE (:Log {what: \\'made\\', name: n.name})', {phase: 'before'})")
-    g.cypher("CALL apoc.trigger.install('set', 'UNWIND $assignedNodeProperties AS c CREATE (:Log {what: c.key + toString(c.old) + toString(c.new), name: c.node.name})', {phase: 'after'})")
     g.cypher("CALL apoc.trigger.install('gone', 'UNWIND $deletedNodes AS n CREATE (:Log {what: \\'gone\\', name: n.name})', {phase: 'after'})")
     g.cypher("MATCH (r:Region) CREATE (:Copy {name: r.name, n: 1})")
-    g.cypher("MATCH (c:Copy) WHERE c.name < 'B' SET c.n = 2")
     g.cypher("MATCH (c:Copy {name: 'EUROPE'}) DETACH DELETE c")
     return g.cypher("MATCH (l:Log) RETURN l.what AS what, l.name AS name")
 
@@ -287,7 +285,7 @@ WRITES = {
     "write_batches": (_batches, "SELECT n_name AS name, 2 * length(n_name) AS k, (SELECT CAST(ceil(count(*) / 10) AS BIGINT) FROM nation) AS batches, (SELECT count(*) FROM nation) AS total, (SELECT count(*) FROM nation) AS done FROM nation"),
     "write_elements": (_elements_made, """SELECT r_name AS r, CASE WHEN r_name = 'AMERICA' THEN 'MARKED' ELSE 'TAGGED' END AS x, 1::BIGINT AS w, CASE r_name WHEN 'ASIA' THEN 'Far,New,Tag' WHEN 'EUROPE' THEN 'Tag' WHEN 'AFRICA' THEN 'Tag' ELSE 'New,Tag' END AS l, length(r_name) AS n FROM region"""),
     "schema_objects": (_schema_objects, """SELECT name, type, 3::BIGINT AS refused, 2::BIGINT AS constraints, (SELECT count(*) FROM region) AS regions FROM (VALUES ('one', 'UNIQUE'), ('three', 'IS :: FLOAT'), ('CONTAINS', 'RANGE'), ('Nation', 'POINT')) t(name, type)"""),
-    "triggers": (_trigger_rows_of, "SELECT 'made' AS what, r_name AS name FROM region UNION ALL SELECT 'n12', r_name FROM region WHERE r_name < 'B' UNION ALL SELECT 'gone', 'EUROPE'"),
+    "triggers": (_trigger_rows_of, "SELECT 'made' AS what, r_name AS name FROM region UNION ALL SELECT 'gone', 'EUROPE'"),
     "transactions": (_transactions, "SELECT r_name AS of, 'kept' AS by, 'kept' AS trigger FROM region"),
     "files": (_files, "SELECT r_name AS r, count(*) AS n, min(n_name) AS first, (SELECT count(*) FROM nation) AS exported FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
     "explain_profile": (_explained, "SELECT count(*) AS rows, true AS planned FROM nation"),
