@@ -39,6 +39,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -51,13 +52,16 @@ from arbora.llm.common import FILE, ROW, Handover, connected_components, hand_ov
 
 #: Shingles of neighbouring rows that are packed together, and bytes of texts hashed at a time.
 RUN = 1 << 20
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 #: Rows whose shingles are packed together at most, as a power of two.
 BUCKET = 10
 #: Shingles that a range has on average.
 RANGE = 1 << 21
-#: Rows whose sets are held at a time.
+#: Shingles of a range that are counted at a time.
+PIECE = 1 << 18
+#: Rows whose sets are held at a time, and joined rows that are unpacked at a time.
 ROWS = 512
+UNPACKED = 64
 #: Documents and bytes of a block, and partners of a hub that meet it in one place.
 BLOCK_ROWS = 128
 BLOCK_BYTES = 8 << 20
@@ -195,8 +199,35 @@ def _set_batches(batches, shingle):
             yield part, shingle.many(part.column("raw").to_pylist())
 
 
+def _freed(run):
+    """``run``, after which the worker gives back what it has no use for: workers wait for later tasks, and memory
+    that they keep is missing from the executor."""
+
+    def freed(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return freed
+
+
+def _unpacked(batches, *names: str):
+    """The rows of batches as tuples of Python values, a few at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, UNPACKED):
+            part = batch.slice(first, UNPACKED)
+            yield from zip(*(part.column(c).to_pylist() for c in names), strict=True)
+
+
 def _wanted(batches, handed: Handover):
-    """(file, rows, what was handed over for them) of the rows for which something was."""
+    """(file, rows, what was handed over for them) of the rows for which something was, a few at a time."""
     import numpy as np
     import pyarrow as pa
 
@@ -205,8 +236,9 @@ def _wanted(batches, handed: Handover):
             place = batch.column(ROW).to_numpy()[a:b]
             if (mine := handed.rows(file, int(place[0]), int(place[-1]))) is None:
                 continue
-            at = np.searchsorted(place, mine.column(ROW).to_numpy())
-            yield file, batch.slice(a, b - a).take(pa.array(at)), mine
+            at = a + np.searchsorted(place, mine.column(ROW).to_numpy())
+            for first in range(0, len(at), ROWS):
+                yield file, batch.take(pa.array(at[first:first + ROWS])), mine.slice(first, ROWS)
 
 
 def class_sets(texts: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -223,13 +255,38 @@ def class_sets(texts: DataFrame, spec: JoinSpec) -> DataFrame:
                 batch.column(FILE), batch.column(ROW), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64())], [FILE, ROW, "doc_id", "n", "h", "l"])
 
-    return texts.mapInArrow(run, f"{FILE} long, {ROW} long, doc_id long, n long, h long, l long")
+    return texts.mapInArrow(_freed(run), f"{FILE} long, {ROW} long, doc_id long, n long, h long, l long")
+
+
+def _frequency_classes(heads: list, counts: list) -> list:
+    """The frequency class of each head (bit length of its count over all lists, 15 at most), list by list.
+
+    The lists are sorted; a piece of the values is counted at a time, so little beside the lists is in memory.
+    """
+    import numpy as np
+
+    low, high = min(int(h[0]) for h in heads), max(int(h[-1]) for h in heads) + 1
+    pieces = max(1, -(-sum(map(len, heads)) // PIECE))
+    bounds = np.array([low + (high - low) * i // pieces for i in range(pieces + 1)], np.uint64)
+    cuts = [np.searchsorted(h, bounds).tolist() for h in heads]
+    codes = [np.empty(len(h), np.uint8) for h in heads]
+    for i in range(pieces):
+        mine = [(j, c[i], c[i + 1]) for j, c in enumerate(cuts) if c[i] < c[i + 1]]
+        if not mine:
+            continue
+        _, place = np.unique(np.concatenate([heads[j][a:b] for j, a, b in mine]), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([counts[j][a:b] for j, a, b in mine]))
+        code, begin = np.minimum(15, np.frexp(total)[1]).astype(np.uint8)[place], 0
+        for j, a, b in mine:
+            codes[j][a:b] = code[begin:begin + b - a]
+            begin += b - a
+    return codes
 
 
 def shared_shingles(texts: DataFrame, classes: Handover, total: int, slices: int, spec: JoinSpec) -> Handover:
     """Count every shingle of the classes; hands to each bucket of rows the 48-bit heads of its shingles
     that two classes or more have, with their frequency class (bit length of the count, 15 at most)."""
-    k, wanted, shingler, bucket, run_size = spec.k, _wanted, _Shingler, BUCKET, RUN
+    k, wanted, unpacked, classes_of, shingler, bucket, run_size = spec.k, _wanted, _unpacked, _frequency_classes, _Shingler, BUCKET, RUN
     ranges = max(1, -(-total // RANGE))
 
     def packed(heads):
@@ -275,14 +332,8 @@ def shared_shingles(texts: DataFrame, classes: Handover, total: int, slices: int
         import pyarrow as pa
 
         def close(blocks):
-            all_heads = np.concatenate([h for _, _, h, _ in blocks])
-            distinct, place = np.unique(all_heads, return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate([n for _, _, _, n in blocks]))
-            code = np.minimum(15, np.frexp(total)[1]).astype(np.uint8)[place]
-            begin = 0
-            for file, row, heads, _ in blocks:
-                mine = code[begin:begin + len(heads)]
-                begin += len(heads)
+            codes = classes_of([h for _, _, h, _ in blocks], [n for _, _, _, n in blocks])
+            for (file, row, heads, _), mine in zip(blocks, codes, strict=True):
                 if len(shared := np.flatnonzero(mine > 1)):
                     first, steps = packed(heads[shared])
                     yield pa.RecordBatch.from_arrays([
@@ -290,18 +341,17 @@ def shared_shingles(texts: DataFrame, classes: Handover, total: int, slices: int
                         pa.array([steps], pa.binary()), pa.array([mine[shared].tobytes()], pa.binary())], [FILE, ROW, "first", "steps", "codes"])
 
         now, blocks = None, []
-        for batch in batches:
-            for r, file, row, first, steps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != now and blocks:
-                    yield from close(blocks)
-                    blocks = []
-                now, n = r, np.frombuffer(zlib.decompress(n), np.uint8)
-                blocks.append((file, row, _heads(first, steps, len(n)), n))
+        for r, file, row, first, steps, n in unpacked(batches, "range", FILE, ROW, "first", "steps", "n"):
+            if r != now and blocks:
+                yield from close(blocks)
+                blocks = []
+            now, n = r, np.frombuffer(zlib.decompress(n), np.uint8)
+            blocks.append((file, row, _heads(first, steps, len(n)), n))
         if blocks:
             yield from close(blocks)
 
-    sent = texts.mapInArrow(send, f"range int, {FILE} long, {ROW} long, first long, steps binary, n binary")
-    counted = sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(count, f"{FILE} long, {ROW} long, first long, steps binary, codes binary")
+    sent = texts.mapInArrow(_freed(send), f"range int, {FILE} long, {ROW} long, first long, steps binary, n binary")
+    counted = sent.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_freed(count), f"{FILE} long, {ROW} long, first long, steps binary, codes binary")
     return hand_over(counted, "ngram-counts", slices)
 
 
@@ -364,7 +414,7 @@ def prefixes(texts: DataFrame, classes: Handover, counts: Handover, spec: JoinSp
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64 if i != 4 else np.int32)) for i, x in enumerate(out)], names)
 
-    return texts.mapInArrow(run, "token long, cid long, n long, pos long, code int, own long")
+    return texts.mapInArrow(_freed(run), "token long, cid long, n long, pos long, code int, own long")
 
 
 def _fetched(texts: DataFrame, wanted_rows: Handover) -> DataFrame:
@@ -375,11 +425,9 @@ def _fetched(texts: DataFrame, wanted_rows: Handover) -> DataFrame:
         import pyarrow as pa
 
         for _, rows, mine in wanted(batches, wanted_rows):
-            for first in range(0, rows.num_rows, ROWS):
-                part = rows.slice(first, ROWS)
-                yield pa.RecordBatch.from_arrays([mine.column("cid").slice(first, ROWS).combine_chunks(), part.column("raw")], ["cid", "raw"])
+            yield pa.RecordBatch.from_arrays([mine.column("cid").combine_chunks(), rows.column("raw")], ["cid", "raw"])
 
-    return texts.mapInArrow(run, "cid long, raw binary")
+    return texts.mapInArrow(_freed(run), "cid long, raw binary")
 
 
 def _need(nx: int, ny: int, spec: JoinSpec) -> int:
@@ -416,13 +464,14 @@ def local_links(sets: list, skip, spec: JoinSpec) -> list[tuple[int, int]]:
     tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, counts))] = np.arange(len(tokens))
-    ranked, at = rank[inverse], 0
+    ranked, at = rank[inverse].astype(np.int32), 0
+    # Arrays of 4 bytes a shingle; lists and sets of Python integers would take tens of times that.
     lists = []
     for n in sizes:
-        lists.append(np.sort(ranked[at:at + n]).tolist())
+        lists.append(array("i", np.sort(ranked[at:at + n]).tobytes()))
         at += n
     once = int((counts == 1).sum())  # ranks below are in one set only
-    whole = [None] * len(sets)
+    in_a = np.zeros(len(tokens), bool)
     parent = list(range(len(sets)))
 
     def find(a: int) -> int:
@@ -452,15 +501,14 @@ def local_links(sets: list, skip, spec: JoinSpec) -> list[tuple[int, int]]:
                 else:
                     met[b] = seen + 1
             index[w].append((a, i))
+        in_a[x] = True
         for b, seen in met.items():
             if seen <= 0 or find(a) == find(b):
                 continue
-            for c in (a, b):
-                if whole[c] is None:
-                    whole[c] = set(lists[c])
-            if len(whole[a] & whole[b]) >= _need(nx, sizes[b], spec):
+            if np.count_nonzero(in_a[lists[b]]) >= _need(nx, sizes[b], spec):
                 links.append((a, b))
                 parent[find(a)] = find(b)
+        in_a[x] = False
     return links
 
 
@@ -492,7 +540,7 @@ def _with_partners(lists: DataFrame, spec: JoinSpec) -> DataFrame:
 
 def _held_against(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """(u, v) of the pairs (cid, hub) that are linked; a hub of many partners meets them in several places."""
-    k, shingler = spec.k, _Shingler
+    k, shingler, unpacked = spec.k, _Shingler, _unpacked
     load = pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {PARTNERS}) as int)").alias("places"))
     partners = pairs.join(load, "hub").select("hub", F.expr("cast(pmod(xxhash64(cid), places) as int)").alias("at"), "cid", F.lit(1).alias("side"))
     hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("at"), F.col("hub").alias("cid"), F.lit(0).alias("side"))
@@ -505,7 +553,7 @@ def _held_against(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFra
         shingle, key, hub, ranks = shingler(k), None, None, None
         for batch in batches:
             out = []
-            for now, at, side, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "at", "side", "cid", "raw")), strict=True):
+            for now, at, side, cid, raw in unpacked([batch], "hub", "at", "side", "cid", "raw"):
                 s = shingle(raw)
                 if side == 0:
                     key, hub, ranks = (now, at), s, s.tolist()
@@ -519,17 +567,17 @@ def _held_against(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFra
                     out.append((cid, now))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
 
-    return meet.repartition("hub", "at").sortWithinPartitions("hub", "at", "side").mapInArrow(run, "u long, v long")
+    return meet.repartition("hub", "at").sortWithinPartitions("hub", "at", "side").mapInArrow(_freed(run), "u long, v long")
 
 
 def _rest(now: DataFrame, pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """(u, v): links among classes of a list that are not yet connected nor held against each other."""
-    k, shingler = spec.k, _Shingler
+    k, shingler, unpacked = spec.k, _Shingler, _unpacked
     join = lambda sets, skip: local_links(sets, skip, spec)
     open_ = now.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
     now = staged(now.join(open_, "token").select("token", "cid", "n", "most", "code", "band", "root"), "ngram-open")
     # Both lists are bounded by the prefix of their class.
-    order = now.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("code", "token"))).alias("order"))
+    order = now.groupBy("cid").agg(F.expr("sort_array(collect_list(struct(code, token))).token").alias("order"))
     met = pairs.groupBy("cid").agg(F.collect_list("hub").alias("met"))
     own = order.join(met, "cid", "left").join(texts, "cid")
     # Classes of a component that fills blocks of its own are kept apart from the others,
@@ -561,7 +609,7 @@ def _rest(now: DataFrame, pairs: DataFrame, texts: DataFrame, spec: JoinSpec) ->
         def close(key, rows):
             if len(rows) < 2:
                 return None
-            before = [frozenset(t for t in r[3][:next(i for i, t in enumerate(r[3]) if t == key[0])]) for r in rows]
+            before = [frozenset(r[3][:r[3].index(key[0])]) for r in rows]
             both = key[1] == key[2]
 
             def skip(a, b):
@@ -572,18 +620,16 @@ def _rest(now: DataFrame, pairs: DataFrame, texts: DataFrame, spec: JoinSpec) ->
             return pa.RecordBatch.from_arrays([pa.array([rows[a][1] for a, _ in got], pa.int64()), pa.array([rows[b][1] for _, b in got], pa.int64())], ["u", "v"]) if got else None
 
         key, rows = None, []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("token", "i", "j", "mine", "cid", "root", "order", "met", "raw")]
-            for token, i, j, mine, cid, root, order, met, raw in zip(*cols, strict=True):
-                if (token, i, j) != key:
-                    if out := close(key, rows):
-                        yield out
-                    key, rows = (token, i, j), []
-                rows.append((mine, cid, root, [x["token"] for x in order], frozenset(met or ()), shingle(raw)))
+        for token, i, j, mine, cid, root, order, met, raw in unpacked(batches, "token", "i", "j", "mine", "cid", "root", "order", "met", "raw"):
+            if (token, i, j) != key:
+                if out := close(key, rows):
+                    yield out
+                key, rows = (token, i, j), []
+            rows.append((mine, cid, root, order, frozenset(met or ()), shingle(raw)))
         if out := close(key, rows):
             yield out
 
-    return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "u long, v long")
+    return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_freed(run), "u long, v long")
 
 
 def _connected(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -680,7 +726,7 @@ def one_of_each(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
                     keep[a + np.searchsorted(place, mine.column(ROW).to_numpy())] = False
             yield pa.RecordBatch.from_arrays(batch.columns[:-2], names).filter(pa.array(keep))
 
-    return back(placed.mapInArrow(run, docs.schema))
+    return back(placed.mapInArrow(_freed(run), docs.schema))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

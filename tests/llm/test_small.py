@@ -466,6 +466,72 @@ def test_ngram_chain_without_a_common_hub(spark):
     assert [got[i].component_id for i in range(len(texts))] == brute([shingles(t, 2) for t in texts], 85, 100)
 
 
+def peak_mb(f, *args):
+    """What ``f`` returns, and the MB that it held at most, beside its arguments."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return f(*args), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_ngram_join_unpacks_a_few_rows_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+
+    from arbora.llm import op06_ngram_join as o
+
+    class Handed:
+        def rows(self, file, low, high):
+            return pa.table({o.ROW: pa.array(range(low, high + 1, 2)), "cid": pa.array(range(low, high + 1, 2))})
+
+    n = 3000
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array(range(100, 100 + n)), pa.array([b"%d" % i for i in range(n)])], [o.FILE, o.ROW, "raw"])
+    parts = list(o._wanted([batch.slice(0, 0), batch], Handed()))
+    assert {file for file, _, _ in parts} == {7} and max(rows.num_rows for _, rows, _ in parts) <= o.ROWS
+    got = [(cid, raw) for _, rows, mine in parts for cid, raw in zip(mine.column("cid").to_pylist(), rows.column("raw").to_pylist(), strict=True)]
+    assert got == [(100 + i, b"%d" % i) for i in range(0, n, 2)]
+    wide = pa.RecordBatch.from_arrays([pa.array(list(np.arange(200_000).reshape(10_000, 20)))], ["order"])
+    seen, mb = peak_mb(lambda: sum(order[0] == 20 * i for i, (order,) in enumerate(o._unpacked([wide], "order"))))
+    assert seen == 10_000 and mb < 2
+
+
+def test_ngram_counts_take_little_memory(monkeypatch):
+    import numpy as np
+
+    from arbora.llm import op06_ngram_join as o
+
+    rng = np.random.default_rng(23)
+    pool = rng.integers(0, 1 << 48, 900_000, dtype=np.uint64)
+    heads = [np.unique(rng.choice(pool, 75_000)) for _ in range(20)]
+    counts = [rng.integers(1, 256, len(h)).astype(np.uint8) for h in heads]
+    codes, mb = peak_mb(o._frequency_classes, heads, counts)
+    assert mb < 40  # 76 when counted at once
+    total = Counter()
+    for h, n in zip(heads, counts, strict=True):
+        total.update(dict(zip(h.tolist(), n.tolist(), strict=True)))
+    want = [[min(15, total[x].bit_length()) for x in h.tolist()] for h in heads]
+    assert [c.tolist() for c in codes] == want
+    few = [np.array([5], np.uint64), np.array([0, 5, (1 << 48) - 1], np.uint64)]
+    monkeypatch.setattr(o, "PIECE", 1)
+    assert [c.tolist() for c in o._frequency_classes(few, [np.array([200], np.uint8), np.array([1, 100, 255], np.uint8)])] == [[9], [1, 9, 8]]
+
+
+def test_ngram_blocks_of_long_texts_take_little_memory():
+    import numpy as np
+
+    from arbora.llm import op06_ngram_join as o
+
+    rng = np.random.default_rng(24)
+    base = [np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) for _ in range(10)]
+    sets = [s for b in base for s in (b, np.delete(b, slice(0, 500)))]
+    links, mb = peak_mb(o.local_links, sets, lambda a, b: False, o.JoinSpec(k=3, num=90))
+    assert sorted(tuple(sorted(x)) for x in links) == [(2 * i, 2 * i + 1) for i in range(10)]
+    assert mb < 40  # 59 as lists and sets of Python integers
+
+
 # 7 -------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [256, 8])
 def test_embeddings(spark, block, monkeypatch):
