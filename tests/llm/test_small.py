@@ -532,6 +532,36 @@ def test_ngram_blocks_of_long_texts_take_little_memory():
     assert mb < 40  # 59 as lists and sets of Python integers
 
 
+def test_ngram_workers_give_free_memory_back(spark, monkeypatch):
+    """Workers outlive a stage of the pipeline, so what they keep is missing from the executor in the next ones."""
+    import ctypes
+
+    from arbora.llm import op06_ngram_join as o
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def run(batches):
+        for batch in batches:
+            held = [bytes(2000) for _ in range(60_000)]
+            kept.append(held.pop())  # what lies last keeps the rest of the heap from shrinking
+            yield batch
+
+    kept, libc = [], ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim"):
+        pytest.skip("no malloc_trim")
+    libc.malloc_trim(0)
+    before = resident()
+    assert list(run(iter([1]))) == [1] and resident() > before + 60
+    assert list(o._freed(run)(iter([1, 2]))) == [1, 2] and resident() < before + 40
+    wrapped, plain = [], o._freed
+    monkeypatch.setattr(o, "_freed", lambda f: wrapped.append(f) or plain(f))
+    rng = random.Random(25)
+    assert o.stage(spark, docs_of(spark, [words_of(rng, 40)] * 2), "").count() == 1
+    assert len(wrapped) == 7  # every scan of the stage: sets, two for counts, prefixes, texts, blocks, the last one
+
+
 # 7 -------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [256, 8])
 def test_embeddings(spark, block, monkeypatch):
