@@ -68,6 +68,8 @@ BLOCK_BYTES = 8 << 20
 PARTNERS = 512
 HUB_ROUNDS = 4
 SUFFIX_DEPTH = 2
+#: Linked classes and new links that the driver solves; beyond that Spark does, step by step.
+FEW = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -632,20 +634,48 @@ def _rest(now: DataFrame, pairs: DataFrame, texts: DataFrame, spec: JoinSpec) ->
     return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_freed(run), "u long, v long")
 
 
-def _connected(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` (node, root) after more links (u, v), of which only what they add is solved."""
+def _solved_here(here: dict[int, int], links: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest node of the component of each node, after more links."""
+    parent = dict(here)
+
+    def find(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for u, v in links:
+        parent.setdefault(u, u)
+        parent.setdefault(v, v)
+        u, v = find(u), find(v)
+        parent[max(u, v)] = min(u, v)
+    return {a: find(a) for a in parent}
+
+
+def _connected(roots: DataFrame, here: dict[int, int] | None, links: DataFrame, n: int) -> tuple[DataFrame, dict[int, int] | None]:
+    """``roots`` (node, root) after ``n`` more links (u, v), of which only what they add is solved. ``here`` has the
+    same as ``roots`` as long as it is small: every table that is written costs a file, and for each file processes
+    started from the executor, for each partition, however few its rows are."""
+    import pyarrow as pa
+
+    if here is not None and len(here) + n <= FEW:
+        if n:
+            here = _solved_here(here, [(r.u, r.v) for r in links.collect()])
+            columns = [pa.array(x, pa.int64()) for x in (list(here), list(here.values()))]
+            roots = roots.sparkSession.createDataFrame(pa.Table.from_arrays(columns, ["node", "root"]))
+        return roots, here
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
     ends = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
     more = staged(connected_components(ends), "ngram-more")
     onto = more.select(F.col("node").alias("root"), F.col("root").alias("onto"))
     moved = roots.join(onto, "root", "left").select("node", F.coalesce("onto", "root").alias("root"))
-    return staged(moved.union(more.join(roots, "node", "left_anti")), "ngram-roots")
+    return staged(moved.union(more.join(roots, "node", "left_anti")), "ngram-roots"), None
 
 
 def linked_classes(lists: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     """(node, root): components of the classes by their links; classes without a link may be absent."""
     spark = lists.sparkSession
-    roots = spark.createDataFrame([], "node long, root long")
+    roots, here = spark.createDataFrame([], "node long, root long"), {}
     held = spark.createDataFrame([], "cid long, hub long")
     of_root = lambda: lists.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
     for turn in range(HUB_ROUNDS):
@@ -666,8 +696,10 @@ def linked_classes(lists: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFr
         if not seen["n"]:
             break
         held = held.union(pairs)
-        roots = _connected(roots, staged(_held_against(pairs, texts, spec), "ngram-links"))
-    return _connected(roots, staged(_rest(of_root(), held, texts, spec), "ngram-links"))
+        links, seen = staged_and_counted(_held_against(pairs, texts, spec), "ngram-links", F.count(F.lit(1)).alias("n"))
+        roots, here = _connected(roots, here, links, seen["n"])
+    links, seen = staged_and_counted(_rest(of_root(), held, texts, spec), "ngram-links", F.count(F.lit(1)).alias("n"))
+    return _connected(roots, here, links, seen["n"])[0]
 
 
 def components(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:

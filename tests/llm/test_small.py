@@ -562,6 +562,31 @@ def test_ngram_workers_give_free_memory_back(spark, monkeypatch):
     assert len(wrapped) == 7  # every scan of the stage: sets, two for counts, prefixes, texts, blocks, the last one
 
 
+def test_ngram_few_links_write_no_tables_of_their_own(spark, tmp_path, monkeypatch):
+    """Links that the driver solves, and the same ones solved by Spark: no table is written for each step of the former."""
+    from arbora.llm import common, op06_ngram_join as o
+
+    names, plain = [], common.staged
+    for module in (common, o):
+        monkeypatch.setattr(module, "staged", lambda df, name, *a: names.append(name) or plain(df, name, *a))
+    monkeypatch.setattr(o, "BLOCK_ROWS", 4)
+    rng = random.Random(31)
+    base, texts = [words_of(rng, 200, 4000).split() for _ in range(4)], []
+    for i in range(60):
+        copy = list(base[i % 4])
+        copy[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(copy))
+    docs = docs_of(spark, texts + [words_of(rng, 60, 4000) for _ in range(10)])
+    steps = {"cc", "ngram-more", "ngram-roots"}
+    got = {}
+    for few in (1 << 16, 20, -1):
+        names.clear()
+        monkeypatch.setattr(o, "FEW", few)
+        got[few] = sorted((r.doc_id, r.component_id) for r in o.components(docs).collect())
+        assert bool(steps & set(names)) == (few < 1 << 16), names
+    assert got[1 << 16] == got[20] == got[-1] == [(i, i % 4 if i < 60 else i) for i in range(70)]
+
+
 # 7 -------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [256, 8])
 def test_embeddings(spark, block, monkeypatch):
